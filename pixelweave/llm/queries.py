@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweave.llm.secret_scan import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelweave.llm.token_counts import token_counts
 
@@ -24,14 +30,32 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweave.llm.mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweave.llm.quality import quality_verdicts
+
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelweave.llm.simhash import simhash_groups
 
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_best_fit_packing, op9_simhash_groups)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op6_best_fit_packing, op7_mixing, op8_quality_rules, op9_simhash_groups, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
