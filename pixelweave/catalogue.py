@@ -1,11 +1,578 @@
-"""Registry of the engine's queries over the driver's tables."""
+"""The engine's queries over the driver's tables, with the SQL that checks them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pixelweave.operators import matching, morphology, planning, rasters, scoring
+from pixelweave.plans import fixtures as fx
 
-def oracle_sql() -> dict:
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+PART = "WITH RECURSIVE " + fx.part_sql("duck")
+MOVIE = "WITH " + fx.movie_sql("duck")
+
+
+def _side(spark, sf, view: str, side: str, *columns: str) -> DataFrame:
+    return fx.part_view(spark, sf, view).where(F.col("pass") == side).select(*(columns or ("fov", "y", "x", "label")))
+
+
+def _masks(spark, sf, kind: str = "h") -> tuple[DataFrame, DataFrame]:
+    return _side(spark, sf, f"{kind}_mask", "anatomy"), _side(spark, sf, f"{kind}_mask", "activity")
+
+
+def _cells(spark, sf, side: str, kind: str = "h") -> DataFrame:
+    return _side(spark, sf, f"{kind}_cell", side, "fov", "label", "flag", "prob")
+
+
+def _logits(pixels: DataFrame) -> DataFrame:
+    """The score raster at the given pixels; it is a formula, so nothing is joined."""
+    return pixels.select("fov", "y", "x").distinct().withColumn("v", F.expr(fx.logit()))
+
+
+def _logit_grid(spark, sf) -> DataFrame:
+    return fx.frame_grid(fx.part_view(spark, sf, "base", "fov").distinct()).withColumn("v", F.expr(fx.logit()))
+
+
+# ---- rasters -----------------------------------------------------------------
+
+
+@_query(f"{PART} SELECT pass, fov, y, x, label FROM f1_mask")
+def rasterize_lastwins(spark, sf):
+    return rasters.rasterize(fx.part_view(spark, sf, "f1_px", "pass", "fov", "y", "x", "label"), ("pass", "fov")).select("pass", "fov", "y", "x", "label")
+
+
+@_query(f"""{PART}, kept AS (SELECT fov, label, CAST(row_number() OVER (PARTITION BY fov ORDER BY label) AS INT) fresh, count(*) OVER (PARTITION BY fov) n_kept
+        FROM f1_cell WHERE pass='activity' AND flag>=1 AND prob>=0.5)
+ SELECT fov, y, x, max(fresh) AS label, max(n_kept) AS n_kept FROM f1_px JOIN kept USING (fov, label) WHERE pass='activity' GROUP BY fov, y, x""")
+def rasterize_filtered(spark, sf):
+    return rasters.rasterize_filtered(_side(spark, sf, "f1_px", "activity"), _cells(spark, sf, "activity", "f1"))
+
+
+@_query(f"""{PART} SELECT fov, y - 23 AS y, x + 20 AS x, label FROM f1_mask WHERE pass='anatomy' AND y - 23 BETWEEN 0 AND 208 AND x + 20 BETWEEN 0 AND 295""")
+def align_center(spark, sf):
+    mask, _ = _masks(spark, sf, "f1")
+    return rasters.align_center(mask, (F.lit(256), F.lit(256)), (F.lit(209), F.lit(296)))
+
+
+AREAS = "SELECT pass, fov, label, count(*) AS area_px, CAST(floor(avg(y)) AS INT) AS centroid_y, CAST(floor(avg(x)) AS INT) AS centroid_x FROM {m}_mask GROUP BY pass, fov, label"
+
+
+@_query(f"{PART} {AREAS.format(m='f1')}")
+def roi_area_centroid(spark, sf):
+    return rasters.areas(fx.part_view(spark, sf, "f1_mask"), ("pass", "fov", "label"))
+
+
+@_query(f"{PART} SELECT fov, count(DISTINCT label) AS n_labels, max(label) AS max_label FROM f1_mask WHERE pass='anatomy' GROUP BY fov")
+def label_summary(spark, sf):
+    return rasters.label_summary(_masks(spark, sf, "f1")[0])
+
+
+GRID = f"grid AS (SELECT fov, CAST(y AS INT) y, CAST(x AS INT) x FROM (SELECT DISTINCT fov FROM base) CROSS JOIN (SELECT unnest(generate_series(0,255)) y) CROSS JOIN (SELECT unnest(generate_series(0,255)) x)), raw AS (SELECT fov, y, x, {fx.logit()} v FROM grid)"
+SIGMOID = "prob AS (SELECT fov, y, x, CASE WHEN low<0 OR high>1 THEN 1.0::DOUBLE/(1.0::DOUBLE+exp(-v)) ELSE v END v FROM raw JOIN (SELECT fov, min(v) low, max(v) high FROM raw GROUP BY fov) USING (fov))"
+
+
+@_query(f"{PART}, {GRID}, {SIGMOID} SELECT fov, y, x, round(v, 6) AS v FROM prob")
+def cellprob_sigmoid(spark, sf):
+    return rasters.probability(_logit_grid(spark, sf)).withColumn("v", F.round("v", 6))
+
+
+@_query(f"{PART}, {GRID} SELECT fov, min(v) AS v_min, max(v) AS v_max, count(*) FILTER (WHERE v > 0.5) AS n_above FROM raw GROUP BY fov")
+def raster_range(spark, sf):
+    return rasters.raster_range(_logit_grid(spark, sf))
+
+
+@_query(f"{PART}, {GRID} SELECT fov, y, x, v AS c0, CASE WHEN fov%3=0 THEN 0.0::DOUBLE ELSE CAST((y+x)%7 AS DOUBLE) END AS c1 FROM raw")
+def two_channel_stack(spark, sf):
+    mean = _logit_grid(spark, sf)
+    vcorr = mean.where("fov % 3 <> 0").select("fov", "y", "x", ((F.col("y") + F.col("x")) % 7).cast("double").alias("v"))
+    return rasters.two_channels(mean, vcorr)
+
+
+@_query(f"{PART}, {GRID} SELECT fov, y, x, v AS c0, CAST((y+x)%7 AS DOUBLE) AS c1 FROM raw WHERE fov%3<>0")
+def two_channel_training(spark, sf):
+    mean = _logit_grid(spark, sf)
+    vcorr = mean.where("fov % 3 <> 0").select("fov", "y", "x", ((F.col("y") + F.col("x")) % 7).cast("double").alias("v"))
+    return rasters.two_channels(mean, vcorr, require_both=True)
+
+
+@_query(f"{MOVIE} SELECT fov, y, x, round(avg(v), 5) AS mean_v, round(max(v), 5) AS max_v FROM movie GROUP BY fov, y, x")
+def mean_max_projection(spark, sf):
+    return rasters.projections(fx.movie(spark, sf)).select("fov", "y", "x", F.round("mean_v", 5).alias("mean_v"), F.round("max_v", 5).alias("max_v"))
+
+
+MOVIE_MASK = "CASE WHEN (y+x)%7=0 THEN 0 ELSE 1 + (y // 4)*2 + (x // 4) END"
+
+
+@_query(f"{MOVIE} SELECT fov, t, CAST({MOVIE_MASK} AS INT) AS label, round(avg(v), 5) AS mean_f FROM movie WHERE {MOVIE_MASK} > 0 GROUP BY ALL")
+def roi_traces(spark, sf):
+    values = fx.movie(spark, sf)
+    mask = spark.sql("SELECT CAST(y AS INT) y, CAST(x AS INT) x, CAST(1 + (y div 4)*2 + (x div 4) AS INT) label FROM (SELECT explode(sequence(0,7)) y) CROSS JOIN (SELECT explode(sequence(0,7)) x) WHERE (y+x)%7 <> 0")
+    fields = values.select("fov").distinct()
+    return rasters.traces(values, fields.crossJoin(F.broadcast(mask))).withColumn("mean_f", F.round("mean_f", 5))
+
+
+def _stretch(rule: str, low: float, high: float):
+    return lambda spark, sf: rasters.stretch(rasters.projections(fx.movie(spark, sf)).select("fov", "y", "x", F.round("mean_v", 6).alias("v")), low, high, rule)
+
+
+_PROJ = f"{MOVIE}, proj AS (SELECT fov, y, x, round(avg(v), 6) v FROM movie GROUP BY fov, y, x), ends AS (SELECT fov, quantile_cont(v, @lo) lo, quantile_cont(v, @hi) hi FROM proj GROUP BY fov)"
+for _name, _rule, _lo, _hi, _sql in (
+    ("stretch_unit", "unit", 0.01, 0.99, "round(greatest(0.0, least(1.0, (v-lo)/greatest(hi-lo, 1e-6::DOUBLE))), 5)"),
+    ("stretch_coarse", "coarse", 0.01, 0.99, "round(greatest(0.0, least(1.0, (v-lo)/greatest(hi-lo, 1.0::DOUBLE))), 5)"),
+    ("stretch_uint16", "uint16", 0.005, 0.995, "CAST(trunc(greatest(0.0, least(1.0, (v-lo)/(hi-lo+1e-8::DOUBLE)))*65535) AS INT)"),
+):
+
+    def _make(name=_name, rule=_rule, lo=_lo, hi=_hi):
+        def run(spark, sf):
+            out = _stretch(rule, lo, hi)(spark, sf)
+            return out if rule == "uint16" else out.withColumn("v", F.round("v", 5))
+
+        run.__name__ = name
+        return run
+
+    _query(_PROJ.replace("@lo", str(_lo)).replace("@hi", str(_hi)) + f" SELECT fov, y, x, {_sql} AS v FROM proj JOIN ends USING (fov)")(_make())
+
+
+@_query("""WITH v AS (SELECT n_nationkey roi, n_regionkey fov FROM nation),
+ box AS (SELECT CAST(fov AS INT) fov, CAST(roi AS INT) roi, (roi*7)%40 y0, (roi*7)%40+6+roi%5 y1, (roi*11)%40 x0, (roi*11)%40+5+roi%7 x1 FROM v),
+ px AS (SELECT fov, roi, CAST(y AS INT) y, CAST(x AS INT) x FROM box, (SELECT unnest(generate_series(0,47)) y), (SELECT unnest(generate_series(0,47)) x)
+        WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1)
+ SELECT fov, y, x, max(roi) AS label FROM px GROUP BY fov, y, x""")
+def polygon_fill(spark, sf):
+    n = fx.table(spark, sf, "nation").selectExpr("CAST(n_regionkey AS INT) fov", "CAST(n_nationkey AS INT) roi", "n_nationkey k")
+    box = n.selectExpr("fov", "roi", "CAST((k*7)%40 AS DOUBLE) y0", "CAST((k*7)%40+6+k%5 AS DOUBLE) y1", "CAST((k*11)%40 AS DOUBLE) x0", "CAST((k*11)%40+5+k%7 AS DOUBLE) x1")
+    ring = box.selectExpr("fov", "roi", "posexplode(array(named_struct('y',y0,'x',x0), named_struct('y',y0,'x',x1), named_struct('y',y1,'x',x1), named_struct('y',y1,'x',x0))) AS (seq, p)")
+    return rasters.fill_polygons(ring.select("fov", "roi", "seq", "p.y", "p.x"), 48, 48)
+
+
+# ---- matching ----------------------------------------------------------------
+
+_EDGES = """ea AS (SELECT fov, label la, count(*) na FROM {a} GROUP BY fov, label), eb AS (SELECT fov, label lb, count(*) nb FROM {b} GROUP BY fov, label),
+ edges AS (SELECT fov, la, lb, inter, na, nb, inter::DOUBLE/(na+nb-inter) iou FROM
+   (SELECT a.fov, a.label la, b.label lb, count(*) inter FROM {a} a JOIN {b} b ON a.fov=b.fov AND a.y=b.y AND a.x=b.x GROUP BY a.fov, a.label, b.label) JOIN ea USING (fov, la) JOIN eb USING (fov, lb))"""
+
+
+def _edges_sql(kind: str) -> str:
+    return f"am AS (SELECT fov, y, x, label FROM {kind}_mask WHERE pass='anatomy'), bm AS (SELECT fov, y, x, label FROM {kind}_mask WHERE pass='activity'), " + _EDGES.format(a="am", b="bm")
+
+
+@_query(f"{PART}, {_edges_sql('f1')} SELECT fov, la, lb, inter, na, nb, round(iou, 4) AS iou FROM edges")
+def iou_edges(spark, sf):
+    return matching.iou_edges(*_masks(spark, sf, "f1")).withColumn("iou", F.round("iou", 4))
+
+
+@_query(f"{PART}, {_edges_sql('h')} SELECT fov, la, lb, inter, na, nb, round(iou, 4) AS iou FROM edges")
+def iou_edges_strips(spark, sf):
+    return matching.iou_edges(*_masks(spark, sf)).withColumn("iou", F.round("iou", 4))
+
+
+@_query(f"{PART}, {_edges_sql('h')} SELECT fov, la, lb, round(iou, 4) AS iou FROM edges WHERE iou > {matching.CERTAIN!r}::DOUBLE")
+def certain_matches(spark, sf):
+    return matching.certain_pairs(matching.iou_edges(*_masks(spark, sf))).select("fov", "la", "lb", F.round("iou", 4).alias("iou"))
+
+
+#: Optimal pairs in SQL: fix certain pairs, close the rest under reachability, enumerate
+#: the partial matchings of every component and take the largest total.
+_PAIRS = f"""{_edges_sql('h')},
+ sure AS MATERIALIZED (SELECT * FROM edges WHERE iou > {matching.CERTAIN!r}::DOUBLE),
+ rest AS MATERIALIZED (SELECT fov, la, lb, iou FROM edges e WHERE NOT EXISTS (SELECT 1 FROM sure s WHERE s.fov=e.fov AND s.la=e.la) AND NOT EXISTS (SELECT 1 FROM sure s WHERE s.fov=e.fov AND s.lb=e.lb)),
+ hop AS MATERIALIZED (SELECT DISTINCT p.fov, p.la a, q.la b FROM rest p JOIN rest q ON p.fov=q.fov AND p.lb=q.lb),
+ reach(fov, a, b) AS (SELECT fov, a, b FROM hop UNION SELECT r.fov, r.a, h.b FROM reach r JOIN hop h ON r.fov=h.fov AND r.b=h.a),
+ comp AS MATERIALIZED (SELECT fov, a la, min(b) c FROM reach GROUP BY fov, a),
+ item AS MATERIALIZED (SELECT r.*, c, row_number() OVER (PARTITION BY r.fov, c ORDER BY la, lb) i FROM rest r JOIN comp USING (fov, la)),
+ grow(fov, c, i, las, lbs, total) AS (SELECT DISTINCT fov, c, 0::BIGINT, []::INT[], []::INT[], 0.0::DOUBLE FROM item
+   UNION ALL SELECT g.fov, g.c, e.i, list_append(g.las, e.la), list_append(g.lbs, e.lb), g.total+e.iou FROM grow g JOIN item e ON g.fov=e.fov AND g.c=e.c AND e.i>g.i
+     AND NOT list_contains(g.las, e.la) AND NOT list_contains(g.lbs, e.lb)),
+ top AS (SELECT fov, c, arg_max(las, total) las, arg_max(lbs, total) lbs FROM grow GROUP BY fov, c),
+ pick AS (SELECT fov, unnest(las) la, unnest(lbs) lb FROM top),
+ pairs AS (SELECT fov, la, lb, iou FROM (SELECT fov, la, lb, iou FROM sure UNION ALL SELECT fov, la, lb, iou FROM pick JOIN rest USING (fov, la, lb)) WHERE iou >= 0.3::DOUBLE)"""
+
+_RECORDS = """ar AS (SELECT fov, label, count(*) n, CAST(floor(avg(y)) AS INT) cy, CAST(floor(avg(x)) AS INT) cx FROM am GROUP BY fov, label),
+ br AS (SELECT fov, label, count(*) n, CAST(floor(avg(y)) AS INT) cy, CAST(floor(avg(x)) AS INT) cx FROM bm GROUP BY fov, label),
+ every AS (SELECT p.fov, 'GOLD' tier, 1 k, iou, la, lb, cy, cx, n FROM pairs p JOIN ar ON ar.fov=p.fov AND ar.label=la
+   UNION ALL SELECT fov, 'SILVER', 2, 0, label, -1, cy, cx, n FROM ar WHERE (fov, label) NOT IN (SELECT (fov, la) FROM pairs)
+   UNION ALL SELECT fov, 'BRONZE', 3, 0, -1, label, cy, cx, n FROM br WHERE (fov, label) NOT IN (SELECT (fov, lb) FROM pairs)),
+ records AS (SELECT fov, CAST(row_number() OVER (PARTITION BY fov ORDER BY k, CASE WHEN k=3 THEN lb ELSE la END) AS INT) roi_id, tier, iou, la, lb, cy, cx, n FROM every)"""
+
+_UNION = """painted AS (SELECT fov, y, x, max(roi_id) label FROM (SELECT am.fov, y, x, roi_id FROM am JOIN records r ON r.fov=am.fov AND r.la=am.label
+   UNION ALL SELECT bm.fov, y, x, roi_id FROM bm JOIN records r ON r.fov=bm.fov AND r.lb=bm.label AND r.tier='BRONZE') GROUP BY fov, y, x)"""
+
+_SCORED = f"""{GRID}, {SIGMOID}, means AS (SELECT p.fov, label roi_id, avg(v) m FROM painted p JOIN prob USING (fov, y, x) GROUP BY p.fov, label),
+ scored AS (SELECT r.fov, r.roi_id, tier, round(iou, 4) iou_score, coalesce(cb.flag, -1) activity_iscell, coalesce(round(cb.prob, 4), -1.0::DOUBLE) activity_s2p_prob,
+   coalesce(round(ca.prob, 4), -1.0::DOUBLE) anatomy_s2p_prob, round(coalesce(m, 0.0::DOUBLE), 5) cellpose_mean_prob
+   FROM records r LEFT JOIN means m ON m.fov=r.fov AND m.roi_id=r.roi_id LEFT JOIN h_cell cb ON cb.pass='activity' AND cb.fov=r.fov AND cb.label=r.lb LEFT JOIN h_cell ca ON ca.pass='anatomy' AND ca.fov=r.fov AND ca.label=r.la)"""
+
+_TO_PAIRS = f"{PART}, {_PAIRS}"
+_TO_RECORDS = f"{_TO_PAIRS}, {_RECORDS}"
+_TO_SCORED = f"{_TO_RECORDS}, {_UNION}, {_SCORED}"
+
+
+@_query(f"{_TO_PAIRS} SELECT fov, la, lb, round(iou, 4) AS iou FROM pairs")
+def optimal_gold_pairs(spark, sf):
+    return matching.optimal_pairs(matching.iou_edges(*_masks(spark, sf))).withColumn("iou", F.round("iou", 4))
+
+
+def _records(spark, sf) -> DataFrame:
+    return matching.tier_records(*_masks(spark, sf), iscell=_cells(spark, sf, "activity"))
+
+
+@_query(f"""{_TO_RECORDS} SELECT r.fov, roi_id, tier, round(iou, 4) AS iou_score, la AS cellpose_label, lb AS s2p_label, cy AS centroid_y, cx AS centroid_x, n AS area_px,
+ coalesce(round(c.prob, 4), -1.0::DOUBLE) AS s2p_iscell_prob FROM records r LEFT JOIN h_cell c ON c.pass='activity' AND c.fov=r.fov AND c.label=r.lb""")
+def tier_records(spark, sf):
+    return _records(spark, sf)
+
+
+@_query(f"""{_TO_RECORDS}, chosen AS (SELECT *, CAST(row_number() OVER (PARTITION BY fov ORDER BY roi_id) AS INT) fresh FROM records WHERE tier IN ('GOLD','SILVER'))
+ SELECT am.fov, y, x, max(fresh) AS label FROM am JOIN chosen c ON c.fov=am.fov AND c.la=am.label GROUP BY am.fov, y, x""")
+def consensus_mask_default(spark, sf):
+    a, b = _masks(spark, sf)
+    return matching.consensus_mask(a, b, _records(spark, sf))
+
+
+@_query(f"{_TO_RECORDS}, {_UNION} SELECT fov, y, x, label FROM painted")
+def union_mask(spark, sf):
+    a, b = _masks(spark, sf)
+    return matching.consensus_mask(a, b, _records(spark, sf), scoring.TIERS)
+
+
+@_query(f"{_TO_RECORDS}, {_UNION} SELECT p.fov, y, x, label, tier FROM painted p JOIN records r ON r.fov=p.fov AND r.roi_id=p.label")
+def tier_layer_pixels(spark, sf):
+    a, b = _masks(spark, sf)
+    records = _records(spark, sf)
+    return matching.tier_pixels(matching.consensus_mask(a, b, records, scoring.TIERS), records)
+
+
+def _scored(spark, sf) -> DataFrame:
+    a, b = _masks(spark, sf)
+    raster = rasters.probability(_logit_grid(spark, sf))
+    return scoring.scored_rois(a, b, raster, _cells(spark, sf, "anatomy"), _cells(spark, sf, "activity"))
+
+
+@_query(f"{_TO_SCORED} SELECT * FROM scored")
+def scored_rois(spark, sf):
+    return _scored(spark, sf)
+
+
+@_query(f"{_TO_RECORDS}, {_UNION}, {_SCORED} SELECT p.fov, y, x, label AS roi_id, round(m, 5) AS mean_prob FROM painted p JOIN means m ON m.fov=p.fov AND m.roi_id=p.label")
+def probability_raster(spark, sf):
+    a, b = _masks(spark, sf)
+    mask = matching.consensus_mask(a, b, _records(spark, sf), scoring.TIERS)
+    means = scoring.mean_probability(mask, rasters.probability(_logit_grid(spark, sf)))
+    return scoring.probability_raster(mask, means).withColumn("mean_prob", F.round("mean_prob", 5))
+
+
+@_query(f"{_TO_RECORDS} SELECT fov, count(*) FILTER (WHERE tier='GOLD') AS n_gold, count(*) FILTER (WHERE tier='SILVER') AS n_silver, count(*) FILTER (WHERE tier='BRONZE') AS n_bronze, count(*) AS n_rois FROM records GROUP BY fov")
+def tier_counts_fov(spark, sf):
+    return scoring.tier_counts(_records(spark, sf))
+
+
+@_query(f"{_TO_RECORDS} SELECT tier, count(*) AS n_rois FROM records GROUP BY tier")
+def tier_counts_total(spark, sf):
+    return scoring.tier_totals(_records(spark, sf))
+
+
+@_query(f"{_TO_RECORDS} SELECT count(DISTINCT fov) AS n_fovs, count(*) AS n_rois, count(*) FILTER (WHERE tier='GOLD') AS n_gold FROM records")
+def summary_metrics(spark, sf):
+    return scoring.summary(_records(spark, sf))
+
+
+@_query(f"{_TO_SCORED} SELECT * FROM scored WHERE tier IN ('GOLD','SILVER') AND cellpose_mean_prob > 0.5")
+def high_confidence(spark, sf):
+    return scoring.high_confidence(_scored(spark, sf))
+
+
+@_query(f"{_TO_SCORED} SELECT * FROM scored WHERE tier IN ('GOLD','BRONZE') AND NOT cellpose_mean_prob < 0.45::DOUBLE")
+def viewer_filter(spark, sf):
+    return scoring.viewer_filter(_scored(spark, sf), ("GOLD", "BRONZE"), 0.45)
+
+
+@_query(f"{_TO_SCORED} SELECT tier, count(*) FILTER (WHERE NOT cellpose_mean_prob < 0.45::DOUBLE) AS n_shown, count(*) AS n_total FROM scored GROUP BY tier")
+def shown_of_total(spark, sf):
+    return scoring.shown_of_total(_scored(spark, sf), 0.45)
+
+
+@_query(f"{_TO_SCORED} SELECT * FROM scored ORDER BY fov, roi_id LIMIT 20")
+def preview(spark, sf):
+    return scoring.preview(_scored(spark, sf))
+
+
+@_query(f"{PART}, {_edges_sql('h')} SELECT least(CAST(floor(iou*20) AS INT), 19) AS bin, count(*) AS n, round((SELECT quantile_cont(iou, 0.5) FROM edges), 6) AS median_iou FROM edges GROUP BY 1")
+def iou_histogram(spark, sf):
+    return scoring.iou_histogram(matching.iou_edges(*_masks(spark, sf))).withColumn("median_iou", F.round("median_iou", 6))
+
+
+_MANUAL = "manual AS (SELECT fov, y, x, max(label) label FROM h_px WHERE pass='anatomy' AND k%3<>0 GROUP BY fov, y, x)"
+
+
+def _manual(spark, sf) -> DataFrame:
+    px = fx.part_view(spark, sf, "h_px").where("pass = 'anatomy' AND k % 3 <> 0").select("fov", "y", "x", "label")
+    return rasters.rasterize(px)
+
+
+_UNCOVERED = f"{_MANUAL}, act AS (SELECT fov, y, x, label FROM h_mask WHERE pass='activity'), {_EDGES.format(a='act', b='manual')}, best AS (SELECT fov, la, max(iou) m FROM edges GROUP BY fov, la), unc AS (SELECT DISTINCT a.fov, a.label FROM act a LEFT JOIN best ON best.fov=a.fov AND best.la=a.label WHERE coalesce(m, 0) < 0.1::DOUBLE)"
+
+
+@_query(f"{PART}, {_UNCOVERED} SELECT fov, label FROM unc")
+def uncovered_left(spark, sf):
+    return matching.uncovered(_masks(spark, sf)[1], _manual(spark, sf))
+
+
+_MERGED = f"""{_UNCOVERED}, extra AS (SELECT act.* FROM act JOIN unc USING (fov, label)),
+ touch AS (SELECT DISTINCT e.fov, e.label FROM extra e JOIN manual m ON m.fov=e.fov AND m.y=e.y AND m.x=e.x),
+ fresh AS (SELECT e.* FROM extra e ANTI JOIN touch t ON t.fov=e.fov AND t.label=e.label),
+ num AS (SELECT fov, label, row_number() OVER (PARTITION BY fov ORDER BY label) k FROM (SELECT DISTINCT fov, label FROM fresh)),
+ merged AS (SELECT fov, y, x, CAST(label AS INT) label FROM manual UNION ALL SELECT f.fov, y, x, CAST(coalesce(t.top, 0)+k AS INT) FROM fresh f JOIN num n ON n.fov=f.fov AND n.label=f.label LEFT JOIN (SELECT fov, max(label) top FROM manual GROUP BY fov) t ON t.fov=f.fov)"""
+
+
+def _merged(spark, sf) -> tuple[DataFrame, DataFrame]:
+    manual, act = _manual(spark, sf), _masks(spark, sf)[1]
+    extra = act.join(matching.uncovered(act, manual), ["fov", "label"], "left_semi").select("fov", "y", "x", "label")
+    return manual, matching.merge_masks(manual, extra)
+
+
+@_query(f"{PART}, {_MERGED} SELECT fov, y, x, label FROM merged")
+def merge_masks(spark, sf):
+    return _merged(spark, sf)[1]
+
+
+@_query(f"""{PART}, {_MERGED}, c AS (SELECT fov, count(DISTINCT label) n1 FROM merged GROUP BY fov), d AS (SELECT fov, count(DISTINCT label) n0 FROM manual GROUP BY fov)
+ SELECT count(*) AS n_fovs, count(*) FILTER (WHERE n1 > coalesce(n0,0)) AS n_changed, CAST(sum(n1 - coalesce(n0,0)) AS BIGINT) AS n_added FROM c LEFT JOIN d USING (fov)""")
+def merge_totals(spark, sf):
+    return matching.merge_totals(*_merged(spark, sf))
+
+
+_PRECISION = f"""{_MANUAL}, am AS (SELECT fov, y, x, label FROM h_mask WHERE pass='activity'), {_EDGES.format(a='am', b='manual')},
+ sides AS (SELECT * FROM (SELECT fov, count(DISTINCT label) np FROM am GROUP BY fov) FULL JOIN (SELECT fov, count(DISTINCT label) nt FROM manual GROUP BY fov) USING (fov)),
+ ap AS (SELECT s.fov, t.threshold, coalesce(tp,0) tp, coalesce(np,0) np, coalesce(nt,0) nt, round(coalesce(tp,0)::DOUBLE/greatest(coalesce(np,0)+coalesce(nt,0)-coalesce(tp,0), 1), 4) ap
+   FROM sides s CROSS JOIN (SELECT unnest([0.6, 0.75, 0.9])::DOUBLE threshold) t LEFT JOIN (SELECT fov, th, count(*) tp FROM edges, (SELECT unnest([0.6, 0.75, 0.9])::DOUBLE th) WHERE iou >= th GROUP BY fov, th) e ON e.fov=s.fov AND e.th=t.threshold)"""
+
+
+@_query(f"{PART}, {_PRECISION} SELECT fov, threshold, tp, np, nt, ap FROM ap")
+def average_precision(spark, sf):
+    return matching.precision(_masks(spark, sf)[1], _manual(spark, sf))
+
+
+@_query(f"{PART}, {_PRECISION} SELECT threshold, round(avg(ap), 4) AS mean_ap, count(ap) AS n_fovs FROM ap GROUP BY threshold")
+def mean_average_precision(spark, sf):
+    return matching.mean_precision(matching.precision(_masks(spark, sf)[1], _manual(spark, sf)))
+
+
+@_query()
+def average_precision_half(spark, sf):
+    return matching.precision(_masks(spark, sf)[1], _manual(spark, sf), (0.3, 0.5))
+
+
+@_query(f"{PART}, {GRID}, {SIGMOID} SELECT p.fov, label AS roi_id, round(avg(v), 5) AS cellpose_mean_prob FROM f1_px p JOIN prob USING (fov, y, x) WHERE pass='activity' GROUP BY p.fov, label")
+def score_raw_footprint(spark, sf):
+    return scoring.score_footprints(_side(spark, sf, "f1_px", "activity"), rasters.probability(_logit_grid(spark, sf)))
+
+
+@_query(f"{PART}, {GRID}, {SIGMOID}, s AS (SELECT p.fov, label, round(avg(v), 5) m FROM f1_px p JOIN prob USING (fov, y, x) WHERE pass='activity' GROUP BY p.fov, label) SELECT p.fov, y, x, arg_max(m, p.label) AS v, max(p.label) AS roi_id FROM f1_px p JOIN s ON s.fov=p.fov AND s.label=p.label WHERE pass='activity' GROUP BY p.fov, y, x")
+def footprint_raster(spark, sf):
+    px = _side(spark, sf, "f1_px", "activity")
+    return scoring.footprint_raster(px, scoring.score_footprints(px, rasters.probability(_logit_grid(spark, sf))))
+
+
+@_query(f"{_TO_SCORED}, n AS (SELECT fov, max(roi_id)-5 n FROM scored GROUP BY fov), l AS (SELECT fov, CAST(unnest(generate_series(0, n)) AS INT) roi_id FROM n) SELECT l.fov, l.roi_id, coalesce(cellpose_mean_prob, 0.0::DOUBLE) AS prob FROM l LEFT JOIN scored s ON s.fov=l.fov AND s.roi_id=l.roi_id")
+def dense_scores(spark, sf):
+    scored = _scored(spark, sf)
+    return scoring.dense_scores(scored, scored.groupBy("fov").agg((F.max("roi_id") - 5).alias("n")))
+
+
+# ---- morphology --------------------------------------------------------------
+
+_M = "m AS (SELECT fov, y, x, label FROM f1_mask WHERE pass='anatomy')"
+
+
+def _cells_sql(radius: int, centre: bool = True) -> str:
+    cells = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if abs(dy) + abs(dx) <= radius and (centre or dy or dx)]
+    return "(VALUES " + ",".join(f"({a},{b})" for a, b in cells) + ") o(dy, dx)"
+
+
+@_query(f"""{PART}, {_M} SELECT DISTINCT fov, label, y+dy AS y, x+dx AS x FROM m CROSS JOIN {_cells_sql(1, False)} WHERE y+dy BETWEEN 0 AND 255 AND x+dx BETWEEN 0 AND 255
+ AND (fov, label, y+dy, x+dx) NOT IN (SELECT (fov, label, y, x) FROM m)""")
+def contour(spark, sf):
+    return morphology.contour(_masks(spark, sf, "f1")[0], fx.FRAME, fx.FRAME)
+
+
+_DILATED = f"dil AS (SELECT DISTINCT fov, y+dy y, x+dx x FROM m CROSS JOIN {_cells_sql(5)} WHERE y+dy BETWEEN 0 AND 255 AND x+dx BETWEEN 0 AND 255)"
+_ERODED = f"core AS (SELECT m.* FROM m JOIN (SELECT fov, y+dy y, x+dx x FROM m CROSS JOIN {_cells_sql(2)} GROUP BY ALL HAVING count(*)=13) e USING (fov, y, x))"
+
+
+@_query(f"{PART}, {_M}, {_DILATED} SELECT fov, y, x FROM dil")
+def dilate5(spark, sf):
+    return morphology.dilate(_masks(spark, sf, "f1")[0], 5, fx.FRAME, fx.FRAME)
+
+
+@_query(f"{PART}, {_M}, {_ERODED} SELECT fov, y, x, label FROM core")
+def erode2(spark, sf):
+    return morphology.erode(_masks(spark, sf, "f1")[0], 2, fx.FRAME, fx.FRAME)
+
+
+@_query(f"""{PART}, {_M}, {_DILATED}, {_ERODED}, {GRID},
+ pts AS (SELECT fov, CAST(floor(avg(y)) AS INT) y, CAST(floor(avg(x)) AS INT) x, label FROM m WHERE (fov, label) NOT IN (SELECT (fov, label) FROM core) GROUP BY fov, label),
+ far AS (SELECT g.fov, g.y, g.x, t.label FROM grid g JOIN (SELECT fov, max(label)+1 label FROM m GROUP BY fov) t USING (fov) ANTI JOIN dil d ON d.fov=g.fov AND d.y=g.y AND d.x=g.x),
+ every AS (SELECT fov, y, x, label, 1 r FROM core UNION ALL SELECT fov, y, x, label, 2 FROM pts UNION ALL SELECT fov, y, x, label, 0 FROM far)
+ SELECT fov, y, x, CAST(max(r*100000+label) % 100000 AS INT) AS label FROM every GROUP BY fov, y, x""")
+def markers(spark, sf):
+    return morphology.markers(_masks(spark, sf, "f1")[0], fx.FRAME, fx.FRAME)
+
+
+_CLAMP = "greatest(0, least(7, y+dy))", "greatest(0, least(7, x+dx))"
+_SY = "(VALUES " + ",".join(f"({a},{b},{wa * wb}::DOUBLE)" for a, wa in ((-1, -0.5), (1, 0.5)) for b, wb in ((-1, 0.25), (0, 0.5), (1, 0.25))) + ") k(dy, dx, w)"
+_SX = "(VALUES " + ",".join(f"({b},{a},{wa * wb}::DOUBLE)" for a, wa in ((-1, -0.5), (1, 0.5)) for b, wb in ((-1, 0.25), (0, 0.5), (1, 0.25))) + ") k(dy, dx, w)"
+
+
+def _sobel_side(kernel: str) -> str:
+    return f"(SELECT o.fov, o.y, o.x, sum(w*p.v) g FROM (SELECT fov, y, x, {_CLAMP[0]} ny, {_CLAMP[1]} nx, w FROM proj CROSS JOIN {kernel}) o JOIN proj p ON p.fov=o.fov AND p.y=ny AND p.x=nx GROUP BY o.fov, o.y, o.x)"
+
+
+@_query(f"{MOVIE}, proj AS (SELECT fov, y, x, round(avg(v), 6) v FROM movie GROUP BY fov, y, x) SELECT a.fov, a.y, a.x, round(sqrt((a.g*a.g+b.g*b.g)/2), 5) AS v FROM {_sobel_side(_SY)} a JOIN {_sobel_side(_SX)} b USING (fov, y, x)")
+def sobel(spark, sf):
+    mean = rasters.projections(fx.movie(spark, sf)).select("fov", "y", "x", F.round("mean_v", 6).alias("v"))
+    return morphology.sobel(mean, 8, 8).withColumn("v", F.round("v", 5))
+
+
+@_query()
+def gaussian(spark, sf):
+    mean = rasters.projections(fx.movie(spark, sf)).select("fov", "y", "x", F.col("mean_v").alias("v"))
+    return morphology.gaussian(mean, 8, 8)
+
+
+@_query()
+def watershed(spark, sf):
+    mask = _masks(spark, sf, "f1")[0]
+    return morphology.watershed(_logit_grid(spark, sf), morphology.markers(mask, fx.FRAME, fx.FRAME), fx.FRAME, fx.FRAME)
+
+
+@_query()
+def refined_outlines(spark, sf):
+    a, b = _masks(spark, sf)
+    records = _records(spark, sf)
+    mask = matching.consensus_mask(a, b, records, scoring.TIERS)
+    return morphology.refined_outlines(_logit_grid(spark, sf), mask, records, fx.FRAME, fx.FRAME, ("GOLD", "SILVER"))
+
+
+# ---- planning ----------------------------------------------------------------
+
+_FILES = """files AS (SELECT p_partkey // 3 dir, 'tif' kind, 'FOV' || p_partkey || '_mc.tif' name FROM part WHERE p_partkey%7<>0 UNION ALL
+ SELECT p_partkey // 3, 'zip', CASE p_partkey%4 WHEN 0 THEN 'FOV' || p_partkey || '_RoiSet.zip' WHEN 1 THEN 'RoiSet.zip' ELSE 'other' || p_partkey || 'RoiSet.zip' END FROM part WHERE p_partkey%4<>3)"""
+
+
+def _files(spark, sf) -> DataFrame:
+    part = fx.table(spark, sf, "part")
+    tif = part.where("p_partkey % 7 <> 0").selectExpr("p_partkey div 3 AS dir", "'tif' AS kind", "concat('FOV', p_partkey, '_mc.tif') AS name")
+    archive = part.where("p_partkey % 4 <> 3").selectExpr(
+        "p_partkey div 3 AS dir", "'zip' AS kind", "CASE p_partkey % 4 WHEN 0 THEN concat('FOV', p_partkey, '_RoiSet.zip') WHEN 1 THEN 'RoiSet.zip' ELSE concat('other', p_partkey, 'RoiSet.zip') END AS name"
+    )
+    return tif.unionByName(archive)
+
+
+_PAIRED = f"""{_FILES}, tif AS (SELECT dir, name tif, replace(name, '_mc.tif', '') base FROM files WHERE kind='tif'), zip AS (SELECT dir, name zip, regexp_replace(name, '_?RoiSet\\.zip$', '') base FROM files WHERE kind='zip'),
+ a AS (SELECT dir, max(tif) tif, max(zip) zip FROM tif JOIN zip USING (dir, base) WHERE base<>'' GROUP BY dir, base),
+ tl AS (SELECT dir, max(tif) tif, count(*) n FROM tif WHERE (dir, tif) NOT IN (SELECT (dir, tif) FROM a) GROUP BY dir HAVING count(*)=1),
+ b AS (SELECT dir, tif, zip FROM tl JOIN (SELECT dir, max(zip) zip FROM zip WHERE base='' GROUP BY dir HAVING count(*)=1) USING (dir)),
+ c AS (SELECT dir, tif, zip FROM tl JOIN (SELECT dir, max(zip) zip FROM zip WHERE (dir, zip) NOT IN (SELECT (dir, zip) FROM a) GROUP BY dir HAVING count(*)=1) USING (dir) WHERE dir NOT IN (SELECT dir FROM b)),
+ paired AS (SELECT dir, tif, zip, 'A' strategy FROM a UNION ALL SELECT *, 'B' FROM b UNION ALL SELECT *, 'C' FROM c)"""
+
+
+@_query(f"WITH {_PAIRED} SELECT * FROM paired")
+def pair_files(spark, sf):
+    return planning.pair_files(_files(spark, sf))
+
+
+@_query(f"WITH {_PAIRED} SELECT strategy, count(*) AS n FROM paired GROUP BY strategy")
+def pairing_report(spark, sf):
+    return planning.pairing_report(planning.pair_files(_files(spark, sf)))
+
+
+@_query(f"WITH {_FILES} SELECT kind, name, count(*) AS n, array_to_string(list_sort(list(dir)), ',') AS dirs FROM files GROUP BY kind, name HAVING count(*) > 1")
+def collisions(spark, sf):
+    return planning.collisions(_files(spark, sf)).withColumn("dirs", F.array_join(F.col("dirs").cast("array<string>"), ","))
+
+
+@_query("SELECT DISTINCT 'FOV' || (p_partkey // 10) AS fov, true AS found FROM part WHERE regexp_full_match('FOV' || (p_partkey // 10), 'FOV1.*') OR p_partkey // 10 = 7 UNION ALL SELECT 'FOVx', false")
+def resolve_fovs(spark, sf):
+    names = fx.table(spark, sf, "part").selectExpr("concat('FOV', p_partkey div 10) AS fov")
+    return planning.resolve_fields(names, "FOV1*, FOV7,FOVx")
+
+
+@_query("""WITH m AS (SELECT p_partkey name, 256 h, 256 w, CASE WHEN p_size%10=0 THEN 0 ELSE p_size END n FROM part), i AS (SELECT p_partkey name, CASE WHEN p_size%7=0 THEN 128 ELSE 256 END h, 256 w FROM part WHERE p_partkey%9<>0)
+ SELECT m.name, CASE WHEN i.h IS NULL THEN 'no image' WHEN m.h<>i.h OR m.w<>i.w THEN 'shape' WHEN n=0 THEN 'empty' END AS issue, (i.h IS NOT NULL AND n > 0) AS is_pair FROM m LEFT JOIN i USING (name)""")
+def validate_dataset(spark, sf):
+    part = fx.table(spark, sf, "part")
+    masks = part.selectExpr("p_partkey AS name", "256 AS h", "256 AS w", "CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END AS n_labels")
+    images = part.where("p_partkey % 9 <> 0").selectExpr("p_partkey AS name", "CASE WHEN p_size % 7 = 0 THEN 128 ELSE 256 END AS h", "256 AS w")
+    return planning.validate_dataset(masks, images)
+
+
+@_query("""WITH a AS (SELECT p_partkey fov, 256 ly, 256 lx FROM part WHERE p_partkey%3<>0), b AS (SELECT p_partkey fov, CASE WHEN p_size%5=0 THEN 255 ELSE 256 END ly, 256 lx FROM part WHERE p_partkey%4<>0)
+ SELECT fov, ly, lx FROM a JOIN b USING (fov, ly, lx) WHERE fov%5<>0""")
+def complete_fields(spark, sf):
+    part = fx.table(spark, sf, "part")
+    a = part.where("p_partkey % 3 <> 0").selectExpr("p_partkey AS fov", "256 AS ly", "256 AS lx")
+    b = part.where("p_partkey % 4 <> 0").selectExpr("p_partkey AS fov", "CASE WHEN p_size % 5 = 0 THEN 255 ELSE 256 END AS ly", "256 AS lx")
+    return planning.complete_fields(a, b, part.where("p_partkey % 5 <> 0").selectExpr("p_partkey AS fov", "'mean' AS kind"))
+
+
+@_query("""WITH r AS (SELECT p_partkey fov, unnest(CASE WHEN p_partkey%3=0 THEN ['_mc_mean'] WHEN p_partkey%3=1 THEN ['_mean','_mc_mean'] ELSE ['_other'] END) suffix FROM part)
+ SELECT fov, CASE WHEN bool_or(suffix='_mean') THEN '_mean' ELSE '_mc_mean' END AS suffix FROM r WHERE suffix<>'_other' GROUP BY fov""")
+def raster_candidates(spark, sf):
+    part = fx.table(spark, sf, "part")
+    r = part.selectExpr("p_partkey AS fov", "explode(CASE WHEN p_partkey%3=0 THEN array('_mc_mean') WHEN p_partkey%3=1 THEN array('_mean','_mc_mean') ELSE array('_other') END) AS suffix")
+    return planning.first_candidate(r, ("_mean", "_mc_mean"))
+
+
+@_query("""WITH s AS (SELECT 'FOV' || p_partkey || '_mc.tif' path FROM part WHERE p_partkey < 200 AND p_partkey%2=0), m AS (SELECT 'FOV' || p_partkey stem FROM part WHERE p_partkey < 200)
+ SELECT stem, min(path) AS path FROM m LEFT JOIN s ON starts_with(path, stem) GROUP BY stem""")
+def prefix_match(spark, sf):
+    part = fx.table(spark, sf, "part").where("p_partkey < 200")
+    return planning.prefix_match(part.selectExpr("concat('FOV', p_partkey) AS stem"), part.where("p_partkey % 2 = 0").selectExpr("concat('FOV', p_partkey, '_mc.tif') AS path"))
+
+
+@_query("WITH o AS (SELECT p_partkey k, (p_partkey*2654435761) % 4294967296 h FROM part) SELECT k, row_number() OVER (ORDER BY h, k) <= greatest(1, CAST(floor((SELECT count(*) FROM part)*0.15) AS BIGINT)) AS is_val FROM o")
+def train_val_split(spark, sf):
+    return planning.train_val_split(fx.table(spark, sf, "part").selectExpr("p_partkey AS k"))
+
+
+@_query("WITH l AS (SELECT n_nationkey epoch, CASE WHEN n_nationkey%5=0 THEN 0.0::DOUBLE ELSE abs(n_nationkey-13)/10.0::DOUBLE + 0.1::DOUBLE END loss FROM nation) SELECT epoch, loss FROM l WHERE loss>0 ORDER BY loss, epoch LIMIT 1")
+def best_checkpoint(spark, sf):
+    losses = fx.table(spark, sf, "nation").selectExpr("n_nationkey AS epoch", "CASE WHEN n_nationkey % 5 = 0 THEN 0D ELSE abs(n_nationkey-13)/10D + 0.1D END AS loss")
+    return planning.best_checkpoint(losses)
+
+
+@_query("SELECT p_partkey AS fov FROM part WHERE p_partkey%4<>0")
+def resume_pending(spark, sf):
+    part = fx.table(spark, sf, "part")
+    return planning.resume_pending(part.selectExpr("p_partkey AS fov"), part.where("p_partkey % 4 = 0").selectExpr("p_partkey AS fov"))
+
+
+@_query("SELECT DISTINCT replace(replace('FOV' || p_partkey || CASE WHEN p_partkey%2=0 THEN '_mc' ELSE '_mc_x_mc' END, '_mc', ''), '_masks', '') AS fov FROM part")
+def stem_names(spark, sf):
+    from pixelweave.functions import stem
+
+    return fx.table(spark, sf, "part").selectExpr("concat('FOV', p_partkey, CASE WHEN p_partkey%2=0 THEN '_mc' ELSE '_mc_x_mc' END) AS n").select(stem(F.col("n")).alias("fov")).distinct()
