@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pixelweave.deploy import ship
 from pixelweave.operators.assignment import assign_field
 from pixelweave.operators.rasters import areas
 
@@ -50,6 +51,7 @@ def optimal_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
+    ship(edges.sparkSession)
     rest = residual_edges(edges).select("fov", "la", "lb", "iou")
     solved = rest.groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), rest.schema)
     return certain_pairs(edges).select("fov", "la", "lb", "iou").unionByName(solved).where(F.col("iou") >= threshold)
@@ -61,7 +63,7 @@ def tier_records(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, iscel
     ``roi_id`` runs over GOLD, SILVER, BRONZE in label order.  Missing partners are -1,
     their overlap 0 and their probability -1.
     """
-    pairs = optimal_pairs(iou_edges(a, b), threshold)
+    pairs = optimal_pairs(iou_edges(a, b).persist(), threshold).persist()
     of_a = areas(a).withColumnRenamed("label", "la")
     of_b = areas(b).withColumnRenamed("label", "lb")
     gold = pairs.join(of_a, ["fov", "la"]).select("fov", F.lit("GOLD").alias("tier"), F.lit(1).alias("rank"), "iou", "la", "lb", "centroid_y", "centroid_x", "area_px")
@@ -137,6 +139,7 @@ def precision(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, .
     for t in thresholds:
         over = edges.where(F.col("iou") >= t)
         if t <= 0.5:
+            ship(edges.sparkSession)
             weighted = over.select("fov", "la", "lb", (1.0 + F.col("iou") * 1e-6).alias("iou"))
             over = weighted.groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), weighted.schema)
         hits = over.groupBy("fov").agg(F.count(F.lit(1)).alias("tp"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.deploy import ship
 from pixelweave.operators.rasters import areas
 
 
@@ -123,6 +124,7 @@ def watershed(relief: DataFrame, seeds: DataFrame, height: int, width: int) -> D
         ys, xs = np.nonzero((out > 0) & (out < max(mark.max(), 1)))
         return pd.DataFrame({"fov": pdf["fov"].iloc[0], "y": ys, "x": xs, "label": out[ys, xs]})
 
+    ship(relief.sparkSession)
     joined = relief.join(seeds, ["fov", "y", "x"], "left").select("fov", "y", "x", "v", F.coalesce("label", F.lit(0)).alias("label"))
     return joined.groupBy("fov").applyInPandas(run, f"fov {dict(joined.dtypes)['fov']}, y int, x int, label int")
 

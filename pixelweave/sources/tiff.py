@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.deploy import ship
+
 #: Tag numbers and field sizes of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
@@ -92,6 +94,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 def read_stacks(spark: SparkSession, root: str) -> DataFrame:
     """``(path, fov, t, h, w, data array<float>, error)``; a bad file gives one error row."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERNS).load(root).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,6 +113,7 @@ def read_stacks(spark: SparkSession, root: str) -> DataFrame:
 
 def validate(spark: SparkSession, root: str) -> DataFrame:
     """``(path, fov, frames, h, w, error)`` from headers; a single page is an error."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERNS).load(root).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,6 +151,7 @@ def write_labels(mask: DataFrame, frames: DataFrame, folder: str) -> DataFrame:
         os.replace(path + ".part", path)
         return pd.DataFrame({"fov": [str(fov)], "path": [path], "n": [len(np.unique(own["label"]))]})
 
+    ship(frames.sparkSession)
     return frames.join(mask, "fov", "left").groupBy("fov").applyInPandas(run, "fov string, path string, n int")
 
 
