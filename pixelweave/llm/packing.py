@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.deploy import ship
 from pixelweave.llm import tokenizer_files as tf
 from pixelweave.llm.common import materialize
 
@@ -166,6 +167,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     Sequences with more than ``slack`` tokens free are packed again across shards.
     """
+    ship(docs.sparkSession)
     path = vocabulary or tf.vocabulary_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialize(rows.mapInArrow(_cut(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "packing-pieces")

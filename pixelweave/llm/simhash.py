@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.deploy import ship
 from pixelweave.llm.common import connected_components, discard, materialize, shuffle_partitions
 
 SEED = 42
@@ -221,6 +222,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component_id`` is the smallest id reachable through links of at most four bits and
     ``kept`` marks the document of that id.
     """
+    ship(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches(width), "doc_id long, fp long"), "simhash-fp")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     parts = connected_components(simhash_links(distinct, distinct.count()), "simhash").withColumnsRenamed({"node": "fp", "component": "root"})

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.deploy import ship
 from pixelweave.llm import tokenizer_files as tf
 from pixelweave.llm.common import shuffle_partitions
 from pixelweave.llm.dictionary import encode, per_document, segment_sums, token_rows
@@ -69,6 +70,7 @@ def _count_pieces(path: str):
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = 512, chunk_bytes: int = 32 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``."""
+    ship(docs.sparkSession)
     path = vocabulary or tf.vocabulary_path("byte_bpe_50k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = encode(rows, _split(path), None, chunk_bytes, "token-dictionary")
