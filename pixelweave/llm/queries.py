@@ -18,12 +18,24 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweave.llm.vector_neardup import vector_groups
+
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelweave.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweave.llm.chat_format import chat_format
+
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelweave.llm.packing import pack
 
@@ -48,6 +60,12 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweave.llm.lm_score import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -55,8 +73,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op6_best_fit_packing, op7_mixing, op8_quality_rules, op9_simhash_groups, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_vector_groups, op3_token_counts, op4_chat_format, op6_best_fit_packing, op7_mixing, op8_quality_rules, op9_simhash_groups, op10_lm_scores, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pixelweave.llm import chat_format
+
+    return {"op4_chat_format": chat_format.ORACLE_SQL}
