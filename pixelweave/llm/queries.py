@@ -36,6 +36,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelweave.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelweave.llm.packing import pack
 
@@ -73,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_vector_groups, op3_token_counts, op4_chat_format, op6_best_fit_packing, op7_mixing, op8_quality_rules, op9_simhash_groups, op10_lm_scores, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_vector_groups, op3_token_counts, op4_chat_format, op5_repeated_strings, op6_best_fit_packing, op7_mixing, op8_quality_rules, op9_simhash_groups, op10_lm_scores, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
