@@ -240,16 +240,17 @@ def re_tail(pattern: str) -> int:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``spans`` of ``(start, rank, end, kind)`` in text order."""
+    """``row`` (all columns of ``docs``), ``text`` (never null) and ``spans``, an array of
+    ``(start, rank, end, kind)`` in text order."""
     may = candidates(docs, rules, id_col, text_col).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(may, docs[id_col].eqNullSafe(may["_id"]), "left").withColumn("_t", whole(text_col))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("_own"), whole(text_col).alias("text"))
+    joined = rows.join(may, F.col("_own").eqNullSafe(F.col("_id")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for k, r in enumerate(rules):
-        indexed = f"c_{k}" in may.columns
-        test = F.coalesce(F.col(f"c_{k}"), F.lit(False)) if indexed else F.lit(True)
-        parts.append(F.when(test & F.col("_t").rlike(_bounded(r)), _spans("_t", r, k)).otherwise(none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_t", "_id", *[f"c_{k}" for k in range(len(rules))])
+        test = F.coalesce(F.col(f"c_{k}"), F.lit(False)) if f"c_{k}" in may.columns else F.lit(True)
+        parts.append(F.when(test & F.col("text").rlike(_bounded(r)), _spans("text", r, k)).otherwise(none))
+    return joined.select("row", "text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -259,7 +260,7 @@ def _listed(spans: Column) -> Column:
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, a digest of their spans, and all spans per document."""
     base = [k for k, r in enumerate(rules) if r.base]
-    found = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules, "doc_id", "text")
+    found = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules, "doc_id", "text").select("row.doc_id", "spans")
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{rules[k].kind}") for k in base],
@@ -270,7 +271,7 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans by one mark."""
     found = scan(docs, rules, id_col, text_col)
-    text = F.col(text_col)
+    text = F.col("text")
 
     def cut(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -280,4 +281,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     whole_text = F.aggregate(
         "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     )
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole_text).otherwise(text)).drop("spans").select(*docs.columns)
+    fresh = F.when(F.size("spans") > 0, whole_text).otherwise(F.col("row")[text_col])
+    return found.select(*[(fresh if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

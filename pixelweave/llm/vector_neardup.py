@@ -130,7 +130,7 @@ def _compare(model, radius: float, cosine: float):
         which = int(pdf["list"].iloc[0])
         entry, query = pdf[pdf["is_entry"]], pdf[~pdf["is_entry"]]
         if not len(entry) or not len(query):
-            return pd.DataFrame({"rep": [], "links": [], "other": []})
+            return _found([], [], [], [])
         xs, qs = np.stack([np.frombuffer(v) for v in entry["vector"]]), np.stack([np.frombuffer(v) for v in query["vector"]])
         code = np.stack([np.frombuffer(c, np.uint8) for c in entry["code"]])
         xr, qr = entry["rep"].to_numpy(), query["rep"].to_numpy()
@@ -172,12 +172,20 @@ def _compare(model, radius: float, cosine: float):
                 if a != b:
                     parent[max(a, b)] = min(a, b)
         tree = [(v, root(v)) for v in parent]
-        out = [(r, n, None) for r, n in zip([*qr, *xr], [*links_q, *links_x]) if n] + [(a, 0, b) for a, b in tree if a != b]
-        return pd.DataFrame(out, columns=["rep", "links", "other"]).astype({"rep": "int64", "links": "int64", "other": "Int64"})
+        tree = [(a, b) for a, b in tree if a != b]
+        reps, links = np.concatenate([qr, xr]), np.concatenate([links_q, links_x])
+        some = links > 0
+        return _found(reps[some], links[some], [a for a, _ in tree], [b for _, b in tree])
 
     return run
 
 
+def _found(reps, links, a, b) -> pd.DataFrame:
+    """Counts of links and, marked as edges, a spanning forest; ids stay integers."""
+    whole = lambda *parts: np.concatenate([np.asarray(p, np.int64) for p in parts])
+    return pd.DataFrame({"rep": whole(reps, a), "links": whole(links, np.zeros(len(a))), "other": whole(np.zeros(len(reps)), b), "edge": np.arange(len(reps) + len(a)) >= len(reps)})
+
+
 def _few(a: np.ndarray, b: np.ndarray):
     """A spanning set of many links: label by least neighbour until nothing changes."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -232,9 +240,9 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     as_query = asked.join(blocks, "list").withColumn("q", spot("qb")).select(*[c if c not in ("code", "missed") else F.lit(None).cast(dict(indexed.dtypes)[c]).alias(c) for c in cols], upto("xb").alias("x"), "q", F.lit(False).alias("is_entry"))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     both = as_entry.unionByName(as_query)
-    found = materialize(both.groupBy("list", "x", "q").applyInPandas(_compare(model, radius, cosine), "rep long, links long, other long"), "vector-links")
-    counts = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector").withColumnsRenamed({"node": "rep", "component": "root"})
+    found = materialize(both.groupBy("list", "x", "q").applyInPandas(_compare(model, radius, cosine), "rep long, links long, other long, edge boolean"), "vector-links")
+    counts = found.where("NOT edge").groupBy("rep").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.where("edge").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector").withColumnsRenamed({"node": "rep", "component": "root"})
     rooted = entries.select("key", "key2", "rep", "weight", "least_id").join(parts, "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(counts, "rep", "left")
     rooted = materialize(rooted, "vector-rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
