@@ -395,7 +395,7 @@ def _collected(reduced: DataFrame, column: str) -> list[np.ndarray]:
     """Slot states by predictor; ORDERS x 2**SLOT_BITS bytes whatever the corpus."""
     tables = [np.zeros(1 << SLOT_BITS, np.uint8) for _ in ORDERS]
     half = BLOCK // 2
-    for k, b, blob in reduced.select("k", "block", column).toLocalIterator():
+    for k, b, blob in reduced.select("k", "block", column).collect():
         tables[k][b * half : (b + 1) * half] = np.frombuffer(blob, np.uint8)
     return tables
 
