@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators import matching, morphology, planning, rasters, scoring
 from pixelweave.plans import fixtures as fx
+from pixelweave.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +42,9 @@ def _side(spark, sf, view: str, side: str, *columns: str) -> DataFrame:
 
 
 def _masks(spark, sf, kind: str = "h") -> tuple[DataFrame, DataFrame]:
-    return _side(spark, sf, f"{kind}_mask", "anatomy"), _side(spark, sf, f"{kind}_mask", "activity")
+    """Both masks; written once, as every operator after them reads them more than once."""
+    both = materialize(fx.part_view(spark, sf, f"{kind}_mask", "pass", "fov", "y", "x", "label"), f"{kind}-masks")
+    return tuple(both.where(F.col("pass") == side).drop("pass") for side in ("anatomy", "activity"))
 
 
 def _cells(spark, sf, side: str, kind: str = "h") -> DataFrame:

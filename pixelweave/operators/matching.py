@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from pixelweave.deploy import ship
 from pixelweave.operators.assignment import assign_field
 from pixelweave.operators.rasters import areas
+from pixelweave.scratch import materialize
 
 THRESHOLD = 0.3
 #: A pair above 1 / (1 + 2 t), t = (sqrt(17) - 1) / 8, is in every optimum, as the
@@ -61,9 +62,10 @@ def tier_records(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, iscel
     """One record per region: GOLD pairs, SILVER anatomy only, BRONZE activity only.
 
     ``roi_id`` runs over GOLD, SILVER, BRONZE in label order.  Missing partners are -1,
-    their overlap 0 and their probability -1.
+    their overlap 0 and their probability -1.  Edges, pairs and records are written once
+    each, as all that follows reads them several times.
     """
-    pairs = optimal_pairs(iou_edges(a, b).persist(), threshold).persist()
+    pairs = materialize(optimal_pairs(materialize(iou_edges(a, b), "edges"), threshold), "pairs")
     of_a = areas(a).withColumnRenamed("label", "la")
     of_b = areas(b).withColumnRenamed("label", "lb")
     gold = pairs.join(of_a, ["fov", "la"]).select("fov", F.lit("GOLD").alias("tier"), F.lit(1).alias("rank"), "iou", "la", "lb", "centroid_y", "centroid_x", "area_px")
@@ -77,10 +79,11 @@ def tier_records(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, iscel
         every = every.join(prob, ["fov", "lb"], "left")
     else:
         every = every.withColumn("s2p_iscell_prob", F.lit(None).cast("double"))
-    return every.select(
+    records = every.select(
         "fov", F.col("roi_id").cast("int").alias("roi_id"), "tier", F.round("iou", 4).alias("iou_score"), F.col("la").cast("int").alias("cellpose_label"), F.col("lb").cast("int").alias("s2p_label"),
         "centroid_y", "centroid_x", "area_px", F.coalesce("s2p_iscell_prob", F.lit(-1.0)).alias("s2p_iscell_prob"),
     )
+    return materialize(records, "records")
 
 
 def consensus_mask(a: DataFrame, b: DataFrame, records: DataFrame, tiers: tuple[str, ...] = ("GOLD", "SILVER")) -> DataFrame:
