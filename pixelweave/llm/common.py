@@ -1,53 +1,13 @@
-"""Scratch tables, distributed connected components and size-checked joins."""
+"""Distributed connected components and size-checked joins; scratch tables by their name here."""
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_serial = itertools.count()
-_run = uuid.uuid4().hex[:12]
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    ``spark.checkpoint.dir`` wins; a temporary folder is set only where it is unset,
-    which is right for local mode alone.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tables-{_run}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Unlike ``checkpoint()`` this computes the rows once, prunes columns on later reads
-    and gives exact sizes to the optimizer.  The lineage ends at the files.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{next(_serial):05d}-{tag}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
+from pixelweave.scratch import discard, materialize, scratch_dir
 
-def discard(*frames: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "scratch_path", None)
-        if path:
-            spark = df.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+__all__ = ["connected_components", "discard", "join_groups", "materialize", "scratch_dir", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
