@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ _ARROW = pa.schema(
 def _pack(sizes: list[int], numbers: np.ndarray, counts: np.ndarray) -> bytes:
     """Numbers are sorted within a document, so their differences are small."""
     steps = numbers.copy()
-    steps[1:] -= numbers[:-1]
+    if len(numbers):
+        steps[1:] -= numbers[:-1]
     starts = np.cumsum([0, *sizes[:-1]]).astype(np.int64)
     starts = starts[np.asarray(sizes, np.int64) > 0]
     steps[starts] = numbers[starts]
@@ -103,6 +105,51 @@ def encode(docs: DataFrame, split: Callable[[str], tuple[list[str], list[int]]],
     return materialize(docs.select("doc_id", "text").mapInArrow(run, SCHEMA), tag)
 
 
+def encode_words(docs: DataFrame, stats: Callable[[bytes], list[int]], trains: Callable[[int | None], bool], chunk_bytes: int, tag: str) -> DataFrame:
+    """The dictionary table of words between ASCII white space, A-Z lower-cased.
+
+    The same rows as ``encode`` with such a split, made by whole-array operations.
+    """
+
+    def block(chunk: int, ids: pa.ChunkedArray, texts: pa.ChunkedArray) -> pa.RecordBatch:
+        texts = texts.combine_chunks().cast(pa.large_string()).fill_null("")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = pc.dictionary_encode(words.flatten())
+        edges = words.offsets.to_numpy()
+        doc = np.repeat(np.arange(len(texts)), np.diff(edges))
+        code = coded.indices.to_numpy().astype(np.int64)
+        tokens = coded.dictionary.cast(pa.string())
+        empty = pc.index(tokens, "").as_py()
+        if empty >= 0:
+            doc, code = doc[code != empty], code[code != empty]
+        size = max(1, len(tokens))
+        keys, counts = np.unique(doc * size + code, return_counts=True)
+        doc, code = keys // size, keys % size
+        known = ids.to_pylist()
+        flags = np.array([trains(i) for i in known], bool)
+        trained = np.bincount(code, weights=counts * flags[doc], minlength=len(tokens)).astype(np.int64)
+        blob = _pack(np.bincount(doc, minlength=len(known)).tolist(), code, counts)
+        numbers = [n for t in texts.to_pylist() for n in stats(t.encode("utf-8", "surrogatepass"))]
+        row = [chunk], [tokens.to_pylist()], [trained], [known], [numbers], [blob]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 24
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= chunk_bytes:
+                table = pa.Table.from_batches(held)
+                yield block(chunk, table.column(0), table.column(1))
+                chunk, held, size = chunk + 1, [], 0
+        if held:
+            table = pa.Table.from_batches(held)
+            yield block(chunk, table.column(0), table.column(1))
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, SCHEMA), tag)
+
+
 def token_rows(chunks: DataFrame) -> DataFrame:
     """``(chunk, pos, token, trained)``, one row per block and distinct token."""
     pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("tokens", "trained")).alias("pos", "t"))

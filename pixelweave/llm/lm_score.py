@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 
 from pixelweave.deploy import ship
 from pixelweave.llm.common import discard, materialize, shuffle_partitions
-from pixelweave.llm.dictionary import encode, per_document, segment_sums, token_rows
+from pixelweave.llm.dictionary import encode_words, per_document, segment_sums, token_rows
 
 FOLDS, HELD_OUT = 5, 1
 #: Training texts that the weights are learnt on: one in this many of all texts.
@@ -432,12 +432,7 @@ def model_scores(docs: DataFrame) -> DataFrame:
 def base_scores(docs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score`` under smoothed word counts."""
 
-    def split(text: str) -> tuple[list[str], list[int]]:
-        raw = text.encode("utf-8", "surrogatepass")
-        return [w.decode("utf-8", "surrogatepass") for w in raw.lower().split()], [text_key(raw)]
-
-    trains = lambda i: fold_of(i) != HELD_OUT
-    chunks = encode(docs, split, trains, chunk_bytes, "lm-dictionary")
+    chunks = encode_words(docs, lambda raw: [text_key(raw)], lambda i: fold_of(i) != HELD_OUT, chunk_bytes, "lm-dictionary")
     by_token = Window.partitionBy("token")
     rows = token_rows(chunks).withColumns({"value": F.sum("trained").over(by_token), "place": F.row_number().over(by_token.orderBy("chunk"))})
     rows = materialize(rows.select("chunk", "pos", "value", ((F.col("place") == 1) & (F.col("value") > 0)).alias("counts")), "lm-counts")
