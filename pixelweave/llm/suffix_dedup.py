@@ -285,60 +285,72 @@ def _fetch(buckets: int):
 
 
 def shard_transform(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a shard, as positions.
+    """Order of all suffixes of a shard, as positions, by doubling sorted lengths.
 
     ``text`` holds segments, each ended by 0, other bytes being one higher than theirs;
-    ends are told apart by their place, so no two suffixes are equal.
+    ends are told apart by their place, so no two suffixes are equal.  Only suffixes that
+    are not yet told apart are sorted on; a rank is the number of smaller suffixes.
     """
     n = len(text)
     ends = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(ends)
+    below = np.cumsum(np.bincount(text, minlength=1)) - np.bincount(text, minlength=1)
+    rank = below[text]
     rank[ends] = np.arange(len(ends))
+    tied = np.flatnonzero(text > 0)
     have = 1
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - have] = rank[have:] + 1
-        key = rank * (n + 512) + follow
+    while len(tied):
+        after = tied + have
+        key = rank[tied] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        if fresh.all():
-            return order
+        tied, key = tied[order], key[order]
+        old = rank[tied]
+        place = np.arange(len(tied))
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        head = np.concatenate([[True], old[1:] != old[:-1]])
+        rank[tied] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(head, place, 0))
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.concatenate([start, [len(tied)]]))
+        tied = tied[np.repeat(size > 1, size)]
         have *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
-def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes and their blocks after ``rounds`` rounds.
+def merge_transforms(shards: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated intervals of the merged shards: rows in merged order, and their blocks.
 
-    A shard is its transform (the byte before each suffix in order, 0 at a segment's
-    start) and its number of segments.  The interleave gives each place's shard; a block
-    is a run of places whose suffixes share the first ``rounds`` bytes.
+    A shard is its transform, the byte before each of its suffixes in order, 0 at a
+    segment's start; rows count through the shards.  The interleave of the shards' rows
+    starts as one block in which no byte is compared.  A round moves every row to its
+    suffix with one more byte in front: rows with equal such bytes and of one block form
+    the new blocks, in the order of byte and block, so after ``k`` rounds a block holds
+    the suffixes with one prefix of ``k`` bytes.  What is alone in its block stays alone
+    in all further rounds and is let go.
     """
-    bwt = np.concatenate([b for b, _ in shards])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(b) for b, _ in shards])
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint8), [e for _, e in shards])
-    block = np.zeros(len(bwt), np.int32)
-    chars = np.empty_like(bwt)
-    n_ends = len(ends)
+    offset, step = 0, []
+    for bwt in shards:
+        order = np.argsort(bwt, kind="stable")
+        follow = np.empty(len(bwt), np.int32)
+        follow[order] = np.arange(offset, offset + len(bwt), dtype=np.int32)
+        step.append(follow)
+        offset += len(bwt)
+    bwt, step = np.concatenate(shards), np.concatenate(step)
+    rows, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
     for _ in range(rounds):
-        chars[np.argsort(source, kind="stable")] = bwt
-        order = np.argsort(chars, kind="stable")
+        chars = bwt[rows]
+        inside = np.flatnonzero(chars)
+        order = inside[np.argsort(chars[inside], kind="stable")]
         moved, before = chars[order], block[order]
-        fresh = (moved[1:] != moved[:-1]) | (before[1:] != before[:-1])
-        fresh[:n_ends] = True
-        following = np.empty_like(block)
-        following[0] = 0
-        np.cumsum(fresh, out=following[1:])
-        source = source[order]
-        source[:n_ends] = ends
-        if following[-1] == block[-1] and (following == block).all():
-            break
-        block = following
-        if block[-1] == len(block) - 1:
+        fresh = np.concatenate([[True], (moved[1:] != moved[:-1]) | (before[1:] != before[:-1])])[: len(order)]
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.concatenate([start, [len(order)]]))
+        many = size > 1
+        rows = step[rows[order[np.repeat(many, size)]]]
+        block = np.repeat(np.arange(int(many.sum()), dtype=np.int32), size[many])
+        if not len(rows):
             break
-    return source, block
+    return rows, block
 
 
 def repeated_windows(pieces: np.ndarray, body: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -347,33 +359,28 @@ def repeated_windows(pieces: np.ndarray, body: np.ndarray, offset: np.ndarray) -
     size = pieces["size"].astype(np.int64)
     cuts = [0]
     for i in range(len(pieces)):
-        if offset[i] + size[i] - offset[cuts[-1]] > SHARD and i > cuts[-1] and len(cuts) < 255:
+        if offset[i] + size[i] - offset[cuts[-1]] > SHARD and i > cuts[-1]:
             cuts.append(i)
     cuts.append(len(pieces))
+    kind = np.uint8 if not len(body) or body.max() < 255 else np.uint16
     shards, places = [], []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        at = offset[a : b] - offset[a] + np.arange(b - a)
-        text = np.zeros(int(size[a:b].sum()) + b - a, np.uint16)
+        at = offset[a:b] - offset[a] + np.arange(b - a)
+        text = np.zeros(int(size[a:b].sum()) + b - a, kind)
         inside = np.ones(len(text), bool)
         inside[at + size[a:b]] = False
-        text[inside] = body[offset[a] : offset[a] + size[a:b].sum()].astype(np.uint16) + 1
+        text[inside] = body[offset[a] : offset[a] + size[a:b].sum()].astype(kind) + kind(1)
         order = shard_transform(text)
         last = text[order - 1]
         starts = np.zeros(len(text), bool)
         starts[at] = True
         last[starts[order]] = 0
-        shards.append((last, b - a))
+        shards.append(last)
         owner = np.repeat(np.arange(a, b), size[a:b] + 1)
         inner = np.arange(len(text)) - np.repeat(at, size[a:b] + 1)
         places.append((owner[order], inner[order]))
-    source, block = merge_transforms(shards, LENGTH)
-    back = np.argsort(source, kind="stable")
-    owner, inner = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    owner[back] = np.concatenate([o for o, _ in places])
-    inner[back] = np.concatenate([i for _, i in places])
-    n = np.bincount(block)
-    some = n[block] > 1
-    owner, inner, block = owner[some], inner[some], block[some]
+    rows, block = merge_transforms(shards, LENGTH)
+    owner, inner = (np.concatenate([p[k] for p in places])[rows] for k in (0, 1))
     full = inner + LENGTH <= size[owner]
     owner, inner, block = owner[full], inner[full], block[full]
     if not len(block):

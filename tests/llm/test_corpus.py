@@ -183,28 +183,28 @@ def test_wide_names(spark, docs, monkeypatch):
     assert {k: len(covered.get(k, ())) for k in want} == {k: v[1] for k, v in want.items()}
 
 
-def test_merged_transforms_equal_sorted_suffixes():
-    rng = np.random.default_rng(1)
-    texts = [rng.integers(1, 4, int(n)).astype(np.uint16) for n in rng.integers(1, 30, 12)]
+@pytest.mark.parametrize("rounds", [1, 3, 6])
+def test_merged_transforms_give_repeated_prefixes(rounds):
+    rng = np.random.default_rng(rounds)
+    texts = [rng.integers(1, 4, int(n)).astype(np.uint8) for n in rng.integers(1, 30, 14)]
     shards, suffixes = [], []
     for part in (texts[:5], texts[5:6], texts[6:]):
-        text = np.concatenate([np.append(t, 0) for t in part]).astype(np.uint16)
+        text = np.concatenate([np.append(t, 0) for t in part]).astype(np.uint8)
         order = suffix_dedup.shard_transform(text)
-        at = np.cumsum([0, *(len(t) + 1 for t in part)])[:-1]
+        own = [text[i : i + int(np.flatnonzero(text[i:] == 0)[0])].tolist() for i in order]
+        assert own == sorted(own)
         last = text[order - 1]
-        last[np.isin(order, at)] = 0
-        shards.append((last, len(part)))
-        suffixes.append([text[i : i + int(np.flatnonzero(text[i:] == 0)[0])].tolist() for i in order])
-    source, block = suffix_dedup.merge_transforms(shards, 64)
-    took = [iter(s) for s in suffixes]
-    merged = [next(took[s]) for s in source]
-    assert merged == sorted(merged)
-    _, block = suffix_dedup.merge_transforms(shards, 3)
-    source3, _ = suffix_dedup.merge_transforms(shards, 3)
-    took = [iter(s) for s in suffixes]
-    merged = [next(took[s]) for s in source3]
-    for a, b, x, y in zip(merged, merged[1:], block, block[1:]):
-        assert (x == y) == (len(a) >= 3 and a[:3] == b[:3])
+        last[np.isin(order, np.cumsum([0, *(len(t) + 1 for t in part)])[:-1])] = 0
+        shards.append(last)
+        suffixes += own
+    rows, block = suffix_dedup.merge_transforms(shards, rounds)
+    prefixes = Counter(tuple(s[:rounds]) for s in suffixes if len(s) >= rounds)
+    repeated = sorted(p for p, n in prefixes.items() if n > 1)
+    got = {}
+    for r, b in zip(rows.tolist(), block.tolist()):
+        got.setdefault(b, []).append(tuple(suffixes[r][:rounds]))
+    assert [set(v) for _, v in sorted(got.items())] == [{p} for p in repeated]
+    assert [len(got[k]) for k in sorted(got)] == [prefixes[p] for p in repeated]
 
 
 def test_mixture(spark, docs, doc_rows, none, clashing):
