@@ -5,8 +5,8 @@ cut.  Pieces are dealt over shards of bounded size.  In a shard each piece goes
 the sum over residual gaps of the squared number of open sequences with that gap
 becomes smallest, a new sequence being one of the choices.  Sequences which a shard
 leaves far from full are dissolved and packed again among those of other shards, in
-fewer and fewer shards of the same bounded size, until one shard is left or nothing
-moves.
+fewer and fewer shards of the same bounded size, until one shard is left, nothing moves
+or the turns are over; the sequences of the last turn stay as they are.
 
 Defined results: null text is an empty document, which is the terminator alone;
 repeated rows are packed each; a null id is passed through; an empty table gives an
@@ -34,6 +34,8 @@ CAPACITY = 4096
 TERMINATOR = 1
 #: Pieces in a shard, on average.
 SHARD = 20_000
+#: Times that pieces are dealt over shards.
+TURNS = 12
 #: Distinct runs of characters whose ids a worker remembers before it starts afresh.
 REMEMBERED = 1_500_000
 
@@ -174,11 +176,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     columns = pieces.columns
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", shard long, bin long, offset long, fill long"
     left, n, done, before = pieces, pieces.count(), [], None
-    for turn in range(12):
+    for turn in range(TURNS):
         shards = max(1, -(-n // shard))
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(shards)))
         packed = materialize(dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), schema), f"packing-{turn}")
-        final = shards == 1 or n == before
+        final = shards == 1 or n == before or turn == TURNS - 1
         full = packed if final else packed.where(F.col("fill") >= capacity - slack)
         done.append(full.select(*columns, "offset", F.concat_ws("-", F.lit(turn), "shard", "bin").alias("of")))
         if final:

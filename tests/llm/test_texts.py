@@ -171,6 +171,15 @@ def test_packing(docs, doc_rows, none, clashing):
     assert packing.pack(none).count() == 0 and packing.pack(clashing).count() == 5
 
 
+def test_packing_keeps_pieces_that_stay_loose(spark):
+    sizes = [18 + k * k % 27 for k in range(800)]
+    df = spark.createDataFrame([(k, "a " * n) for k, n in enumerate(sizes)], "doc_id long, text string")
+    rows = packing.pack(df, capacity=64, shard=10, slack=0).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == [(k, n + 1) for k, n in enumerate(sizes)]
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(a + n <= (b if s == t else 64) for (s, a, n), (t, b, _) in zip(spans, [*spans[1:], (None, 0, 0)]))
+
+
 def test_sum_of_squares_rule():
     """Each piece goes where the sum of squares after it is least, by trying all."""
     rng = np.random.default_rng(0)
