@@ -8,11 +8,12 @@ the logistic scale, are summed with weights that a gate chooses by how well fill
 longer contexts' slots are; a second table refines the sum by the place in the code; and
 while a text goes on, scale and offset of its sum follow what was seen of it so far.
 
-Learning is spread over the cluster: counts of training texts are added up per slot;
-gated weights and refinement are learnt online, in small steps over texts that the counts
-did not include (one fold of the training texts), and averaged over tasks; the final
-counts take in that fold too.  The counts that tasks send grow with the text; the model
-itself has a fixed size, so it can be broadcast.
+Learning is spread over the cluster: counts of training texts are added up per slot and
+fold; gated weights and refinement are learnt online, in small steps over all training
+texts, fold by fold, each against the counts of the other training folds, and averaged
+over tasks, a fold going on from the weights of the one before; the final counts take in
+all training folds.  The counts that tasks send grow with the text; the model itself has
+a fixed size, so it can be broadcast.
 
 The base score is a smoothed unigram model over words whose counts come from the corpus
 dictionary (``dictionary``).
@@ -42,8 +43,7 @@ from pixelweave.llm.common import discard, materialize, shuffle_partitions
 from pixelweave.llm.dictionary import encode_words, per_document, segment_sums, token_rows
 
 FOLDS, HELD_OUT = 5, 1
-#: Training texts that the weights are learnt on: one in this many of all texts.
-MIXING_SHARE = 40
+TRAINING = tuple(f for f in range(FOLDS) if f != HELD_OUT)
 #: Preceding bytes that each predictor sees.
 ORDERS = (2, 3, 5)
 #: The predictor whose slots set the gate together with those of the longest.
@@ -70,9 +70,9 @@ def fold_of(doc_id: int | None) -> int:
     return _crc(doc_id) % FOLDS
 
 
-def mixes(doc_id: int | None) -> bool:
-    """Whether a training text is one that weights are learnt on."""
-    return _crc(doc_id) % MIXING_SHARE == 0
+def _fold():
+    """``fold_of`` as a column."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
 def text_key(raw: bytes) -> int:
@@ -288,75 +288,96 @@ def _histogram(rows):
 
 
 def _count(paths):
-    """Counts of a task's training texts as rows of packed blocks, by fold group."""
+    """Counts of a task's training texts as rows of packed blocks, by fold."""
 
     def run(rows):
         coder = Coder(paths.value)
-        size = 2 << SLOT_BITS
-        tables: dict[bool, list[np.ndarray]] = {}
+        tables: dict[tuple[int, int], list[np.ndarray]] = {}
         for ids, texts in _batches(rows, lambda i: fold_of(i) != HELD_OUT):
-            for mixing in (False, True):
-                own = [t for i, t in zip(ids, texts) if mixes(i) == mixing]
+            for fold in TRAINING:
+                own = [t for i, t in zip(ids, texts) if fold_of(i) == fold]
                 if not sum(map(len, own)):
                     continue
                 d = coder.decisions(own)
-                held = tables.setdefault(mixing, [np.zeros(size, np.uint32) for _ in ORDERS])
-                for table, slots in zip(held, d.slots):
-                    tally(table, slots, d.bits)
+                for k, slots in enumerate(d.slots):
+                    held = tables.setdefault((fold, k), [])
+                    held.append(tally(slots, d.bits))
+                    if sum(map(len, held[1:])) > max(1 << 18, len(held[0])):
+                        held[:] = [_added(held)]
         pack = zstandard.ZstdCompressor(level=1)
-        for mixing, held in tables.items():
-            for k, table in enumerate(held):
-                for b, part in enumerate(table.reshape(-1, BLOCK)):
-                    if part.any():
-                        planes = part.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([mixing]), pa.array([pack.compress(planes)], pa.binary())], names=["k", "block", "mixing", "counts"])
+        for fold, k in sorted(tables):
+            table = _added(tables.pop((fold, k)))
+            at = (table >> np.uint64(32)).astype(np.uint32)
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // BLOCK)) + 1):
+                own = slice(part[0], part[-1] + 1)
+                b, places = int(at[part[0]]) // BLOCK, np.diff(at[own] % BLOCK, prepend=np.uint32(0))
+                planes = np.concatenate([places, table[own].astype(np.uint32)]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([fold], pa.int32()), pa.array([pack.compress(planes)], pa.binary())], names=["k", "block", "fold", "counts"])
 
     return run
 
 
-def tally(table: np.ndarray, slots: np.ndarray, bits: np.ndarray) -> None:
-    """Add one for each decision; sorting the slots first keeps the table's pages warm."""
+def tally(slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How often each slot met each bit: (2 * slot + bit) << 32 | count, in order."""
     at = slots << np.uint32(1)
     at |= bits
     at.sort()
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    table[at[starts]] += np.diff(np.concatenate([starts, [len(at)]])).astype(np.uint32)
+    out = at[starts].astype(np.uint64) << np.uint64(32)
+    out |= np.diff(np.concatenate([starts, [len(at)]])).astype(np.uint64)
+    return out
+
+
+def _added(tallies: list[np.ndarray]) -> np.ndarray:
+    """One tally of several."""
+    if len(tallies) == 1:
+        return tallies[0]
+    every = np.concatenate(tallies)
+    every.sort()
+    at = every >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    every &= np.uint64(0xFFFFFFFF)
+    return (at[starts] << np.uint64(32)) | np.add.reduceat(every, starts)
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a block and their counts."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    both = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().reshape(2, -1)
+    return np.cumsum(both[0], dtype=np.int64), both[1].astype(np.int64)
 
 
 def _reduce(rows):
     """Sum blocks of a partition sorted by (k, block), one at a time, to slot states:
-    without and with the fold that the weights are learnt on."""
+    without each of the training folds, and of all."""
 
     def emit(key, sums):
-        part, whole = states(sums[0]), states(sums[0] + sums[1])
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([whole.tobytes()], pa.binary())], names=["k", "block", "part", "whole"])
+        whole = sum(sums.values())
+        found = {f"without_{f}": states(whole - sums[f]) for f in TRAINING} | {"whole": states(whole)}
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in found.values())], names=["k", "block", *found])
 
     key, sums = None, None
     for batch in rows:
-        for k, b, mixing, blob in zip(*(batch.column(c) for c in range(4))):
+        for k, b, fold, blob in zip(*(batch.column(c) for c in range(4))):
             now = (k.as_py(), b.as_py())
             if now != key:
                 if key is not None:
                     yield emit(key, sums)
-                key, sums = now, np.zeros((2, BLOCK), np.int64)
-            sums[int(mixing.as_py())] += _unpacked(blob.as_py())
+                key, sums = now, {f: np.zeros(BLOCK, np.int64) for f in TRAINING}
+            places, counts = _unpacked(blob.as_py())
+            sums[fold.as_py()][places] += counts
     if key is not None:
         yield emit(key, sums)
 
 
-def _learn(paths, tables):
+def _learn(paths, tables, weights):
     """Weights of one task after its online pass, and its refinement counts."""
 
     def run(rows):
-        coder, mixer = Coder(paths.value), Mixer(tables.value)
+        coder, mixer = Coder(paths.value), Mixer(tables.value, weights.astype(np.float32))
         refine = np.zeros((2, 255 * REFINE_BUCKETS), np.int64)
         seen = 0
-        for _, texts in _batches(rows, mixes):
+        for _, texts in _batches(rows, lambda i: True):
             d = coder.decisions(texts)
             if not len(d.bits):
                 continue
@@ -408,21 +429,23 @@ def model_scores(docs: DataFrame) -> DataFrame:
     for b, n in docs.mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         counts[b] = n
     paths = sc.broadcast(code_paths(counts))
-    blocks = docs.mapInArrow(_count(paths), "k int, block int, mixing boolean, counts binary")
+    blocks = docs.mapInArrow(_count(paths), "k int, block int, fold int, counts binary")
     dealt = blocks.repartition(shuffle_partitions(spark), "k", "block").sortWithinPartitions("k", "block")
-    reduced = materialize(dealt.mapInArrow(_reduce, "k int, block int, part binary, whole binary"), "lm-states")
-    part = sc.broadcast(_collected(reduced, "part"))
-    learnt = docs.mapInArrow(_learn(paths, part), "what int, at long, n double, v double").groupBy("what", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    part.destroy()
-    mixer = Mixer([])
-    weights, refine = mixer.weights.ravel().astype(np.float64), np.tile(_squash(np.linspace(-REACH, REACH, REFINE_BUCKETS)), 255)
-    prior = refine.copy()
-    for what, at, n, v in learnt:
-        if what == 0:
-            weights[at] = v / n
-        else:
-            refine[at] = (v + 20 * prior[at]) / (n + 20)
-    model = sc.broadcast((_collected(reduced, "whole"), weights.reshape(mixer.weights.shape).astype(np.float32), np.clip(refine, 1e-5, 1 - 1e-5).astype(np.float32)))
+    reduced = materialize(dealt.mapInArrow(_reduce, "k int, block int, " + ", ".join(f"without_{f} binary" for f in TRAINING) + ", whole binary"), "lm-states")
+    weights, prior = Mixer([]).weights, np.tile(_squash(np.linspace(-REACH, REACH, REFINE_BUCKETS)), 255)
+    hits, ones = np.full(len(prior), 20.0), 20 * prior
+    for fold in TRAINING:
+        part = sc.broadcast(_collected(reduced, f"without_{fold}"))
+        learnt = docs.where(_fold() == fold).mapInArrow(_learn(paths, part, weights), "what int, at long, n double, v double").groupBy("what", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+        part.destroy()
+        weights = weights.copy()
+        for what, at, n, v in learnt:
+            if what == 0:
+                weights.flat[at] = v / n
+            else:
+                hits[at] += n
+                ones[at] += v
+    model = sc.broadcast((_collected(reduced, "whole"), weights, np.clip(ones / hits, 1e-5, 1 - 1e-5).astype(np.float32)))
     scored = materialize(docs.mapInArrow(_score(paths, model), "doc_id long, text_key long, n_bytes long, score double"), "lm-scores")
     model.destroy()
     discard(reduced)
@@ -437,7 +460,7 @@ def base_scores(docs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
     rows = token_rows(chunks).withColumns({"value": F.sum("trained").over(by_token), "place": F.row_number().over(by_token.orderBy("chunk"))})
     rows = materialize(rows.select("chunk", "pos", "value", ((F.col("place") == 1) & (F.col("value") > 0)).alias("counts")), "lm-counts")
     distinct, words = rows.where("counts").agg(F.count(F.lit(1)), F.coalesce(F.sum("value"), F.lit(0))).first()
-    ends = docs.select("doc_id").where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != HELD_OUT).count()
+    ends = docs.select("doc_id").where(_fold() != HELD_OUT).count()
     total, vocabulary = words + ends, distinct + (1 if ends else 0)
     norm = total + 0.5 * (vocabulary + 1)
 
@@ -460,6 +483,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base = base_scores(rows)
     once = model.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.first("n_bytes").alias("n_bytes"), F.first("score").alias("score"))
     joined = base.join(once, base["doc_id"].eqNullSafe(F.col("id")) & (base["text_key"] == F.col("key")), "left")
-    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
+    held = _fold() == HELD_OUT
     bits = -F.col("score") * float(np.log2(10))
     return joined.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.when(F.col("n_bytes") > 0, bits / F.col("n_bytes")).alias("bits_per_byte"))

@@ -260,6 +260,15 @@ def test_scores(spark, docs, doc_rows, none, clashing):
     assert lm_score.lm_scores(none).count() == 0 and lm_score.lm_scores(clashing).count() == 5
 
 
+def test_weights_are_learnt_on_every_training_text(spark, docs, doc_rows):
+    import zlib
+
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 40]
+    rows = [(i, *r[1:]) for i, r in zip(ids, [r for r in doc_rows if len(r[1] or "") > 100] * 5)]
+    got = [r.score / r.n_bytes for r in lm_score.model_scores(spark.createDataFrame(rows, docs.schema).select("doc_id", "text")).collect()]
+    assert -np.median(got) * math.log2(10) < 1.92
+
+
 def test_code_paths_are_prefix_free():
     length, nodes, bits = lm_score.code_paths(np.array([1000 if b == 32 else b % 7 for b in range(256)]))
     assert abs(sum(2.0**-n for n in length) - 1) < 1e-12 and length[32] == min(length) and nodes.max() < 255
