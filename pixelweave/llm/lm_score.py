@@ -12,8 +12,9 @@ Learning is spread over the cluster: counts of training texts are added up per s
 fold; gated weights and refinement are learnt online, in small steps over all training
 texts, fold by fold, each against the counts of the other training folds, and averaged
 over tasks, a fold going on from the weights of the one before; the final counts take in
-all training folds.  The counts that tasks send grow with the text; the model itself has
-a fixed size, so it can be broadcast.
+all training folds.  Each predictor has at least four slots for every distinct pair of
+its context and the next byte in the training texts (estimated from the pairs of least
+hash), so counts and model grow with what the corpus holds; the model is broadcast.
 
 The base score is a smoothed unigram model over words whose counts come from the corpus
 dictionary (``dictionary``).
@@ -48,8 +49,10 @@ TRAINING = tuple(f for f in range(FOLDS) if f != HELD_OUT)
 ORDERS = (2, 3, 5)
 #: The predictor whose slots set the gate together with those of the longest.
 GATE = 0
-#: Slots of a predictor's table.
-SLOT_BITS = 22
+#: Least slots of a predictor's table, and the most that 32-bit slot numbers with a bit allow.
+SLOT_BITS, MOST_BITS = 22, 31
+#: Slots for each distinct pair of context and next byte, and hashes that pairs are estimated from.
+PAIR_SLOTS, SKETCH = 4, 4096
 #: Counts sent in one row.
 BLOCK = 1 << 17
 #: Text worked on at once, and bytes after which a text's scale and offset follow.
@@ -124,8 +127,9 @@ class Decisions:
 class Coder:
     """Turns texts into decisions."""
 
-    def __init__(self, paths):
+    def __init__(self, paths, slot_bits: tuple[int, ...] = (SLOT_BITS,) * len(ORDERS)):
         self.length, self.nodes, self.path_bits = paths
+        self.slot_bits = slot_bits
         self.length = self.length.astype(np.int32)
         self.at = np.cumsum(self.length, dtype=np.int32) - self.length
 
@@ -150,7 +154,7 @@ class Coder:
         mixed = nodes * np.uint32(0x9E3779B1)
         slots, wide = [], raw.astype(np.uint32)
         h, seen = np.zeros(len(raw), np.uint32), 0
-        for order_k in ORDERS:
+        for order_k, slot_bits in zip(ORDERS, self.slot_bits):
             while seen < order_k:
                 seen += 1
                 h[seen:] = (h[seen:] + wide[:-seen] + np.uint32(seen)) * np.uint32(0x2C1B3C6D)
@@ -158,7 +162,7 @@ class Coder:
             s = np.repeat(h[place], n) + mixed
             s *= np.uint32(0x297A2D39)
             s ^= s >> np.uint32(15)
-            s &= np.uint32((1 << SLOT_BITS) - 1)
+            s &= np.uint32((1 << slot_bits) - 1)
             slots.append(s)
         out = Decisions(slots, self.path_bits[inner], nodes)
         if steps and total:
@@ -281,17 +285,62 @@ def _batches(rows: Iterator[pa.RecordBatch], want) -> Iterator[tuple[list, list[
 
 
 def _histogram(rows):
+    """Training bytes (``what`` -1), and by predictor the least hashes of its pairs."""
     total = np.zeros(256, np.int64)
+    least = [np.zeros(0, np.uint64) for _ in ORDERS]
     for _, texts in _batches(rows, lambda i: fold_of(i) != HELD_OUT):
         total += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
-
-
-def _count(paths):
+        least = [smallest(np.concatenate([held, h])) for held, h in zip(least, pair_hashes(texts))]
+    what, at = [np.full(256, -1)], [np.arange(256)]
+    for k, held in enumerate(least):
+        what.append(np.full(len(held), k))
+        at.append(held.astype(np.int64))
+    at = np.concatenate(at)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(what), pa.int32()), pa.array(at), pa.array(np.concatenate([total, np.zeros(len(at) - 256, np.int64)]))], names=["what", "at", "n"])
+
+
+def pair_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """By predictor, a 63-bit hash of each byte with its context."""
+    raw = np.frombuffer(b"".join(bytes(PAD) + t for t in texts), np.uint8).astype(np.uint64)
+    sizes = np.array([len(t) + PAD for t in texts], np.int64)
+    own = np.ones(len(raw), bool)
+    own[((np.cumsum(sizes) - sizes)[:, None] + np.arange(PAD)[None, :]).ravel()] = False
+    pair, seen = raw.copy(), 0
+    for order_k in ORDERS:
+        while seen < order_k:
+            seen += 1
+            pair[seen:] |= raw[:-seen] << np.uint64(8 * seen)
+        h = (pair[own] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        yield h >> np.uint64(1)
+
+
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The SKETCH least distinct hashes, in order."""
+    if len(hashes) > 64 * SKETCH:  # most are far above the last that can stay
+        for share in (58, 54):
+            low = hashes[hashes < np.uint64(1 << share)]
+            if len(np.unique(low)) < SKETCH:
+                break
+            hashes = low
+    return np.unique(hashes)[:SKETCH]
+
+
+def distinct_of(least: np.ndarray) -> int:
+    """Distinct hashes in all, from the least of them in order."""
+    return len(least) if len(least) < SKETCH else int((SKETCH - 1) * 2.0**63 / float(least[SKETCH - 1]))
+
+
+def slot_bits_for(distinct: int) -> int:
+    return min(MOST_BITS, max(SLOT_BITS, (PAIR_SLOTS * distinct - 1).bit_length()))
+
+
+def _count(paths, slot_bits):
     """Counts of a task's training texts as rows of packed blocks, by fold."""
 
     def run(rows):
-        coder = Coder(paths.value)
+        coder = Coder(paths.value, slot_bits)
         tables: dict[tuple[int, int], list[np.ndarray]] = {}
         for ids, texts in _batches(rows, lambda i: fold_of(i) != HELD_OUT):
             for fold in TRAINING:
@@ -370,22 +419,25 @@ def _reduce(rows):
         yield emit(key, sums)
 
 
-def _learn(paths, tables, weights):
+def _learn(paths, slot_bits, tables, weights):
     """Weights of one task after its online pass, and its refinement counts."""
 
     def run(rows):
-        coder, mixer = Coder(paths.value), Mixer(tables.value, weights.astype(np.float32))
+        coder, mixer = Coder(paths.value, slot_bits), Mixer(tables.value, weights.astype(np.float32))
         refine = np.zeros((2, 255 * REFINE_BUCKETS), np.int64)
         seen = 0
         for _, texts in _batches(rows, lambda i: True):
             d = coder.decisions(texts)
             if not len(d.bits):
                 continue
-            x, gate = mixer.inputs(d)
-            mixer.learn(x, gate, d.bits)
-            where = mixer.bucket(d.nodes, mixer.sums(x, gate))
-            refine[0] += np.bincount(where, minlength=refine.shape[1])
-            refine[1] += np.bincount(where, weights=d.bits, minlength=refine.shape[1]).astype(np.int64)
+            for lo in range(0, len(d.bits), 1 << 18):  # a part at a time, for memory
+                own = slice(lo, lo + (1 << 18))
+                part = Decisions([s[own] for s in d.slots], d.bits[own], d.nodes[own])
+                x, gate = mixer.inputs(part)
+                mixer.learn(x, gate, part.bits)
+                where = mixer.bucket(part.nodes, mixer.sums(x, gate))
+                refine[0] += np.bincount(where, minlength=refine.shape[1])
+                refine[1] += np.bincount(where, weights=part.bits, minlength=refine.shape[1]).astype(np.int64)
             seen += len(d.bits)
         if seen:
             w = mixer.weights.ravel().astype(np.float64) * seen
@@ -399,9 +451,9 @@ def _learn(paths, tables, weights):
     return run
 
 
-def _score(paths, model):
+def _score(paths, slot_bits, model):
     def run(rows):
-        coder = Coder(paths.value)
+        coder = Coder(paths.value, slot_bits)
         tables, weights, refine = model.value
         mixer = Mixer(tables, weights, refine)
         for ids, texts in _batches(rows, lambda i: True):
@@ -412,9 +464,9 @@ def _score(paths, model):
     return run
 
 
-def _collected(reduced: DataFrame, column: str) -> list[np.ndarray]:
-    """Slot states by predictor; ORDERS x 2**SLOT_BITS bytes whatever the corpus."""
-    tables = [np.zeros(1 << SLOT_BITS, np.uint8) for _ in ORDERS]
+def _collected(reduced: DataFrame, column: str, slot_bits: tuple[int, ...]) -> list[np.ndarray]:
+    """Slot states by predictor, a byte for each slot."""
+    tables = [np.zeros(1 << b, np.uint8) for b in slot_bits]
     half = BLOCK // 2
     for k, b, blob in reduced.select("k", "block", column).collect():
         tables[k][b * half : (b + 1) * half] = np.frombuffer(blob, np.uint8)
@@ -425,18 +477,22 @@ def model_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_bytes, score`` for rows ``doc_id, text``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
+    found = materialize(docs.mapInArrow(_histogram, "what int, at long, n long").groupBy("what", "at").agg(F.sum("n").alias("n")), "lm-histogram")
     counts = np.zeros(256, np.int64)
-    for b, n in docs.mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for b, n in found.where("what = -1").select("at", "n").collect():
         counts[b] = n
+    least = [np.array([at for at, in found.where(F.col("what") == k).select("at").orderBy("at").limit(SKETCH).collect()], np.int64) for k in range(len(ORDERS))]
+    slot_bits = tuple(slot_bits_for(distinct_of(x)) for x in least)
+    discard(found)
     paths = sc.broadcast(code_paths(counts))
-    blocks = docs.mapInArrow(_count(paths), "k int, block int, fold int, counts binary")
+    blocks = docs.mapInArrow(_count(paths, slot_bits), "k int, block int, fold int, counts binary")
     dealt = blocks.repartition(shuffle_partitions(spark), "k", "block").sortWithinPartitions("k", "block")
     reduced = materialize(dealt.mapInArrow(_reduce, "k int, block int, " + ", ".join(f"without_{f} binary" for f in TRAINING) + ", whole binary"), "lm-states")
     weights, prior = Mixer([]).weights, np.tile(_squash(np.linspace(-REACH, REACH, REFINE_BUCKETS)), 255)
     hits, ones = np.full(len(prior), 20.0), 20 * prior
     for fold in TRAINING:
-        part = sc.broadcast(_collected(reduced, f"without_{fold}"))
-        learnt = docs.where(_fold() == fold).mapInArrow(_learn(paths, part, weights), "what int, at long, n double, v double").groupBy("what", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+        part = sc.broadcast(_collected(reduced, f"without_{fold}", slot_bits))
+        learnt = docs.where(_fold() == fold).mapInArrow(_learn(paths, slot_bits, part, weights), "what int, at long, n double, v double").groupBy("what", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
         part.destroy()
         weights = weights.copy()
         for what, at, n, v in learnt:
@@ -445,8 +501,8 @@ def model_scores(docs: DataFrame) -> DataFrame:
             else:
                 hits[at] += n
                 ones[at] += v
-    model = sc.broadcast((_collected(reduced, "whole"), weights, np.clip(ones / hits, 1e-5, 1 - 1e-5).astype(np.float32)))
-    scored = materialize(docs.mapInArrow(_score(paths, model), "doc_id long, text_key long, n_bytes long, score double"), "lm-scores")
+    model = sc.broadcast((_collected(reduced, "whole", slot_bits), weights, np.clip(ones / hits, 1e-5, 1 - 1e-5).astype(np.float32)))
+    scored = materialize(docs.mapInArrow(_score(paths, slot_bits, model), "doc_id long, text_key long, n_bytes long, score double"), "lm-scores")
     model.destroy()
     discard(reduced)
     return scored

@@ -269,6 +269,24 @@ def test_weights_are_learnt_on_every_training_text(spark, docs, doc_rows):
     assert -np.median(got) * math.log2(10) < 1.92
 
 
+def test_slots_follow_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes, collected = [], lm_score._collected
+    monkeypatch.setattr(lm_score, "_collected", lambda *a: sizes.append([len(t) for t in collected(*a)]) or collected(*a))
+    rows = [(k, bytes(rng.integers(33, 97, 200_000, dtype=np.uint8)).decode()) for k in range(12)]
+    few, many = (lm_score.model_scores(spark.createDataFrame(rows[:n], "doc_id long, text string")) for n in (1, 12))
+    assert few.count() == 1 and many.count() == 12
+    assert max(sizes[0]) == 1 << 22 and max(sizes[-1]) > 1 << 22
+
+
+def test_distinct_pairs():
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 109, 30_000, dtype=np.uint8)) for _ in range(6)] + [b"", b"ab"]
+    for order, h in zip(lm_score.ORDERS, lm_score.pair_hashes(texts)):
+        pairs = {(bytes(order) + t)[i : i + order + 1] for t in texts for i in range(len(t))}
+        assert lm_score.distinct_of(lm_score.smallest(np.concatenate([h, h]))) == pytest.approx(len(pairs), rel=0.05 if len(pairs) >= lm_score.SKETCH else 0)
+
+
 def test_code_paths_are_prefix_free():
     length, nodes, bits = lm_score.code_paths(np.array([1000 if b == 32 else b % 7 for b in range(256)]))
     assert abs(sum(2.0**-n for n in length) - 1) < 1e-12 and length[32] == min(length) and nodes.max() < 255
