@@ -557,6 +557,14 @@ def prefix_match(spark, sf):
     return planning.prefix_match(part.selectExpr("concat('FOV', p_partkey) AS stem"), part.where("p_partkey % 2 = 0").selectExpr("concat('FOV', p_partkey, '_mc.tif') AS path"))
 
 
+@_query("""WITH s AS (SELECT 'FOV' || p_partkey || '_mc.tif' path FROM part WHERE p_partkey%2=0), m AS (SELECT 'FOV' || p_partkey stem FROM part)
+ SELECT stem, min(path) AS path FROM m LEFT JOIN s ON starts_with(path, stem) GROUP BY stem""")
+def prefix_match_all(spark, sf):
+    """``prefix_match`` without its bound on the key: every mask and every stack."""
+    part = fx.table(spark, sf, "part")
+    return planning.prefix_match(part.selectExpr("concat('FOV', p_partkey) AS stem"), part.where("p_partkey % 2 = 0").selectExpr("concat('FOV', p_partkey, '_mc.tif') AS path"))
+
+
 @_query("WITH o AS (SELECT p_partkey k, (p_partkey*2654435761) % 4294967296 h FROM part) SELECT k, row_number() OVER (ORDER BY h, k) <= greatest(1, CAST(floor((SELECT count(*) FROM part)*0.15) AS BIGINT)) AS is_val FROM o")
 def train_val_split(spark, sf):
     return planning.train_val_split(fx.table(spark, sf, "part").selectExpr("p_partkey AS k"))

@@ -91,8 +91,10 @@ def first_candidate(rasters: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 def prefix_match(masks: DataFrame, stacks: DataFrame) -> DataFrame:
     """Each mask with the first stack, by path, whose name starts with the mask's stem."""
-    hits = masks.join(stacks, stacks["path"].startswith(masks["stem"]), "left")
-    return hits.groupBy("stem").agg(F.min("path").alias("path"))
+    stems = masks.select("stem").distinct()
+    starts = stacks.select("path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n")).join(stems.select(F.length("stem").alias("n")).distinct(), "n")
+    first = starts.groupBy(F.expr("substring(path, 1, n)").alias("stem")).agg(F.min("path").alias("path"))
+    return stems.join(first, "stem", "left").select("stem", "path")
 
 
 def image_mask_pairs(masks: DataFrame, images: DataFrame) -> DataFrame:

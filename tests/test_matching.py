@@ -110,3 +110,19 @@ def test_watershed_splits_between_seeds(spark):
     seeds = seeds.unionByName(spark.createDataFrame([(0, 0, 2, 3)], PIXEL))
     got = {r.x: r.label for r in morphology.watershed(relief, seeds, 1, 5).collect()}
     assert got == {0: 1, 1: 1, 3: 2, 4: 2}
+
+
+def test_prefix_match_of_all_parts(spark):
+    import pyarrow.parquet as pq
+    from pixelweave import catalogue
+    from pixelweave.operators import planning
+
+    keys = pq.read_table("/root/testdata/sf0.01/part.parquet")["p_partkey"].to_pylist()
+    paths = sorted(f"FOV{k}_mc.tif" for k in keys if k % 2 == 0)
+    want = {f"FOV{k}": next((p for p in paths if p.startswith(f"FOV{k}")), None) for k in keys}
+    df = catalogue.queries()["prefix_match_all"](spark, "/root/testdata/sf0.01")
+    assert {r.stem: r.path for r in df.collect()} == want and len(want) == len(keys)
+    assert "NestedLoop" not in df._jdf.queryExecution().toString()
+    masks = spark.createDataFrame([("a",), ("a",), ("",), (None,), ("é1",), ("zz",), ("ab.tif",)], "stem string")
+    stacks = spark.createDataFrame([("ab.tif",), ("aa.tif",), ("é12",), (None,), ("ab.tif",)], "path string")
+    assert sorted(map(tuple, planning.prefix_match(masks, stacks).collect()), key=str) == sorted([("", "aa.tif"), ("a", "aa.tif"), ("ab.tif", "ab.tif"), ("zz", None), ("é1", "é12"), (None, None)], key=str)
