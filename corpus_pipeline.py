@@ -4,9 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predec
 kept; its result is written as Parquet and read again as the next stage's ``docs``.  All
 but the last return the columns of ``documents``.
 
-Rows without an id cannot be named by the stages that decide per document: quality and
-near-duplicate stages pass them through.  Of rows that repeat an id the near-duplicate
-stage keeps one.
+Decisions on documents are carried by a key of the row, not by its id alone, so rows
+without an id or with one that other texts bear too are judged each by what they hold.
 """
 
 from __future__ import annotations
@@ -22,21 +21,31 @@ from pixelweave.llm.secret_scan import redact
 from pixelweave.llm.simhash import simhash_groups
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with a hash of these columns, nulls told apart, as ``_key``."""
+    return docs.withColumn("_key", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base limits or are far outliers go."""
-    rejected = quality_verdicts(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    rows = keyed(docs, "text", "lang", "source")
+    rejected = quality_verdicts(rows, id_col="_key").where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(rejected, "_key", "left_anti").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
-    gone = simhash_groups(docs).where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Of every group of near copies one row with the smallest id stays."""
+    rows = keyed(docs, "doc_id", "text")
+    groups = simhash_groups(rows, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = groups.join(rows.select("_key", "doc_id").distinct(), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first")
+    kept = materialize(named.groupBy("component_id").agg(first).select("first._key"), "near-kept")
+    rest = rows.join(kept, "_key", "left_semi")
+    repeated = materialize(rows.groupBy("_key").count().where("count > 1").select("_key"), "near-repeated")
     if not repeated.limit(1).count():
-        return rest
-    single = rest.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return rest.select(*docs.columns)
+    single = rest.join(repeated, "_key", "left_anti")
+    return single.unionByName(rest.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,13 @@ def test_rows_without_or_with_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())[0] == "5"
     assert corpus_pipeline.near_duplicate_stage(spark, docs, SF).where("doc_id = 5").count() == 1
+
+
+def test_one_id_on_different_texts(spark):
+    texts = [" ".join(f"{w}{k} {w}other{k * 7 % 50}" for k in range(60)) for w in ("alpha", "beta", "gamma")]
+    rows = [(None, "short", "en", "s", 5), (None, texts[0], "en", "s", 1), (1, "short", "en", "s", 5), (1, texts[1], "en", "s", 1), (1, texts[2], "en", "s", 1), (2, texts[1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    good = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert sorted((str(r.doc_id), r.text) for r in good.collect()) == sorted((str(i), t) for i, t, *_ in rows if t != "short")
+    left = corpus_pipeline.near_duplicate_stage(spark, good, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("None", texts[0]), ("1", texts[1]), ("1", texts[2])])
