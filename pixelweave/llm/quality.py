@@ -7,8 +7,8 @@ group's texts nearest by Mahalanobis distance and estimate again from these.  A
 one aggregate by group and distance bin, with map-side combine, so a group of any size
 costs no more than its bins; the kept part ends at a bin's edge.  Texts farther than
 ``cutoff`` (a chi-square quantile far in the tail, with floors under the scatter so that
-groups of very even texts stay tolerant) are rejected.  Groups below ``least_group``
-texts share one pooled group.
+groups of very even texts stay tolerant) are rejected.  Groups with fewer than
+``least_group`` texts within the base limits share one pooled group.
 
 Everything is DataFrame expressions.  Defined results: null text has no words and fails
 the base limits; null language or source is a group value of its own; repeated rows are
@@ -163,7 +163,7 @@ def _concentrate(rows: DataFrame, params: DataFrame, turn: int) -> DataFrame:
 
 def outlier_distances(stats: DataFrame, steps: int = STEPS, least_group: int = LEAST_GROUP) -> DataFrame:
     """``stats`` (a scratch table) with the squared robust distance ``d2`` of each row."""
-    sizes = materialize(stats.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(F.count(F.lit(1)).alias("size")), "mcd-size")
+    sizes = materialize(stats.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(F.count_if(~F.col("base_failed")).alias("size")), "mcd-size")
     rows = stats.select("*", *[e.alias(a) for a, e in _vector().items()]).withColumns({"g_lang": F.col("lang"), "g_source": F.col("source")})
     rows = join_groups(rows, sizes, ["g_lang", "g_source"], "doc_id")
     pooled = F.col("size") < least_group

@@ -124,6 +124,18 @@ def test_outlier_distances(spark):
     assert {i for i, d in got.items() if d > q.CUTOFF} == {i for i in range(400) if i % 40 == 0}
 
 
+def test_groups_of_rejected_texts_are_pooled(spark):
+    from pixelweave.llm import quality as q
+    from pixelweave.llm.common import materialize
+
+    rng = np.random.default_rng(8)
+    row = lambda i, source, symbols, failed: (i, "en", source, 300, int(300 * rng.uniform(4, 7)), symbols, int(rng.integers(20, 80)), 20, 0, int(rng.integers(0, 20)), failed)
+    rows = [row(i, f"s{i % 4}", int(rng.integers(0, 160)), False) for i in range(120)] + [row(200 + i, "bad", 0, True) for i in range(60)] + [row(300 + i, "bad", 0 if i else 150, False) for i in range(9)]
+    schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_upper long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    got = {r.doc_id: r.d2 for r in q.outlier_distances(materialize(spark.createDataFrame(rows, schema), "test-pooled")).collect()}
+    assert all(got[i] <= q.CUTOFF for i in range(300, 309))
+
+
 def test_token_counts(docs, doc_rows, none, clashing):
     tok = tokenizer_files.load(tokenizer_files.vocabulary_path("byte_bpe_50k.json"))
     got = {r.doc_id: r for r in token_counts.token_counts(docs, chunk_bytes=100_000).collect()}
