@@ -6,7 +6,10 @@ the sum over residual gaps of the squared number of open sequences with that gap
 becomes smallest, a new sequence being one of the choices.  Sequences which a shard
 leaves far from full are dissolved and packed again among those of other shards, in
 fewer and fewer shards of the same bounded size, until one shard is left, nothing moves
-or the turns are over; the sequences of the last turn stay as they are.
+or the turns are over; the sequences of the last turn stay as they are.  Pieces are dealt
+by their place in the written table of pieces, so ids that are null or repeat do not
+gather in one shard, and a sequence is numbered by turn, shard and place in the shard, so
+no two share a number.
 
 Defined results: null text is an empty document, which is the terminator alone;
 repeated rows are packed each; a null id is passed through; an empty table gives an
@@ -23,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +41,9 @@ SHARD = 20_000
 #: Times that pieces are dealt over shards.
 TURNS = 12
 #: Distinct runs of characters whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
+#: Bits of a sequence's number for its place in the shard and for the shard.
+BIN_BITS, SHARD_BITS = 24, 34
 
 
 class WordIds:
@@ -109,6 +115,7 @@ def _cut(path: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(path)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 10_000):
                 part = batch.slice(lo, 10_000)
@@ -121,7 +128,9 @@ def _cut(path: str, capacity: int):
                         for column, v in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own))):
                             column.append(v)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows = np.arange(row, row + len(out[0]))
+                row += len(rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(out, types)), pa.array(rows)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 
@@ -156,7 +165,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 def _pack_shard(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable")
         where, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
         fill = np.bincount(where, weights=pdf["length"], minlength=1).astype(np.int64)
         return pdf.assign(bin=where, offset=offset, fill=fill[where])
@@ -169,20 +178,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     Sequences with more than ``slack`` tokens free are packed again across shards.
     """
+    if shard > 1 << (BIN_BITS - 2):
+        raise ValueError("a shard must leave room for the numbers of its sequences")
     ship(docs.sparkSession)
     path = vocabulary or tf.vocabulary_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialize(rows.mapInArrow(_cut(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "packing-pieces")
+    pieces = materialize(rows.mapInArrow(_cut(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, row long"), "packing-pieces")
     columns = pieces.columns
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", shard long, bin long, offset long, fill long"
     left, n, done, before = pieces, pieces.count(), [], None
     for turn in range(TURNS):
         shards = max(1, -(-n // shard))
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(shards)))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(shards)))
         packed = materialize(dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), schema), f"packing-{turn}")
         final = shards == 1 or n == before or turn == TURNS - 1
         full = packed if final else packed.where(F.col("fill") >= capacity - slack)
-        done.append(full.select(*columns, "offset", F.concat_ws("-", F.lit(turn), "shard", "bin").alias("of")))
+        number = F.lit(turn << (BIN_BITS + SHARD_BITS)) + F.shiftleft("shard", BIN_BITS) + F.col("bin")
+        done.append(full.select(*columns, number.alias("sequence_id"), "offset"))
         if final:
             break
         left, before = packed.where(F.col("fill") < capacity - slack).select(*columns), n
@@ -190,4 +202,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     out = done[0]
     for df in done[1:]:
         out = out.union(df)
-    return out.select(*columns, F.xxhash64("of").alias("sequence_id"), "offset")
+    return out.drop("row")

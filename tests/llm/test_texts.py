@@ -206,3 +206,28 @@ def test_sum_of_squares_rule():
         options = [b for b, g in free.items() if g >= s] + [len(free)]
         assert total(k) == min(map(total, options)) and o == 10 - free.get(k, 10)
         free[k] = free.get(k, 10) - s
+
+
+def test_packing_spreads_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    df = spark.createDataFrame([(None if k % 2 else 5, "a " * (20 + k % 9)) for k in range(900)], "doc_id long, text string").repartition(3)
+    rule = packing._pack_shard
+
+    def watched(capacity):
+        own = rule(capacity)
+
+        def run(pdf):
+            if len(pdf) > 100:
+                raise ValueError("a shard is too large")
+            return own(pdf)
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack_shard", watched)
+    rows = packing.pack(df, capacity=64, shard=50).collect()
+    assert len(rows) == 900
+    fill = {}
+    for r in rows:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in fill.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 64
