@@ -8,13 +8,15 @@ id decides, so that any machine decides alike.
 
 Only the cell table, one row per combination that occurs, is iterated on.  Everything is
 DataFrame expressions.  Defined results: null text counts one token; null source,
-language or topic is a value of its own; repeated rows share a decision; a null id is
-hashed as the word null; targets for values that do not occur are ignored and the rest
+language or topic is a value of its own; rows of one id share a draw, each compared with
+the probability of its own cell; a null id is hashed as the word null; targets for values that do not occur are ignored and the rest
 scaled up; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,8 +62,8 @@ def target_shares(cells: DataFrame, dim: str, given: dict[str, float] | None, ex
     else:
         table = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))])
         wanted = totals.withColumn("raw", F.coalesce(F.try_element_at(table, F.col(dim)), F.lit(0.0)))
-    norm = wanted.agg(F.sum("raw").alias("norm"))
-    return wanted.crossJoin(F.broadcast(norm)).select(dim, (F.col("raw") / F.col("norm")).alias(f"share_{dim}"))
+    norm = wanted.agg(F.sum("raw")).first()[0]
+    return wanted.select(dim, (F.col("raw") / F.lit(norm or None).cast("double")).alias(f"share_{dim}"))
 
 
 def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, exponent: float = EXPONENT) -> DataFrame:
@@ -88,6 +90,8 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, ex
         now = swept
         if off <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"margins are still {off:.2g} off their targets after {MAX_STEPS * SWEEPS_PER_STEP} sweeps; the targets may contradict each other", stacklevel=2)
     return now.select(*DIMS, "tokens", "fitted")
 
 
@@ -107,6 +111,8 @@ def probabilities(fitted: DataFrame, budget: float = BUDGET) -> DataFrame:
         if following <= scale * (1 + 1e-12):
             break
         scale = following
+    else:
+        warnings.warn("the budget is not reached: the cap moved in every round", stacklevel=2)
     return cells.select(*DIMS, "tokens", "fitted", "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)).alias("probability"))
 
 
@@ -131,7 +137,15 @@ def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return out.select("doc_id", *DIMS, "n_tokens", "weight", "probability", (keep_draw("doc_id", seed) < F.col("probability")).alias("selected"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the mixture selects, with their own columns."""
-    chosen = mixture(docs, id_col=id_col, text_col=text_col, **options).where("selected").select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi")
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, exponent: float = EXPONENT, budget: float = BUDGET, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the mixture selects, with their own columns.
+
+    Every row is decided where it stands, by the probability of its cell; texts are not
+    shuffled.
+    """
+    topic = ["topic"] if "topic" in docs.columns else []
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = weighed(docs.select(own, F.col(id_col).alias("doc_id"), "source", "lang", *topic, F.col(text_col).alias("text")), "text")
+    table = cell_probabilities(rows, targets, exponent, budget)
+    out = join_groups(rows.select("row", "doc_id", *DIMS), table.select(*DIMS, "probability"), list(DIMS), "doc_id")
+    return out.where(keep_draw("doc_id", seed) < F.col("probability")).select("row.*")

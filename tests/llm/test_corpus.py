@@ -300,3 +300,14 @@ def test_log10_of_a_step_model_sums_bits():
     texts = [b"", b"abc", b"x" * 2000]
     got = mixer.log10(coder.decisions(texts, steps=True), 3)
     assert got[0] == 0 and got[1] == pytest.approx(-24 * math.log10(2), rel=1e-3) and got[2] < 0
+
+
+def test_sample_decides_each_row_by_its_own_cell(spark):
+    text = "some plain words of a text"
+    rows = [(i, text, lang, "s", len(text), "x", 0) for i in range(20) for lang in ("en", "de")] + [(None, text, "de", "s", len(text), "x", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, n_tokens long")
+    got = mixing.sample(docs, targets={"lang": {"en": 1.0}}, budget=0.4)
+    assert got.columns == docs.columns
+    chosen = Counter((r.doc_id, r.lang) for r in mixing.mixture(docs, targets={"lang": {"en": 1.0}}, budget=0.4).where("selected").collect())
+    assert Counter((r.doc_id, r.lang) for r in got.collect()) == chosen
+    assert chosen and all(lang == "en" for _, lang in chosen)
