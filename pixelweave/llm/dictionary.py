@@ -10,7 +10,7 @@ one per document and token, and a frequent token has as many rows as there are b
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,12 @@ _ARROW = pa.schema(
 )
 
 
-def _pack(sizes: list[int], numbers: np.ndarray, counts: np.ndarray) -> bytes:
+def _pack(sizes: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> bytes:
     """Numbers are sorted within a document, so their differences are small."""
     steps = numbers.copy()
     if len(numbers):
         steps[1:] -= numbers[:-1]
-    starts = np.cumsum([0, *sizes[:-1]]).astype(np.int64)
-    starts = starts[np.asarray(sizes, np.int64) > 0]
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     steps[starts] = numbers[starts]
     planes = [np.asarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (sizes, steps, counts)]
     return zstandard.ZstdCompressor(level=1).compress(len(sizes).to_bytes(8, "little") + len(numbers).to_bytes(8, "little") + b"".join(planes))
@@ -57,50 +56,63 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, total - np.repeat(base, sizes[sizes > 0]), counts
 
 
-def encode(docs: DataFrame, split: Callable[[str], tuple[list[str], list[int]]], trains: Callable[[int | None], bool] | None, chunk_bytes: int, tag: str) -> DataFrame:
+class _Numbers(dict):
+    """Tokens numbered as they are met."""
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        return n
+
+
+class _Block:
+    """Documents of one row; a document is held as the numbers of its tokens only."""
+
+    def __init__(self, trains: Callable[[int | None], bool] | None):
+        self.trains, self.number = trains, _Numbers()
+        self.ids: list = []
+        self.stats: list[int] = []
+        self.numbers: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, doc_id: int | None, tokens: Iterable[str], stats: list[int]) -> None:
+        found = Counter(tokens)
+        own = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+        order = np.argsort(own)
+        self.ids.append(doc_id)
+        self.stats += stats
+        self.numbers.append(own[order])
+        self.counts.append(np.fromiter(found.values(), np.int32, len(found))[order])
+
+    def row(self, chunk: int) -> pa.RecordBatch:
+        sizes = np.fromiter(map(len, self.numbers), np.int64, len(self.numbers))
+        numbers, counts = np.concatenate(self.numbers), np.concatenate(self.counts)
+        self.numbers = self.counts = []
+        use = np.repeat([self.trains is None or self.trains(i) for i in self.ids], sizes)
+        trained = np.bincount(numbers[use], weights=counts[use], minlength=len(self.number)).astype(np.int64)
+        row = [chunk], [list(self.number)], [trained], [self.ids], [self.stats], [_pack(sizes, numbers, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
+
+
+def encode(docs: DataFrame, split: Callable[[str], tuple[Iterable[str], list[int]]], trains: Callable[[int | None], bool] | None, chunk_bytes: int, tag: str) -> DataFrame:
     """The dictionary table of ``docs`` (columns ``doc_id`` long and ``text`` string).
 
     ``split`` gives a text's tokens and a fixed number of integers kept per document;
     ``trains`` says by id which documents count as training text (None: all of them).
     """
 
-    def block(chunk: int, ids: list, stats: list[int], found: list[Counter]) -> pa.RecordBatch:
-        use: Counter = Counter()
-        for c in found:
-            use.update(c.keys())
-        number = {t: i for i, (t, _) in enumerate(use.most_common())}
-        trained = np.zeros(len(number), np.int64)
-        sizes, numbers, counts = [], [], []
-        for i, c in zip(ids, found):
-            own = np.fromiter(map(number.__getitem__, c.keys()), np.int64, len(c))
-            freq = np.fromiter(c.values(), np.int64, len(c))
-            order = np.argsort(own)
-            if trains is None or trains(i):
-                trained[own] += freq
-            sizes.append(len(c))
-            numbers.append(own[order])
-            counts.append(freq[order])
-        blob = _pack(sizes, np.concatenate(numbers), np.concatenate(counts))
-        row = [chunk], [list(number)], [trained], [ids], [stats], [blob]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        ids, stats, found, held = [], [], [], 0
+        block, held = _Block(trains), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                tokens, numbers = split(text)
-                ids.append(doc_id)
-                stats += numbers
-                found.append(Counter(tokens))
-                held += len(text)
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
+                block.add(doc_id.as_py(), *split(text))
+                held += len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
                 if held >= chunk_bytes:
-                    yield block(chunk, ids, stats, found)
-                    chunk += 1
-                    ids, stats, found, held = [], [], [], 0
-        if ids:
-            yield block(chunk, ids, stats, found)
+                    yield block.row(chunk)
+                    chunk, block, held = chunk + 1, _Block(trains), 0
+        if block.ids:
+            yield block.row(chunk)
 
     return materialize(docs.select("doc_id", "text").mapInArrow(run, SCHEMA), tag)
 
@@ -128,7 +140,7 @@ def encode_words(docs: DataFrame, stats: Callable[[bytes], list[int]], trains: C
         known = ids.to_pylist()
         flags = np.array([trains(i) for i in known], bool)
         trained = np.bincount(code, weights=counts * flags[doc], minlength=len(tokens)).astype(np.int64)
-        blob = _pack(np.bincount(doc, minlength=len(known)).tolist(), code, counts)
+        blob = _pack(np.bincount(doc, minlength=len(known)), code, counts)
         numbers = [n for t in texts.to_pylist() for n in stats(t.encode("utf-8", "surrogatepass"))]
         row = [chunk], [tokens.to_pylist()], [trained], [known], [numbers], [blob]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)

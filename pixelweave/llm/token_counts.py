@@ -12,7 +12,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +26,23 @@ from pixelweave.llm.common import shuffle_partitions
 from pixelweave.llm.dictionary import encode, per_document, segment_sums, token_rows
 
 SPECIAL = "<|endoftext|>"
+#: Characters from which on the pre-tokens of a text are not listed at once.
+LONG = 1 << 20
 
 
-def pre_tokens(text: str, path: str) -> list[str]:
-    """Pre-tokens of a piece of text without special strings, as substrings."""
-    if text.isascii():
-        return tf.BYTE_LEVEL_ASCII.findall(text)
-    if not tf.EXOTIC.search(text):
-        return tf.BYTE_LEVEL.findall(text)
+def pre_tokens(text: str, path: str) -> Iterable[str]:
+    """Pre-tokens of a piece of text without special strings, as substrings; those of a
+    long text one at a time."""
+    if text.isascii() or not tf.EXOTIC.search(text):
+        pattern = tf.BYTE_LEVEL_ASCII if text.isascii() else tf.BYTE_LEVEL
+        return pattern.findall(text) if len(text) < LONG else (m.group() for m in pattern.finditer(text))
     return [text[a:b] for _, (a, b) in tf.load(path).pre_tokenizer.pre_tokenize_str(text)]
 
 
 def _split(path: str):
-    def split(text: str) -> tuple[list[str], list[int]]:
+    def split(text: str) -> tuple[Iterable[str], list[int]]:
         parts = text.split(SPECIAL)
-        tokens = pre_tokens(parts[0], path)
-        for p in parts[1:]:
-            tokens += pre_tokens(p, path)
+        tokens = pre_tokens(text, path) if len(parts) == 1 else chain.from_iterable(pre_tokens(p, path) for p in parts)
         return tokens, [len(text.encode("utf-8", "surrogatepass")), len(parts) - 1]
 
     return split
