@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import materialize
 
+#: Bytes of text split into words at once.
+PART_BYTES = 2 << 20
+
 SCHEMA = "chunk long, tokens array<string>, trained array<long>, doc_id array<long>, stats array<long>, entries binary"
 _ARROW = pa.schema(
     [("chunk", pa.int64()), ("tokens", pa.list_(pa.string())), ("trained", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("stats", pa.list_(pa.int64())), ("entries", pa.binary())]
@@ -73,6 +76,7 @@ class _Block:
         self.stats: list[int] = []
         self.numbers: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, tokens: Iterable[str], stats: list[int]) -> None:
         found = Counter(tokens)
@@ -80,11 +84,12 @@ class _Block:
         order = np.argsort(own)
         self.ids.append(doc_id)
         self.stats += stats
+        self.sizes.append(np.array([len(found)]))
         self.numbers.append(own[order])
         self.counts.append(np.fromiter(found.values(), np.int32, len(found))[order])
 
     def row(self, chunk: int) -> pa.RecordBatch:
-        sizes = np.fromiter(map(len, self.numbers), np.int64, len(self.numbers))
+        sizes = np.concatenate(self.sizes)
         numbers, counts = np.concatenate(self.numbers), np.concatenate(self.counts)
         self.numbers = self.counts = []
         use = np.repeat([self.trains is None or self.trains(i) for i in self.ids], sizes)
@@ -123,45 +128,53 @@ def encode_words(docs: DataFrame, stats: Callable[[bytes], list[int]], trains: C
     The same rows as ``encode`` with such a split, made by whole-array operations.
     """
 
-    def block(chunk: int, ids: pa.ChunkedArray, texts: pa.ChunkedArray) -> pa.RecordBatch:
-        texts = texts.combine_chunks().cast(pa.large_string()).fill_null("")
+    def add(block: _Block, ids: pa.Array, texts: pa.Array) -> None:
+        texts = texts.cast(pa.large_string()).fill_null("")
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = pc.dictionary_encode(words.flatten())
-        edges = words.offsets.to_numpy()
-        doc = np.repeat(np.arange(len(texts)), np.diff(edges))
-        code = coded.indices.to_numpy().astype(np.int64)
-        tokens = coded.dictionary.cast(pa.string())
-        empty = pc.index(tokens, "").as_py()
-        if empty >= 0:
-            doc, code = doc[code != empty], code[code != empty]
-        size = max(1, len(tokens))
+        number = np.fromiter((block.number[w] if w else -1 for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        code = number[coded.indices.to_numpy()]
+        doc, code = doc[code >= 0], code[code >= 0]
+        size = max(1, len(block.number))
         keys, counts = np.unique(doc * size + code, return_counts=True)
-        doc, code = keys // size, keys % size
-        known = ids.to_pylist()
-        flags = np.array([trains(i) for i in known], bool)
-        trained = np.bincount(code, weights=counts * flags[doc], minlength=len(tokens)).astype(np.int64)
-        blob = _pack(np.bincount(doc, minlength=len(known)), code, counts)
-        numbers = [n for t in texts.to_pylist() for n in stats(t.encode("utf-8", "surrogatepass"))]
-        row = [chunk], [tokens.to_pylist()], [trained], [known], [numbers], [blob]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
+        block.numbers.append((keys % size).astype(np.int32))
+        block.counts.append(counts.astype(np.int32))
+        block.sizes.append(np.bincount(keys // size, minlength=len(texts)))
+        block.ids += ids.to_pylist()
+        raw = texts.to_numpy(zero_copy_only=False)
+        for t in raw:
+            block.stats.extend(stats(t.encode("utf-8", "surrogatepass")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        held, size = [], 0
+        block, held = _Block(trains), 0
         for batch in batches:
-            held.append(batch)
-            size += batch.column(1).nbytes
-            if size >= chunk_bytes:
-                table = pa.Table.from_batches(held)
-                yield block(chunk, table.column(0), table.column(1))
-                chunk, held, size = chunk + 1, [], 0
-        if held:
-            table = pa.Table.from_batches(held)
-            yield block(chunk, table.column(0), table.column(1))
+            for part in parts_by_bytes(batch, 1, PART_BYTES):
+                add(block, part.column(0), part.column(1))
+                held += part.column(1).nbytes
+                if held >= chunk_bytes:
+                    yield block.row(chunk)
+                    chunk, block, held = chunk + 1, _Block(trains), 0
+        if block.ids:
+            yield block.row(chunk)
 
     return materialize(docs.select("doc_id", "text").mapInArrow(run, SCHEMA), tag)
 
 
+def parts_by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of a text column, a row at least.
+
+    Parts are copied: string kernels go wrong on a slice whose offsets do not start at 0.
+    """
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(size, dtype=np.int64), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, hi - lo)]) for c in batch.columns], schema=batch.schema)
+        lo = hi
+
+
 def token_rows(chunks: DataFrame) -> DataFrame:
     """``(chunk, pos, token, trained)``, one row per block and distinct token."""
     pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("tokens", "trained")).alias("pos", "t"))

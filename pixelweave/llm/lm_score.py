@@ -8,13 +8,18 @@ the logistic scale, are summed with weights that a gate chooses by how well fill
 longer contexts' slots are; a second table refines the sum by the place in the code; and
 while a text goes on, scale and offset of its sum follow what was seen of it so far.
 
-Learning is spread over the cluster: counts of training texts are added up per slot and
-fold; gated weights and refinement are learnt online, in small steps over all training
-texts, fold by fold, each against the counts of the other training folds, and averaged
-over tasks, a fold going on from the weights of the one before; the final counts take in
-all training folds.  Each predictor has at least four slots for every distinct pair of
-its context and the next byte in the training texts (estimated from the pairs of least
-hash), so counts and model grow with what the corpus holds; the model is broadcast.
+Learning is spread over the cluster and runs over pairs of a context and its next byte.
+How often the training texts hold each distinct pair is summed up by fold, in a task and
+then by a hash of the pair, so what a later step does for a pair it does once for all its
+occurrences.  The pairs' decisions
+are counted per slot and fold; gated weights and refinement are learnt online from all
+pairs, each weighing as often as it occurs, in small steps in random order, fold by
+fold, each against the counts of the other training folds, and averaged over tasks, a
+fold going on from the weights of the one before; the final counts take in all training
+folds.  Each predictor has at least four slots for every distinct pair of its context
+and the next byte in the training texts (estimated from the pairs of least hash), so
+counts and model grow with what the corpus holds; the model is broadcast.  A text is
+scored byte by byte, but table look-ups are made once for equal pairs of a batch.
 
 The base score is a smoothed unigram model over words whose counts come from the corpus
 dictionary (``dictionary``).
@@ -35,9 +40,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pixelweave.deploy import ship
 from pixelweave.llm.common import discard, materialize, shuffle_partitions
@@ -58,11 +63,20 @@ BLOCK = 1 << 17
 #: Text worked on at once, and bytes after which a text's scale and offset follow.
 BATCH_BYTES = 800_000
 STEP_BYTES = 512
+#: Distinct pairs that a task holds before it writes them, pairs in a row and in a step of learning.
+HELD_PAIRS, ROW_PAIRS, STEP_PAIRS = 1 << 20, 1 << 16, 1 << 10
+#: Slot counts that a task holds before it sends them, and decisions scored at once.
+HELD_SLOTS, SCORED = 1 << 21, 1 << 16
+#: Slots of the table by which equal keys are found, as a power of two.
+TABLE_BITS = 18
 LEVELS, FILLED = 32, 8
 REACH = 8.0
 RATE, OWN_RATE = 0.02, 0.002
 REFINE_BUCKETS = 33
 PAD = 8
+#: Bits of a pair below the number of its fold, and a multiplier of hashes.
+FOLD_AT = 48
+_MIX = 0x9E3779B97F4A7C15
 
 
 def _crc(doc_id: int | None) -> int:
@@ -106,26 +120,85 @@ def code_paths(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return length, np.array([n for n, _ in flat], np.uint32), np.array([b for _, b in flat], np.uint8)
 
 
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte (lowest) with the bytes before it, and the sizes of the texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    joined = b"".join([bytes(PAD) + t for t in texts])
+    every = np.ndarray((max(0, len(joined) - PAD + 1),), ">u8", joined, strides=(1,)) if len(joined) else np.zeros(0, ">u8")
+    own = np.ones(len(joined), bool)
+    starts = np.cumsum(sizes + PAD) - (sizes + PAD)
+    own[(starts[:, None] + np.arange(PAD)[None, :]).ravel()] = False
+    return every[np.flatnonzero(own) - (PAD - 1)].astype(np.uint64) & _up_to(max(ORDERS)), sizes
+
+
+def _up_to(order: int) -> np.uint64:
+    """Mask of a byte and ``order`` bytes before it."""
+    return np.uint64((1 << 8 * (order + 1)) - 1)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of every distinct key, and for each key which of these is its own.
+
+    Keys are written into a table by hash; those that find an equal key in their slot
+    belong to it, the others try again with another hash.
+    """
+    bits = min(TABLE_BITS, max(8, len(keys).bit_length()))
+    table = np.empty(1 << bits, np.int32)
+    shift = np.uint64(64 - bits)
+    h = (keys * np.uint64(_MIX)) >> shift
+    table[h] = np.arange(len(keys), dtype=np.int32)
+    owner, turn = table[h], 0
+    left = np.flatnonzero(keys[owner] != keys)
+    while len(left):
+        own, turn = keys[left], turn + 2
+        h = (own * np.uint64(_MIX + turn)) >> shift
+        table[h] = left
+        found = table[h]
+        same = keys[found] == own
+        owner[left[same]] = found[same]
+        left = left[~same]
+    first = np.flatnonzero(owner == np.arange(len(keys), dtype=np.int32))
+    number = np.empty(len(keys), np.int32)
+    number[first] = np.arange(len(first), dtype=np.int32)
+    return first, number[owner]
+
+
 @dataclass
 class Decisions:
-    """All decisions of some texts: slots by predictor, bits and places in the code.
-
-    They are in the order of the texts' bytes or, by steps, first the first step of every
-    text, then the second of every text that has one, and so on.  ``runs`` are the
-    decisions at which a text's part of a step starts, ``who`` its text, and ``steps``
-    the runs at which a step starts, with the end.
+    """All decisions of some texts.
+
+    ``slots`` (by predictor), ``bits`` and ``nodes`` (places in the code) are those of the
+    distinct pairs, whose first ones ``start`` tells.  The texts' bytes are in order or, by
+    steps, first the first step of every text, then the second of every text that has one,
+    and so on; ``number`` is the pair of each and ``stops`` the decisions up to its end.
+    ``runs`` are the decisions at which a text's part of a step starts, ``who`` its text,
+    and ``steps`` the runs at which a step starts, with the end.  ``which`` says of each
+    decision after the first step which of the pairs' it is.
     """
 
     slots: list[np.ndarray]
     bits: np.ndarray
     nodes: np.ndarray
+    start: np.ndarray
+    number: np.ndarray
+    stops: np.ndarray
     runs: np.ndarray | None = None
     who: np.ndarray | None = None
     steps: np.ndarray | None = None
 
+    @property
+    def which(self) -> np.ndarray:
+        done = int(self.runs[self.steps[1]]) if self.steps is not None and len(self.steps) > 2 else 0
+        at = int(np.searchsorted(self.stops, done, side="right")) if done else 0
+        stops = self.stops[at:] - done
+        n = np.diff(stops, prepend=np.int32(0))
+        out = np.repeat(self.start[self.number[at:]] - (stops - n), n)
+        out += np.arange(len(out), dtype=np.int32)
+        return out
+
 
 class Coder:
-    """Turns texts into decisions."""
+    """Turns pairs and texts into decisions."""
 
     def __init__(self, paths, slot_bits: tuple[int, ...] = (SLOT_BITS,) * len(ORDERS)):
         self.length, self.nodes, self.path_bits = paths
@@ -133,43 +206,44 @@ class Coder:
         self.length = self.length.astype(np.int32)
         self.at = np.cumsum(self.length, dtype=np.int32) - self.length
 
-    def decisions(self, texts: list[bytes], steps: bool = False) -> Decisions:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        raw = np.frombuffer(b"".join(bytes(PAD) + t for t in texts), np.uint8)
-        own = np.ones(len(raw), bool)
-        starts = np.cumsum(sizes + PAD) - (sizes + PAD)
-        own[(starts[:, None] + np.arange(PAD)[None, :]).ravel()] = False
-        place = np.flatnonzero(own)
-        if steps:
-            inside = (np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // STEP_BYTES
-            order = np.argsort(inside.astype(np.uint16) if not len(place) or inside.max() < 1 << 16 else inside, kind="stable")
-            place = place[order]
-        symbols = raw[place]
+    def paths_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pair, node and bit of each decision of pairs, and each pair's first one."""
+        symbols = (keys & np.uint64(255)).astype(np.uint8)
         n = self.length[symbols]
         stops = np.cumsum(n, dtype=np.int32)
-        total = int(stops[-1]) if len(stops) else 0
         inner = np.repeat(self.at[symbols] - (stops - n), n)
-        inner += np.arange(total, dtype=np.int32)
-        nodes = self.nodes[inner]
-        mixed = nodes * np.uint32(0x9E3779B1)
-        slots, wide = [], raw.astype(np.uint32)
-        h, seen = np.zeros(len(raw), np.uint32), 0
-        for order_k, slot_bits in zip(ORDERS, self.slot_bits):
-            while seen < order_k:
-                seen += 1
-                h[seen:] = (h[seen:] + wide[:-seen] + np.uint32(seen)) * np.uint32(0x2C1B3C6D)
-                h ^= h >> np.uint32(15)
-            s = np.repeat(h[place], n) + mixed
-            s *= np.uint32(0x297A2D39)
-            s ^= s >> np.uint32(15)
-            s &= np.uint32((1 << slot_bits) - 1)
-            slots.append(s)
-        out = Decisions(slots, self.path_bits[inner], nodes)
-        if steps and total:
+        inner += np.arange(len(inner), dtype=np.int32)
+        return np.repeat(np.arange(len(keys), dtype=np.int32), n), self.nodes[inner], self.path_bits[inner], stops - n
+
+    def slots_of(self, keys: np.ndarray, k: int, pair: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Slots of predictor ``k``: those of a context lie side by side."""
+        h = ((keys & _up_to(ORDERS[k])) >> np.uint64(8)) + np.uint64(k + 1)
+        h *= np.uint64(_MIX)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        slots = (h >> np.uint64(32)).astype(np.uint32)[pair]
+        slots += nodes
+        slots &= np.uint32((1 << self.slot_bits[k]) - 1)
+        return slots
+
+    def decisions(self, texts: list[bytes], steps: bool = False) -> Decisions:
+        keys, sizes = windows(texts)
+        if steps:
+            inside = (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // STEP_BYTES
+            order = np.argsort(inside.astype(np.uint16) if not len(keys) or inside.max() < 1 << 16 else inside, kind="stable")
+            keys = keys[order]
+        first, number = grouped(keys)
+        pairs = keys[first]
+        pair, nodes, bits, start = self.paths_of(pairs)
+        slots = [self.slots_of(pairs, k, pair, nodes) for k in range(len(ORDERS))]
+        stops = np.cumsum(self.length[(keys & np.uint64(255)).astype(np.uint8)], dtype=np.int32)
+        out = Decisions(slots, bits, nodes, start, number, stops)
+        if steps and len(stops):
+            n = np.diff(stops, prepend=np.int32(0))
             text, step = np.repeat(np.arange(len(texts)), sizes)[order], inside[order]
-            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (step[1:] != step[:-1])]))
-            out.runs, out.who = (stops - n)[first], text[first]
-            out.steps = np.concatenate([np.flatnonzero(np.concatenate([[True], step[first][1:] != step[first][:-1]])), [len(first)]])
+            begins = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (step[1:] != step[:-1])]))
+            out.runs, out.who = (stops - n)[begins], text[begins]
+            out.steps = np.concatenate([np.flatnonzero(np.concatenate([[True], step[begins][1:] != step[begins][:-1]])), [len(begins)]])
         return out
 
 
@@ -177,14 +251,20 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
 
 
+#: How well a slot with so many counts is filled, up to the last step.
+_FILLING = np.searchsorted(np.array([1, 2, 3, 5, 10, 30, 200]), np.arange(201), side="right").astype(np.uint8)
+
+
 def states(counts: np.ndarray) -> np.ndarray:
     """One byte for each slot: level on the logistic scale and how well it is filled."""
-    n0, n1 = counts[0::2].astype(np.float32), counts[1::2].astype(np.float32)
+    n0, n1 = counts[0::2], counts[1::2]
     n = n0 + n1
-    level = np.log((n1 + 0.4) / (n0 + 0.4))
-    level = np.clip(np.rint((level + REACH) * (LEVELS - 1) / (2 * REACH)), 0, LEVELS - 1).astype(np.uint8)
-    filled = np.searchsorted(np.array([1, 2, 3, 5, 10, 30, 200]), n, side="right").astype(np.uint8)
-    return filled * np.uint8(LEVELS) + level
+    some = np.flatnonzero(n)
+    level = np.log((n1[some].astype(np.float32) + np.float32(0.4)) / (n0[some].astype(np.float32) + np.float32(0.4)))
+    level = np.clip(np.rint((level + REACH) * ((LEVELS - 1) / (2 * REACH))), 0, LEVELS - 1).astype(np.uint8)
+    out = np.full(len(n), LEVELS // 2, np.uint8)
+    out[some] = _FILLING[np.minimum(n[some], 200)] * np.uint8(LEVELS) + level
+    return out
 
 
 _LEVEL = (np.arange(256) % LEVELS * (2 * REACH) / (LEVELS - 1) - REACH).astype(np.float32)
@@ -200,38 +280,33 @@ class Mixer:
         self.weights = np.full((FILLED * FILLED, len(ORDERS)), 0.35, np.float32) if weights is None else weights
         self.refine = refine
 
-    def inputs(self, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
-        found = [t[s] for t, s in zip(self.tables, d.slots)]
-        return np.stack([_LEVEL[f] for f in found]), _FILLED[found[-1]] * np.uint8(FILLED) + _FILLED[found[GATE]]
-
-    def sums(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(gate), np.float32)
+    def found(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """States of slots by predictor, and the gate that they set."""
+        out = [t[s] for t, s in zip(self.tables, slots)]
+        return out, _FILLED[out[-1]] * np.uint8(FILLED) + _FILLED[out[GATE]]
+
+    def learn(self, slots: list[np.ndarray], bits: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """One online step over decisions that occur so many times each: their sums before
+        it.  The gradient is averaged by gate."""
+        found, gate = self.found(slots)
+        x = [_LEVEL[f] for f in found]
+        s = np.zeros(len(gate), np.float32)
         for k in range(len(ORDERS)):
-            out += self.weights[:, k][gate] * x[k]
-        return out
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, step: int = 1 << 15) -> None:
-        """One online pass in small steps; the gradient of a step is averaged by gate."""
-        for lo in range(0, len(bits), step):
-            own = slice(lo, lo + step)
-            g = gate[own]
-            miss = bits[own] - _squash(self.sums(x[:, own], g))
-            n = np.maximum(np.bincount(g, minlength=len(self.weights)), 32)
-            for k in range(len(ORDERS)):
-                self.weights[:, k] += (RATE * np.bincount(g, weights=miss * x[k, own], minlength=len(self.weights)) / n).astype(np.float32)
+            s += self.weights[:, k][gate] * x[k]
+        miss = (bits - _squash(s)) * times
+        n = np.maximum(np.bincount(gate, weights=times, minlength=len(self.weights)), 32)
+        for k in range(len(ORDERS)):
+            self.weights[:, k] += (RATE * np.bincount(gate, weights=miss * x[k], minlength=len(self.weights)) / n).astype(np.float32)
+        return s
 
     @staticmethod
     def bucket(nodes: np.ndarray, s: np.ndarray) -> np.ndarray:
-        unit = np.float32((REFINE_BUCKETS - 1) / (2 * REACH))
-        place = np.clip((s + np.float32(REACH)) * unit + np.float32(0.5), 0, REFINE_BUCKETS - 1).astype(np.int32)
-        place += nodes.astype(np.int32) * REFINE_BUCKETS
-        return place
-
-    def mixed(self, d: Decisions) -> np.ndarray:
-        """Like ``sums`` of ``inputs``, by one table per predictor of gate and state."""
-        found = [t[s] for t, s in zip(self.tables, d.slots)]
-        gate = (_FILLED[found[-1]] * np.uint8(FILLED) + _FILLED[found[GATE]]).astype(np.uint16)
-        gate <<= np.uint16(8)
+        return _place(s) + nodes.astype(np.int32) * REFINE_BUCKETS
+
+    def mixed(self, slots: list[np.ndarray]) -> np.ndarray:
+        """Weighted sums, by one table per predictor of gate and state."""
+        found, gate = self.found(slots)
+        gate = gate.astype(np.uint16) << np.uint16(8)
         out = np.zeros(len(gate), np.float32)
         for k, f in enumerate(found):
             out += (self.weights[:, k, None] * _LEVEL[None, :]).ravel()[gate | f]
@@ -241,33 +316,89 @@ class Mixer:
         """Log10 probability of every text, its scale and offset following it; the
         decisions must be by steps."""
         out = np.zeros(texts)
-        if not len(d.bits):
+        if not len(d.stops):
             return out
-        s = self.mixed(d)
+        level = self.mixed(d.slots)
+        right_of = None if self.refine is None else np.concatenate([1 - self.refine, self.refine])
+        both = np.empty(len(level), [("level", np.float32), ("row", np.int32)])
+        both["level"], both["row"] = level, (d.nodes.astype(np.int32) + d.bits * np.int32(255)) * REFINE_BUCKETS
+        both = both.view(np.int64)
         scale, offset = np.ones(texts, np.float32), np.zeros(texts, np.float32)
-        half = np.float32(0.5)
-        ends = np.concatenate([d.runs, [len(s)]])
-        for ra, rb in zip(d.steps[:-1], d.steps[1:]):
+
+        def follow(who, size, logs, miss, slope):
+            out[who] += logs * _LOG10_E
+            n = np.sqrt(size)
+            offset[who] += np.clip(OWN_RATE * miss / n, -0.05, 0.05)
+            scale[who] += np.clip(OWN_RATE * slope / n, -0.05, 0.05)
+
+        ends = np.concatenate([d.runs, [int(d.stops[-1])]])
+        # in the first step every text has the same scale and offset: by pair, not by decision
+        first = slice(0, int(d.steps[1]))
+        logs, miss = _outcomes(level, both.view(np.int32)[1::2].copy(), right_of)
+        of_pair = [np.add.reduceat(x, d.start, dtype=np.float64) for x in (logs, miss, miss * level)]
+        begins = np.searchsorted(d.stops, d.runs[first], side="right")
+        upto = int(np.searchsorted(d.stops, ends[first.stop]) + 1)
+        follow(d.who[first], np.diff(ends[: first.stop + 1]), *(np.add.reduceat(x[d.number[:upto]], begins) for x in of_pair))
+        rest = d.steps[1:]
+        if len(rest) < 2:
+            return out
+        which = d.which
+        for ra, rb in _parts(rest, ends):
             a, b = ends[ra], ends[rb]
             start, size, who = d.runs[ra:rb] - a, np.diff(ends[ra : rb + 1]), d.who[ra:rb]
-            v, bit = s[a:b], d.bits[a:b]
+            own = both[which[a - ends[rest[0]] : b - ends[rest[0]]]]
+            v, row = own.view(np.float32)[0::2].copy(), own.view(np.int32)[1::2].copy()
             adapted = np.repeat(scale[who], size)
             adapted *= v
             adapted += np.repeat(offset[who], size)
-            p = _squash(adapted)
-            miss = bit - p
-            right = 1 - np.abs(miss)
-            if self.refine is not None:
-                right += 1 - np.abs(bit - self.refine[self.bucket(d.nodes[a:b], adapted)])
-                right *= half
-            out[who] += np.add.reduceat(np.log10(right), start, dtype=np.float64)
-            n = np.sqrt(size)
-            offset[who] += np.clip(OWN_RATE * np.add.reduceat(miss, start) / n, -0.05, 0.05)
-            miss *= v
-            scale[who] += np.clip(OWN_RATE * np.add.reduceat(miss, start) / n, -0.05, 0.05)
+            logs, miss = _outcomes(adapted, row, right_of)
+            follow(who, size, np.add.reduceat(logs, start, dtype=np.float64), np.add.reduceat(miss, start), np.add.reduceat(np.multiply(miss, v, out=v), start))
         return out
 
 
+def _outcomes(s: np.ndarray, row: np.ndarray, right_of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each bit under its sum, refined, and by how much it was missed;
+    rows of the refinement table come first for bits that are 0."""
+    flip = row - np.int32(255 * REFINE_BUCKETS)
+    flip &= np.int32(-(1 << 31))  # the sign bit where the bit is 0
+    wrong = np.clip(s, np.float32(-12), np.float32(12))
+    signed = wrong.view(np.int32)
+    signed ^= flip
+    np.exp(wrong, out=wrong)
+    wrong += np.float32(1)
+    np.reciprocal(wrong, out=wrong)
+    right = np.float32(1) - wrong
+    if right_of is not None:
+        place = _place(s)
+        place += row
+        right += right_of[place]
+        right *= np.float32(0.5)
+    np.log(right, out=right)
+    signed ^= flip
+    return right, wrong
+
+
+_LOG10_E = float(np.log10(np.e))
+
+
+def _place(s: np.ndarray) -> np.ndarray:
+    """Bucket of the refinement table for sums."""
+    out = s + np.float32(REACH)
+    out *= np.float32((REFINE_BUCKETS - 1) / (2 * REACH))
+    out += np.float32(0.5)
+    np.clip(out, 0, REFINE_BUCKETS - 1, out=out)
+    return out.astype(np.int32)
+
+
+def _parts(steps: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of one step, about SCORED decisions at a time."""
+    for ra, rb in zip(steps[:-1].tolist(), steps[1:].tolist()):
+        while ra < rb:
+            to = max(ra + 1, min(rb, int(np.searchsorted(ends, ends[ra] + SCORED))))
+            yield ra, to
+            ra = to
+
+
 def _batches(rows: Iterator[pa.RecordBatch], want) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts of wanted rows, about BATCH_BYTES at a time."""
     ids, texts, held = [], [], 0
@@ -284,13 +415,105 @@ def _batches(rows: Iterator[pa.RecordBatch], want) -> Iterator[tuple[list, list[
         yield ids, texts
 
 
+def _pairs(buckets: int):
+    """How often a task's training texts hold each distinct pair, by fold, packed by a
+    hash of the pair."""
+
+    def run(rows):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = 0
+
+        def written():
+            keys, times = _summed(held)
+            bucket = (_hash(keys & _up_to(max(ORDERS))) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((keys, bucket))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for at in range(buckets):
+                own = order[cuts[at] : cuts[at + 1]]
+                yield from _pair_rows(at, keys[own], times[own])
+
+        for ids, texts in _batches(rows, lambda i: fold_of(i) != HELD_OUT):
+            keys, sizes = windows(texts)
+            keys |= np.repeat(np.array([fold_of(i) for i in ids], np.uint64) << np.uint64(FOLD_AT), sizes)
+            first, number = grouped(keys)
+            held.append((keys[first], np.bincount(number, minlength=len(first))))
+            seen += len(keys)
+            if sum(len(k) for k, _ in held[1:]) > max(HELD_PAIRS // 4, len(held[0][0])):
+                held[:] = [_summed(held)]
+            if sum(len(k) for k, _ in held) > HELD_PAIRS or seen > 1 << 30:
+                yield from written()
+                held.clear()
+                seen = 0
+        if seen:
+            yield from written()
+
+    return run
+
+
+def _pair_rows(bucket: int, keys: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted keys as packed rows, each of one fold and of ROW_PAIRS at most."""
+    fold = keys >> np.uint64(FOLD_AT)
+    for f in TRAINING:
+        a, b = np.searchsorted(fold, [f, f + 1])
+        for lo in range(a, b, ROW_PAIRS):
+            own = slice(lo, min(b, lo + ROW_PAIRS))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([f], pa.int32()), pa.array([_packed_pairs(keys[own], times[own])], pa.binary())], names=["bucket", "fold", "pairs"])
+
+
+def _merged_pairs(rows):
+    """Over rows sorted by bucket: each distinct pair of a bucket once, by fold."""
+    held, size, last = [], 0, None
+    for batch in rows:
+        for bucket, fold, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if bucket != last and held:
+                yield from _pair_rows(last, *_in_order(held))
+                held, size = [], 0
+            keys, times = _unpacked_pairs(blob.as_py())
+            held.append((keys | np.uint64(fold << FOLD_AT), times))
+            last, size = bucket, size + len(keys)
+            if size > 2 * HELD_PAIRS and size > 2 * len(held[0][0]):
+                held = [_summed(held)]
+                size = len(held[0][0])
+    if held:
+        yield from _pair_rows(last, *_in_order(held))
+
+
+def _in_order(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, times = _summed(held)
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, times = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+    first, number = grouped(keys)
+    return keys[first], np.bincount(number, weights=times, minlength=len(first)).astype(np.int64)
+
+
+def _packed_pairs(keys: np.ndarray, times: np.ndarray) -> bytes:
+    places = np.diff(keys & _up_to(max(ORDERS)), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(places.tobytes() + times.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(12, -1)
+    keys = np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel(), dtype=np.uint64)
+    return keys, np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
+
+
 def _histogram(rows):
     """Training bytes (``what`` -1), and by predictor the least hashes of its pairs."""
     total = np.zeros(256, np.int64)
     least = [np.zeros(0, np.uint64) for _ in ORDERS]
-    for _, texts in _batches(rows, lambda i: fold_of(i) != HELD_OUT):
-        total += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-        least = [smallest(np.concatenate([held, h])) for held, h in zip(least, pair_hashes(texts))]
+    for batch in rows:
+        for blob in batch.column(0):
+            keys, times = _unpacked_pairs(blob.as_py())
+            total += np.bincount((keys & np.uint64(255)).astype(np.int64), weights=times, minlength=256).astype(np.int64)
+            for k, order in enumerate(ORDERS):
+                h = _hash(keys & _up_to(order))
+                if len(least[k]) == SKETCH:
+                    h = h[h < least[k][-1]]
+                least[k] = smallest(np.concatenate([least[k], h]))
     what, at = [np.full(256, -1)], [np.arange(256)]
     for k, held in enumerate(least):
         what.append(np.full(len(held), k))
@@ -299,21 +522,18 @@ def _histogram(rows):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(what), pa.int32()), pa.array(at), pa.array(np.concatenate([total, np.zeros(len(at) - 256, np.int64)]))], names=["what", "at", "n"])
 
 
+def _hash(pairs: np.ndarray) -> np.ndarray:
+    h = (pairs + np.uint64(1)) * np.uint64(_MIX)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h >> np.uint64(1)
+
+
 def pair_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
     """By predictor, a 63-bit hash of each byte with its context."""
-    raw = np.frombuffer(b"".join(bytes(PAD) + t for t in texts), np.uint8).astype(np.uint64)
-    sizes = np.array([len(t) + PAD for t in texts], np.int64)
-    own = np.ones(len(raw), bool)
-    own[((np.cumsum(sizes) - sizes)[:, None] + np.arange(PAD)[None, :]).ravel()] = False
-    pair, seen = raw.copy(), 0
-    for order_k in ORDERS:
-        while seen < order_k:
-            seen += 1
-            pair[seen:] |= raw[:-seen] << np.uint64(8 * seen)
-        h = (pair[own] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        yield h >> np.uint64(1)
+    keys, _ = windows(texts)
+    for order in ORDERS:
+        yield _hash(keys & _up_to(order))
 
 
 def smallest(hashes: np.ndarray) -> np.ndarray:
@@ -337,56 +557,57 @@ def slot_bits_for(distinct: int) -> int:
 
 
 def _count(paths, slot_bits):
-    """Counts of a task's training texts as rows of packed blocks, by fold."""
+    """Counts of the decisions of pairs as rows of packed blocks, by fold."""
 
     def run(rows):
         coder = Coder(paths.value, slot_bits)
         tables: dict[tuple[int, int], list[np.ndarray]] = {}
-        for ids, texts in _batches(rows, lambda i: fold_of(i) != HELD_OUT):
-            for fold in TRAINING:
-                own = [t for i, t in zip(ids, texts) if fold_of(i) == fold]
-                if not sum(map(len, own)):
-                    continue
-                d = coder.decisions(own)
-                for k, slots in enumerate(d.slots):
+        pack = zstandard.ZstdCompressor(level=1)
+
+        def sent():
+            for fold, k in sorted(tables):
+                table = _added(tables.pop((fold, k)))
+                at = (table >> np.uint64(32)).astype(np.uint32)
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // BLOCK)) + 1):
+                    own = slice(part[0], part[-1] + 1)
+                    b, places = int(at[part[0]]) // BLOCK, np.diff(at[own] % BLOCK, prepend=np.uint32(0))
+                    planes = np.concatenate([places, table[own].astype(np.uint32)]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([fold], pa.int32()), pa.array([pack.compress(planes)], pa.binary())], names=["k", "block", "fold", "counts"])
+
+        for batch in rows:
+            for fold, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, times = _unpacked_pairs(blob.as_py())
+                for k in reversed(range(len(ORDERS))):
+                    keys, times = _summed([(keys & _up_to(ORDERS[k]), times)])
+                    pair, nodes, bits, _ = coder.paths_of(keys)
                     held = tables.setdefault((fold, k), [])
-                    held.append(tally(slots, d.bits))
+                    held.append(tally(coder.slots_of(keys, k, pair, nodes), bits, times[pair]))
                     if sum(map(len, held[1:])) > max(1 << 18, len(held[0])):
                         held[:] = [_added(held)]
-        pack = zstandard.ZstdCompressor(level=1)
-        for fold, k in sorted(tables):
-            table = _added(tables.pop((fold, k)))
-            at = (table >> np.uint64(32)).astype(np.uint32)
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // BLOCK)) + 1):
-                own = slice(part[0], part[-1] + 1)
-                b, places = int(at[part[0]]) // BLOCK, np.diff(at[own] % BLOCK, prepend=np.uint32(0))
-                planes = np.concatenate([places, table[own].astype(np.uint32)]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([fold], pa.int32()), pa.array([pack.compress(planes)], pa.binary())], names=["k", "block", "fold", "counts"])
+                if sum(len(t) for held in tables.values() for t in held) > HELD_SLOTS:
+                    yield from sent()
+        yield from sent()
 
     return run
 
 
-def tally(slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def tally(slots: np.ndarray, bits: np.ndarray, times: np.ndarray) -> np.ndarray:
     """How often each slot met each bit: (2 * slot + bit) << 32 | count, in order."""
     at = slots << np.uint32(1)
     at |= bits
-    at.sort()
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = at[starts].astype(np.uint64) << np.uint64(32)
-    out |= np.diff(np.concatenate([starts, [len(at)]])).astype(np.uint64)
-    return out
+    return _added([at.astype(np.uint64) << np.uint64(32) | times.astype(np.uint64)], ordered=False)
 
 
-def _added(tallies: list[np.ndarray]) -> np.ndarray:
-    """One tally of several."""
-    if len(tallies) == 1:
+def _added(tallies: list[np.ndarray], ordered: bool = True) -> np.ndarray:
+    """One tally of several, each in order of its slots and bits."""
+    if ordered and len(tallies) == 1:
         return tallies[0]
     every = np.concatenate(tallies)
     every.sort()
     at = every >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))[: len(at)]
     every &= np.uint64(0xFFFFFFFF)
-    return (at[starts] << np.uint64(32)) | np.add.reduceat(every, starts)
+    return (at[starts] << np.uint64(32)) | np.minimum(np.add.reduceat(every, starts), np.uint64(0xFFFFFFFF)) if len(at) else every
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -424,27 +645,28 @@ def _learn(paths, slot_bits, tables, weights):
 
     def run(rows):
         coder, mixer = Coder(paths.value, slot_bits), Mixer(tables.value, weights.astype(np.float32))
-        refine = np.zeros((2, 255 * REFINE_BUCKETS), np.int64)
-        seen = 0
-        for _, texts in _batches(rows, lambda i: True):
-            d = coder.decisions(texts)
-            if not len(d.bits):
-                continue
-            for lo in range(0, len(d.bits), 1 << 18):  # a part at a time, for memory
-                own = slice(lo, lo + (1 << 18))
-                part = Decisions([s[own] for s in d.slots], d.bits[own], d.nodes[own])
-                x, gate = mixer.inputs(part)
-                mixer.learn(x, gate, part.bits)
-                where = mixer.bucket(part.nodes, mixer.sums(x, gate))
-                refine[0] += np.bincount(where, minlength=refine.shape[1])
-                refine[1] += np.bincount(where, weights=part.bits, minlength=refine.shape[1]).astype(np.int64)
-            seen += len(d.bits)
+        refine = np.zeros((2, 255 * REFINE_BUCKETS))
+        rng = np.random.default_rng(len(ORDERS))
+        seen = 0.0
+        for batch in rows:
+            for blob in batch.column(0):
+                keys, times = _unpacked_pairs(blob.as_py())
+                order = rng.permutation(len(keys))
+                for lo in range(0, len(keys), STEP_PAIRS):
+                    own = order[lo : lo + STEP_PAIRS]
+                    pair, nodes, bits, _ = coder.paths_of(keys[own])
+                    n = times[own][pair].astype(np.float32)
+                    sums = mixer.learn([coder.slots_of(keys[own], k, pair, nodes) for k in range(len(ORDERS))], bits, n)
+                    where = mixer.bucket(nodes, sums)
+                    refine[0] += np.bincount(where, weights=n, minlength=refine.shape[1])
+                    refine[1] += np.bincount(where, weights=n * bits, minlength=refine.shape[1])
+                seen += float(times.sum())
         if seen:
             w = mixer.weights.ravel().astype(np.float64) * seen
             some = np.flatnonzero(refine[0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([np.zeros(len(w), np.int32), np.ones(len(some), np.int32)])), pa.array(np.concatenate([np.arange(len(w)), some])),
-                 pa.array(np.concatenate([np.full(len(w), float(seen)), refine[0][some].astype(float)])), pa.array(np.concatenate([w, refine[1][some].astype(float)]))],
+                 pa.array(np.concatenate([np.full(len(w), seen), refine[0][some]])), pa.array(np.concatenate([w, refine[1][some]]))],
                 names=["what", "at", "n", "v"],
             )
 
@@ -477,7 +699,11 @@ def model_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_bytes, score`` for rows ``doc_id, text``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    found = materialize(docs.mapInArrow(_histogram, "what int, at long, n long").groupBy("what", "at").agg(F.sum("n").alias("n")), "lm-histogram")
+    tasks = shuffle_partitions(spark)
+    schema = "bucket int, fold int, pairs binary"
+    apart = docs.mapInArrow(_pairs(tasks), schema).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    pairs = materialize(apart.mapInArrow(_merged_pairs, schema), "lm-pairs")
+    found = materialize(pairs.select("pairs").mapInArrow(_histogram, "what int, at long, n long").groupBy("what", "at").agg(F.sum("n").alias("n")), "lm-histogram")
     counts = np.zeros(256, np.int64)
     for b, n in found.where("what = -1").select("at", "n").collect():
         counts[b] = n
@@ -485,14 +711,15 @@ def model_scores(docs: DataFrame) -> DataFrame:
     slot_bits = tuple(slot_bits_for(distinct_of(x)) for x in least)
     discard(found)
     paths = sc.broadcast(code_paths(counts))
-    blocks = docs.mapInArrow(_count(paths, slot_bits), "k int, block int, fold int, counts binary")
-    dealt = blocks.repartition(shuffle_partitions(spark), "k", "block").sortWithinPartitions("k", "block")
+    blocks = pairs.select("fold", "pairs").mapInArrow(_count(paths, slot_bits), "k int, block int, fold int, counts binary")
+    dealt = blocks.repartition(tasks, "k", "block").sortWithinPartitions("k", "block")
     reduced = materialize(dealt.mapInArrow(_reduce, "k int, block int, " + ", ".join(f"without_{f} binary" for f in TRAINING) + ", whole binary"), "lm-states")
     weights, prior = Mixer([]).weights, np.tile(_squash(np.linspace(-REACH, REACH, REFINE_BUCKETS)), 255)
     hits, ones = np.full(len(prior), 20.0), 20 * prior
     for fold in TRAINING:
         part = sc.broadcast(_collected(reduced, f"without_{fold}", slot_bits))
-        learnt = docs.where(_fold() == fold).mapInArrow(_learn(paths, slot_bits, part, weights), "what int, at long, n double, v double").groupBy("what", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+        own = pairs.where(F.col("fold") == fold).select("pairs")
+        learnt = own.mapInArrow(_learn(paths, slot_bits, part, weights), "what int, at long, n double, v double").groupBy("what", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
         part.destroy()
         weights = weights.copy()
         for what, at, n, v in learnt:
@@ -504,7 +731,7 @@ def model_scores(docs: DataFrame) -> DataFrame:
     model = sc.broadcast((_collected(reduced, "whole", slot_bits), weights, np.clip(ones / hits, 1e-5, 1 - 1e-5).astype(np.float32)))
     scored = materialize(docs.mapInArrow(_score(paths, slot_bits, model), "doc_id long, text_key long, n_bytes long, score double"), "lm-scores")
     model.destroy()
-    discard(reduced)
+    discard(reduced, pairs)
     return scored
 
 
@@ -512,10 +739,10 @@ def base_scores(docs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score`` under smoothed word counts."""
 
     chunks = encode_words(docs, lambda raw: [text_key(raw)], lambda i: fold_of(i) != HELD_OUT, chunk_bytes, "lm-dictionary")
-    by_token = Window.partitionBy("token")
-    rows = token_rows(chunks).withColumns({"value": F.sum("trained").over(by_token), "place": F.row_number().over(by_token.orderBy("chunk"))})
-    rows = materialize(rows.select("chunk", "pos", "value", ((F.col("place") == 1) & (F.col("value") > 0)).alias("counts")), "lm-counts")
-    distinct, words = rows.where("counts").agg(F.count(F.lit(1)), F.coalesce(F.sum("value"), F.lit(0))).first()
+    rows = token_rows(chunks)
+    totals = materialize(rows.groupBy("token").agg(F.sum("trained").alias("value")).where("value > 0"), "lm-counts")
+    distinct, words = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("value"), F.lit(0))).first()
+    known = rows.select("chunk", "pos", "token").join(totals, "token").select("chunk", "pos", "value")
     ends = docs.select("doc_id").where(_fold() != HELD_OUT).count()
     total, vocabulary = words + ends, distinct + (1 if ends else 0)
     norm = total + 0.5 * (vocabulary + 1)
@@ -528,7 +755,7 @@ def base_scores(docs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
             "base_score": part + np.log10((ends + 0.5) / norm),
         }
 
-    return per_document(chunks, rows.select("chunk", "pos", "value"), reduce, "doc_id long, text_key long, n_tokens long, n_known long, train_tokens long, base_score double")
+    return per_document(chunks, known, reduce, "doc_id long, text_key long, n_tokens long, n_known long, train_tokens long, base_score double")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -311,3 +311,32 @@ def test_sample_decides_each_row_by_its_own_cell(spark):
     chosen = Counter((r.doc_id, r.lang) for r in mixing.mixture(docs, targets={"lang": {"en": 1.0}}, budget=0.4).where("selected").collect())
     assert Counter((r.doc_id, r.lang) for r in got.collect()) == chosen
     assert chosen and all(lang == "en" for _, lang in chosen)
+
+
+def test_parts_by_bytes_keep_whole_rows():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from pixelweave.llm.dictionary import parts_by_bytes
+
+    texts = ["Ä" * 40, None, "", "a b", "C d " * 300, "e", None]
+    parts = list(parts_by_bytes(pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"]), 1, 64))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts and len(parts) > 2
+    lower = [w for p in parts for w in pc.ascii_split_whitespace(pc.ascii_lower(p.column(1).cast(pa.large_string()).fill_null(""))).flatten().to_pylist()]
+    assert lower == [w for t in texts for w in ((t or "").replace("C", "c").split(" "))]
+
+
+def test_vectors_of_any_length_and_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 0.0]), (4, [1e-200, 0.0]), (5, [2.0, 0.0]), (6, [0.0, 1.0, 1.0]), (7, [0.0, 3.0, 3.0]), (8, [0.0, 1.0, 1.2]), (9, [5.0]), (10, [1.0]), (11, [-1.0]), (12, [5e-324, 0.0]), (13, []), (14, [1.0, 0.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_neardup.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 3), 4: (3, 3), 5: (3, 3), 12: (3, 3), 6: (2, 6), 7: (2, 6), 8: (2, 6), 9: (1, 9), 10: (1, 9), 11: (0, 11), 13: (0, 13), 14: (0, 14)}
+
+
+def test_split_buckets_lose_no_link(monkeypatch):
+    monkeypatch.setattr(simhash, "FINER", 1)
+    rng = np.random.default_rng(6)
+    fp = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64) * np.uint64(0x1000200040001) & np.uint64(0x0F0F0F0F0F0F0F0F))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    want = roots(len(fp), np.argwhere(np.triu(near, 1)).tolist())
+    label = simhash.spanning_links(fp)
+    assert len(set(zip(want, label.tolist()))) == len(set(want)) == len(set(label.tolist())) > 1
