@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pixelweave.deploy import ship
 from pixelweave.llm import tokenizer_files as tf
 from pixelweave.llm.common import materialize
+from pixelweave.llm.dictionary import parts_by_bytes
 
 CAPACITY = 4096
 TERMINATOR = 1
@@ -40,6 +41,8 @@ TERMINATOR = 1
 SHARD = 20_000
 #: Times that pieces are dealt over shards.
 TURNS = 12
+#: Bytes of text encoded at once.
+PART_BYTES = 4 << 20
 #: Distinct runs of characters whose ids a worker remembers before it starts afresh.
 REMEMBERED = 600_000
 #: Bits of a sequence's number for its place in the shard and for the shard.
@@ -117,8 +120,7 @@ def _cut(path: str, capacity: int):
         ids = WordIds(path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 10_000):
-                part = batch.slice(lo, 10_000)
+            for part in parts_by_bytes(batch, 1, PART_BYTES):
                 flat, edges = ids.encode(part.column(1))
                 out: list[list] = [[], [], [], [], []]
                 for doc, a, b in zip(part.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
