@@ -52,6 +52,11 @@ MOST = 256
 WIDE = 50_000
 #: Bytes of segments merged at once, and in a shard.
 MERGED, SHARD = 2 << 20, 128 << 10
+#: Bytes of text for each bucket and each task, and tasks at most (a task goes through its
+#: buckets one by one, so more of them only take longer).
+BUCKET_BYTES, TASK_BYTES, MOST_TASKS = 16 << 20, 64 << 20, 20_000
+#: Strings of bytes that a table looks up when rounds compare several bytes at once.
+SYMBOL_CODES = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -323,10 +328,10 @@ def merge_transforms(shards: list[np.ndarray], rounds: int) -> tuple[np.ndarray,
     A shard is its transform, the byte before each of its suffixes in order, 0 at a
     segment's start; rows count through the shards.  The interleave of the shards' rows
     starts as one block in which no byte is compared.  A round moves every row to its
-    suffix with one more byte in front: rows with equal such bytes and of one block form
-    the new blocks, in the order of byte and block, so after ``k`` rounds a block holds
-    the suffixes with one prefix of ``k`` bytes.  What is alone in its block stays alone
-    in all further rounds and is let go.
+    suffix with a few more bytes in front (``_strides``): rows with equal such bytes and
+    of one block form the new blocks, in the order of bytes and block, so when ``k``
+    bytes are compared a block holds the suffixes with one prefix of ``k`` bytes.  What is
+    alone in its block stays alone in all further rounds and is let go.
     """
     offset, step = 0, []
     for bwt in shards:
@@ -337,22 +342,60 @@ def merge_transforms(shards: list[np.ndarray], rounds: int) -> tuple[np.ndarray,
         offset += len(bwt)
     bwt, step = np.concatenate(shards), np.concatenate(step)
     rows, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
-    for _ in range(rounds):
-        chars = bwt[rows]
-        inside = np.flatnonzero(chars)
-        order = inside[np.argsort(chars[inside], kind="stable")]
-        moved, before = chars[order], block[order]
-        fresh = np.concatenate([[True], (moved[1:] != moved[:-1]) | (before[1:] != before[:-1])])[: len(order)]
-        start = np.flatnonzero(fresh)
-        size = np.diff(np.concatenate([start, [len(order)]]))
-        many = size > 1
-        rows = step[rows[order[np.repeat(many, size)]]]
-        block = np.repeat(np.arange(int(many.sum()), dtype=np.int32), size[many])
-        if not len(rows):
-            break
+    for symbols, target, turns in _strides(bwt, step, rounds):
+        for _ in range(turns):
+            chars = symbols[rows]
+            inside = np.flatnonzero(chars)
+            order = inside[np.argsort(chars[inside], kind="stable")]
+            moved, before = chars[order], block[order]
+            fresh = np.concatenate([[True], (moved[1:] != moved[:-1]) | (before[1:] != before[:-1])])[: len(order)]
+            start = np.flatnonzero(fresh)
+            size = np.diff(np.concatenate([start, [len(order)]]))
+            many = size > 1
+            rows = target[rows[order[np.repeat(many, size)]]]
+            block = np.repeat(np.arange(int(many.sum()), dtype=np.int32), size[many])
+            if not len(rows):
+                return rows, block
     return rows, block
 
 
+def _strides(bwt: np.ndarray, step: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """How ``rounds`` bytes are compared: for each row a symbol, in order, for the bytes
+    before it (0 where there are fewer), the row that these lead to, and how many times.
+
+    As many bytes go into a symbol as let symbols stay below 2^16.
+    """
+    used = np.flatnonzero(np.bincount(bwt))
+    letter = np.zeros(int(bwt.max(initial=0)) + 1, np.int64)
+    letter[used] = np.arange(len(used)) if len(used) and used[0] == 0 else np.arange(1, len(used) + 1)
+    letters = len(used) + 1
+    width = max(1, min(rounds, int(np.log(SYMBOL_CODES) / np.log(max(letters, 2)))))
+    while True:
+        known: list[tuple[np.ndarray, np.ndarray]] = []
+        code, target, scale = letter[bwt], step, 1
+        inside = bwt > 0
+        for k in range(1, width + 1):
+            if k in (width, rounds % width):
+                mark = np.zeros(scale * letters, bool)
+                mark[code[inside]] = True
+                if k > 1 and mark.sum() >= 1 << 16:
+                    break
+                symbols = np.cumsum(mark).astype(np.uint16)[code]
+                symbols[~inside] = 0
+                known.append((symbols, target))
+            if k < width:
+                scale *= letters
+                code = code + letter[bwt[target]] * scale
+                inside &= bwt[target] > 0
+                target = step[target]
+        else:
+            break
+        width -= 1
+    if rounds % width:
+        yield *known[0], 1
+    yield *known[-1], rounds // width
+
+
 def repeated_windows(pieces: np.ndarray, body: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Windows (piece, place) that also start earlier in the corpus, given pieces in
     corpus order, their bytes end to end, and where each piece's bytes start."""
@@ -462,17 +505,46 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _bucketwise(solve):
+    """``solve`` over a partition sorted by bucket, one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            bucket = batch.column(0).fill_null(-1).to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and bucket[lo] != last:
+                    yield from solve(iter(held))
+                    held = []
+                last = bucket[lo]
+                held.append(batch.slice(lo, hi - lo))
+                if last < 0:  # ranges only
+                    yield from solve(iter(held))
+                    held = []
+        if held:
+            yield from solve(iter(held))
+
+    return run
+
+
 def repeated_ranges(rows: DataFrame) -> DataFrame:
-    """``(doc, text, start, end)`` byte ranges to remove, for ``doc_id, key, raw`` rows."""
-    tasks = shuffle_partitions(rows.sparkSession)
-    buckets = max(64, 2 * tasks)
-    deal = lambda df: df.repartition(tasks, F.coalesce("bucket", F.pmod(F.col("doc"), F.lit(buckets)).cast("int")))
+    """``(doc, text, start, end)`` byte ranges to remove, for ``doc_id, key, raw`` rows.
+
+    Buckets and tasks follow the bytes of the texts; a task holds one bucket at a time.
+    """
+    size = rows.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
+    tasks = max(shuffle_partitions(rows.sparkSession), min(size // TASK_BYTES, MOST_TASKS))
+    buckets = max(64, 2 * tasks, size // BUCKET_BYTES)
+    deal = lambda df: df.repartition(tasks, F.coalesce("bucket", F.pmod(F.col("doc"), F.lit(buckets)).cast("int"))).sortWithinPartitions("bucket")
     cut = rows.select("doc_id", "key", "raw").mapInArrow(_cut_segments(buckets), _MIXED)
-    resolved = materialize(deal(cut).mapInArrow(_resolve_equal, _ASKS), "repeats-resolved")
+    resolved = materialize(deal(cut).mapInArrow(_bucketwise(_resolve_equal), _ASKS), "repeats-resolved")
     asked = resolved.where("n IS NOT NULL").groupBy("doc", "text").agg(F.collect_list(F.struct("name", "wide", "start", "end")).alias("asked"))
     joined = rows.join(asked, (F.coalesce("doc_id", F.lit(LEAST)) == F.col("doc")) & (F.col("key") == F.col("text"))).select("doc_id", "key", "raw", "asked")
     pieces = joined.mapInArrow(_fetch(buckets), _MIXED)
-    merged = deal(pieces).mapInArrow(_merge_bucket, _RANGES)
+    merged = deal(pieces).mapInArrow(_bucketwise(_merge_bucket), _RANGES)
     return resolved.where("n IS NULL").select("doc", "text", "start", "end").unionByName(merged)
 
 
