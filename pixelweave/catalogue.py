@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.operators import matching, morphology, planning, rasters, scoring
+from pixelweave.functions import half_up, probability_colour, tier_colour, tier_style
+from pixelweave.operators import evaluation, matching, morphology, planning, rasters, scoring
 from pixelweave.plans import fixtures as fx
 from pixelweave.scratch import materialize
 
@@ -212,21 +213,24 @@ _PAIRS = f"""{_edges_sql('h')},
      AND NOT list_contains(g.las, e.la) AND NOT list_contains(g.lbs, e.lb)),
  top AS (SELECT fov, c, arg_max(las, total) las, arg_max(lbs, total) lbs FROM grow GROUP BY fov, c),
  pick AS (SELECT fov, unnest(las) la, unnest(lbs) lb FROM top),
- pairs AS (SELECT fov, la, lb, iou FROM (SELECT fov, la, lb, iou FROM sure UNION ALL SELECT fov, la, lb, iou FROM pick JOIN rest USING (fov, la, lb)) WHERE iou >= 0.3::DOUBLE)"""
+ pairs AS MATERIALIZED (SELECT fov, la, lb, iou FROM (SELECT fov, la, lb, iou FROM sure UNION ALL SELECT fov, la, lb, iou FROM pick JOIN rest USING (fov, la, lb)) WHERE iou >= 0.3::DOUBLE)"""
 
 _RECORDS = """ar AS (SELECT fov, label, count(*) n, CAST(floor(avg(y)) AS INT) cy, CAST(floor(avg(x)) AS INT) cx FROM am GROUP BY fov, label),
  br AS (SELECT fov, label, count(*) n, CAST(floor(avg(y)) AS INT) cy, CAST(floor(avg(x)) AS INT) cx FROM bm GROUP BY fov, label),
  every AS (SELECT p.fov, 'GOLD' tier, 1 k, iou, la, lb, cy, cx, n FROM pairs p JOIN ar ON ar.fov=p.fov AND ar.label=la
    UNION ALL SELECT fov, 'SILVER', 2, 0, label, -1, cy, cx, n FROM ar WHERE (fov, label) NOT IN (SELECT (fov, la) FROM pairs)
    UNION ALL SELECT fov, 'BRONZE', 3, 0, -1, label, cy, cx, n FROM br WHERE (fov, label) NOT IN (SELECT (fov, lb) FROM pairs)),
- records AS (SELECT fov, CAST(row_number() OVER (PARTITION BY fov ORDER BY k, CASE WHEN k=3 THEN lb ELSE la END) AS INT) roi_id, tier, iou, la, lb, cy, cx, n FROM every)"""
+ records AS MATERIALIZED (SELECT fov, CAST(row_number() OVER (PARTITION BY fov ORDER BY k, CASE WHEN k=3 THEN lb ELSE la END) AS INT) roi_id, tier, iou, la, lb, cy, cx, n FROM every)"""
 
-_UNION = """painted AS (SELECT fov, y, x, max(roi_id) label FROM (SELECT am.fov, y, x, roi_id FROM am JOIN records r ON r.fov=am.fov AND r.la=am.label
+_UNION = """painted AS MATERIALIZED (SELECT fov, y, x, max(roi_id) label FROM (SELECT am.fov, y, x, roi_id FROM am JOIN records r ON r.fov=am.fov AND r.la=am.label
    UNION ALL SELECT bm.fov, y, x, roi_id FROM bm JOIN records r ON r.fov=bm.fov AND r.lb=bm.label AND r.tier='BRONZE') GROUP BY fov, y, x)"""
 
-_SCORED = f"""{GRID}, {SIGMOID}, means AS (SELECT p.fov, label roi_id, avg(v) m FROM painted p JOIN prob USING (fov, y, x) GROUP BY p.fov, label),
+#: ``half_up`` to five places: the value does not hang on the order of a mean's sum.
+HALF_UP = "floor(({})*100000.0::DOUBLE + 0.500001::DOUBLE)/100000.0::DOUBLE"
+
+_SCORED = f"""{GRID}, {SIGMOID}, means AS MATERIALIZED (SELECT p.fov, label roi_id, avg(v) m FROM painted p JOIN prob USING (fov, y, x) GROUP BY p.fov, label),
  scored AS (SELECT r.fov, r.roi_id, tier, round(iou, 4) iou_score, coalesce(cb.flag, -1) activity_iscell, coalesce(round(cb.prob, 4), -1.0::DOUBLE) activity_s2p_prob,
-   coalesce(round(ca.prob, 4), -1.0::DOUBLE) anatomy_s2p_prob, round(coalesce(m, 0.0::DOUBLE), 5) cellpose_mean_prob
+   coalesce(round(ca.prob, 4), -1.0::DOUBLE) anatomy_s2p_prob, {HALF_UP.format('coalesce(m, 0.0::DOUBLE)')} cellpose_mean_prob
    FROM records r LEFT JOIN means m ON m.fov=r.fov AND m.roi_id=r.roi_id LEFT JOIN h_cell cb ON cb.pass='activity' AND cb.fov=r.fov AND cb.label=r.lb LEFT JOIN h_cell ca ON ca.pass='anatomy' AND ca.fov=r.fov AND ca.label=r.la)"""
 
 _TO_PAIRS = f"{PART}, {_PAIRS}"
@@ -280,12 +284,12 @@ def scored_rois(spark, sf):
     return _scored(spark, sf)
 
 
-@_query(f"{_TO_RECORDS}, {_UNION}, {_SCORED} SELECT p.fov, y, x, label AS roi_id, round(m, 5) AS mean_prob FROM painted p JOIN means m ON m.fov=p.fov AND m.roi_id=p.label")
+@_query(f"{_TO_RECORDS}, {_UNION}, {_SCORED} SELECT p.fov, y, x, label AS roi_id, {HALF_UP.format('m')} AS mean_prob FROM painted p JOIN means m ON m.fov=p.fov AND m.roi_id=p.label")
 def probability_raster(spark, sf):
     a, b = _masks(spark, sf)
     mask = matching.consensus_mask(a, b, _records(spark, sf), scoring.TIERS)
     means = scoring.mean_probability(mask, rasters.probability(_logit_grid(spark, sf)))
-    return scoring.probability_raster(mask, means).withColumn("mean_prob", F.round("mean_prob", 5))
+    return scoring.probability_raster(mask, means).withColumn("mean_prob", half_up(F.col("mean_prob"), 5))
 
 
 @_query(f"{_TO_RECORDS} SELECT fov, count(*) FILTER (WHERE tier='GOLD') AS n_gold, count(*) FILTER (WHERE tier='SILVER') AS n_silver, count(*) FILTER (WHERE tier='BRONZE') AS n_bronze, count(*) AS n_rois FROM records GROUP BY fov")
@@ -357,6 +361,21 @@ def _merged(spark, sf) -> tuple[DataFrame, DataFrame]:
     return manual, matching.merge_masks(manual, extra)
 
 
+_GOLD = f"""{_TO_RECORDS}, {_MANUAL}, chosen AS (SELECT *, CAST(row_number() OVER (PARTITION BY fov ORDER BY roi_id) AS INT) fresh FROM records WHERE tier IN ('GOLD','SILVER')),
+ cons AS (SELECT am.fov, y, x, max(fresh) AS label FROM am JOIN chosen c ON c.fov=am.fov AND c.la=am.label GROUP BY am.fov, y, x),
+ own AS (SELECT cons.* FROM cons JOIN records r ON r.fov=cons.fov AND r.roi_id=cons.label AND r.tier='GOLD' AND r.la > 0),
+ oa AS (SELECT fov, label, count(*) n FROM own GROUP BY fov, label), ob AS (SELECT fov, label, count(*) n FROM manual GROUP BY fov, label),
+ best AS (SELECT p.fov, l, max(i::DOUBLE/(oa.n+ob.n-i)) m FROM (SELECT o.fov, o.label l, m.label k, count(*) i FROM own o JOIN manual m ON m.fov=o.fov AND m.y=o.y AND m.x=o.x GROUP BY ALL) p
+   JOIN oa ON oa.fov=p.fov AND oa.label=l JOIN ob ON ob.fov=p.fov AND ob.label=k GROUP BY p.fov, l)"""
+
+
+@_query(f"{_GOLD} SELECT oa.fov, oa.label FROM oa LEFT JOIN best ON best.fov=oa.fov AND best.l=oa.label WHERE coalesce(m, 0) < 0.1::DOUBLE")
+def uncovered_gold(spark, sf):
+    a, b = _masks(spark, sf)
+    records = _records(spark, sf)
+    return matching.uncovered_gold(matching.consensus_mask(a, b, records), records, _manual(spark, sf))
+
+
 @_query(f"{PART}, {_MERGED} SELECT fov, y, x, label FROM merged")
 def merge_masks(spark, sf):
     return _merged(spark, sf)[1]
@@ -384,7 +403,22 @@ def mean_average_precision(spark, sf):
     return matching.mean_precision(matching.precision(_masks(spark, sf)[1], _manual(spark, sf)))
 
 
-@_query()
+#: Most matches among pairs over a threshold: all matchings of every component.
+_MOST = f"""{_MANUAL}, am AS (SELECT fov, y, x, label FROM h_mask WHERE pass='activity'), {_EDGES.format(a='am', b='manual')},
+ over AS MATERIALIZED (SELECT th, fov, la, lb FROM edges, (SELECT unnest([0.3, 0.5])::DOUBLE th) WHERE iou >= th),
+ hop AS MATERIALIZED (SELECT DISTINCT p.th, p.fov, p.la a, q.la b FROM over p JOIN over q ON p.th=q.th AND p.fov=q.fov AND p.lb=q.lb),
+ reach(th, fov, a, b) AS (SELECT th, fov, a, b FROM hop UNION SELECT r.th, r.fov, r.a, h.b FROM reach r JOIN hop h ON r.th=h.th AND r.fov=h.fov AND r.b=h.a),
+ comp AS MATERIALIZED (SELECT th, fov, a la, min(b) c FROM reach GROUP BY th, fov, a),
+ item AS MATERIALIZED (SELECT o.*, c, row_number() OVER (PARTITION BY o.th, o.fov, c ORDER BY la, lb) i FROM over o JOIN comp USING (th, fov, la)),
+ grow(th, fov, c, i, las, lbs) AS (SELECT DISTINCT th, fov, c, 0::BIGINT, []::INT[], []::INT[] FROM item
+   UNION ALL SELECT g.th, g.fov, g.c, e.i, list_append(g.las, e.la), list_append(g.lbs, e.lb) FROM grow g JOIN item e ON g.th=e.th AND g.fov=e.fov AND g.c=e.c AND e.i>g.i
+     AND NOT list_contains(g.las, e.la) AND NOT list_contains(g.lbs, e.lb)),
+ hits AS (SELECT th, fov, CAST(sum(n) AS BIGINT) tp FROM (SELECT th, fov, c, max(len(las)) n FROM grow GROUP BY th, fov, c) GROUP BY th, fov),
+ sides AS (SELECT * FROM (SELECT fov, count(DISTINCT label) np FROM am GROUP BY fov) FULL JOIN (SELECT fov, count(DISTINCT label) nt FROM manual GROUP BY fov) USING (fov))"""
+
+
+@_query(f"""{PART}, {_MOST} SELECT s.fov, t.th AS threshold, coalesce(tp,0) AS tp, coalesce(np,0) AS np, coalesce(nt,0) AS nt, round(coalesce(tp,0)::DOUBLE/greatest(coalesce(np,0)+coalesce(nt,0)-coalesce(tp,0), 1), 4) AS ap
+ FROM sides s CROSS JOIN (SELECT unnest([0.3, 0.5])::DOUBLE th) t LEFT JOIN hits h ON h.fov=s.fov AND h.th=t.th""")
 def average_precision_half(spark, sf):
     return matching.precision(_masks(spark, sf)[1], _manual(spark, sf), (0.3, 0.5))
 
@@ -460,10 +494,15 @@ def sobel(spark, sf):
     return morphology.sobel(mean, 8, 8).withColumn("v", F.round("v", 5))
 
 
-@_query()
+_GAUSS = "taps AS (SELECT d, exp(-0.5::DOUBLE*d*d) / sum(exp(-0.5::DOUBLE*d*d)) OVER () w FROM (SELECT unnest(generate_series(-4, 4)) d))"
+
+
+@_query(f"""{MOVIE}, proj AS (SELECT fov, y, x, round(avg(v), 6) v FROM movie GROUP BY fov, y, x), {_GAUSS},
+ down AS (SELECT o.fov, o.y, o.x, sum(w*p.v) v FROM (SELECT fov, y, x, w, greatest(0, least(7, y+d)) ny FROM proj CROSS JOIN taps) o JOIN proj p ON p.fov=o.fov AND p.y=ny AND p.x=o.x GROUP BY o.fov, o.y, o.x)
+ SELECT o.fov, o.y, o.x, round(sum(w*p.v), 5) AS v FROM (SELECT fov, y, x, w, greatest(0, least(7, x+d)) nx FROM down CROSS JOIN taps) o JOIN down p ON p.fov=o.fov AND p.y=o.y AND p.x=nx GROUP BY o.fov, o.y, o.x""")
 def gaussian(spark, sf):
-    mean = rasters.projections(fx.movie(spark, sf)).select("fov", "y", "x", F.col("mean_v").alias("v"))
-    return morphology.gaussian(mean, 8, 8)
+    mean = rasters.projections(fx.movie(spark, sf)).select("fov", "y", "x", F.round("mean_v", 6).alias("v"))
+    return morphology.gaussian(mean, 8, 8).withColumn("v", F.round("v", 5))
 
 
 @_query()
@@ -550,17 +589,9 @@ def raster_candidates(spark, sf):
     return planning.first_candidate(r, ("_mean", "_mc_mean"))
 
 
-@_query("""WITH s AS (SELECT 'FOV' || p_partkey || '_mc.tif' path FROM part WHERE p_partkey < 200 AND p_partkey%2=0), m AS (SELECT 'FOV' || p_partkey stem FROM part WHERE p_partkey < 200)
- SELECT stem, min(path) AS path FROM m LEFT JOIN s ON starts_with(path, stem) GROUP BY stem""")
-def prefix_match(spark, sf):
-    part = fx.table(spark, sf, "part").where("p_partkey < 200")
-    return planning.prefix_match(part.selectExpr("concat('FOV', p_partkey) AS stem"), part.where("p_partkey % 2 = 0").selectExpr("concat('FOV', p_partkey, '_mc.tif') AS path"))
-
-
 @_query("""WITH s AS (SELECT 'FOV' || p_partkey || '_mc.tif' path FROM part WHERE p_partkey%2=0), m AS (SELECT 'FOV' || p_partkey stem FROM part)
  SELECT stem, min(path) AS path FROM m LEFT JOIN s ON starts_with(path, stem) GROUP BY stem""")
 def prefix_match_all(spark, sf):
-    """``prefix_match`` without its bound on the key: every mask and every stack."""
     part = fx.table(spark, sf, "part")
     return planning.prefix_match(part.selectExpr("concat('FOV', p_partkey) AS stem"), part.where("p_partkey % 2 = 0").selectExpr("concat('FOV', p_partkey, '_mc.tif') AS path"))
 
@@ -587,3 +618,147 @@ def stem_names(spark, sf):
     from pixelweave.functions import stem
 
     return fx.table(spark, sf, "part").selectExpr("concat('FOV', p_partkey, CASE WHEN p_partkey%2=0 THEN '_mc' ELSE '_mc_x_mc' END) AS n").select(stem(F.col("n")).alias("fov")).distinct()
+
+
+# ---- evaluation variants, corrections, projections, decay ----------------------
+
+_VARIANTS = f"""{_TO_RECORDS}, {_UNION}, {_MANUAL}, chosen AS (SELECT *, CAST(row_number() OVER (PARTITION BY fov ORDER BY roi_id) AS INT) fresh FROM records WHERE tier IN ('GOLD','SILVER')),
+ cons AS (SELECT am.fov, y, x, max(fresh) AS label FROM am JOIN chosen c ON c.fov=am.fov AND c.la=am.label GROUP BY am.fov, y, x),
+ gold AS (SELECT cons.fov, y, x, CAST(k AS INT) AS label FROM cons JOIN (SELECT fov, roi_id, row_number() OVER (PARTITION BY fov ORDER BY roi_id) k FROM records WHERE tier='GOLD') g ON g.fov=cons.fov AND g.roi_id=cons.label)"""
+
+
+@_query(f"{_VARIANTS} SELECT fov, y, x, label FROM gold")
+def gold_only_mask(spark, sf):
+    a, b = _masks(spark, sf)
+    records = _records(spark, sf)
+    return evaluation.gold_only(matching.consensus_mask(a, b, records), records)
+
+
+_VARIANT_AP = f"""{_VARIANTS}, vm AS (SELECT 'consensus' variant, * FROM cons UNION ALL SELECT 'gold_only', * FROM gold UNION ALL SELECT 'all_tiers', * FROM painted UNION ALL SELECT 'cellpose_only', fov, y, x, label FROM am),
+ names AS (SELECT unnest(['consensus','gold_only','all_tiers','cellpose_only']) variant),
+ own AS (SELECT variant, fov FROM names CROSS JOIN (SELECT DISTINCT fov FROM manual) WHERE NOT (variant='cellpose_only' AND fov%3=1) AND NOT (variant='all_tiers' AND fov%4=2)),
+ p AS (SELECT variant, fov, label, count(*) n FROM vm GROUP BY ALL), q AS (SELECT fov, label, count(*) n FROM manual GROUP BY ALL),
+ e AS (SELECT i.variant, i.fov, i.c::DOUBLE/(p.n+q.n-i.c) iou FROM (SELECT v.variant, v.fov, v.label lp, m.label lq, count(*) c FROM vm v JOIN manual m ON m.fov=v.fov AND m.y=v.y AND m.x=v.x GROUP BY ALL) i
+   JOIN p ON p.variant=i.variant AND p.fov=i.fov AND p.label=lp JOIN q ON q.fov=i.fov AND q.label=lq),
+ th AS (SELECT unnest([0.6, 0.75])::DOUBLE threshold),
+ ap AS (SELECT own.variant, own.fov, threshold, round(tp::DOUBLE/greatest(np+nt-tp, 1), 4) ap FROM (SELECT own.*, threshold, (SELECT count(*) FROM e WHERE e.variant=own.variant AND e.fov=own.fov AND iou>=threshold) tp,
+   (SELECT count(*) FROM p WHERE p.variant=own.variant AND p.fov=own.fov) np, (SELECT count(*) FROM q WHERE q.fov=own.fov) nt FROM own CROSS JOIN th) own
+   UNION ALL SELECT 'cellpose_only', fov, threshold, -1.0::DOUBLE FROM (SELECT DISTINCT fov FROM manual) CROSS JOIN th WHERE fov%3=1)"""
+
+
+def _variant_scores(spark, sf) -> DataFrame:
+    a, b = _masks(spark, sf)
+    records = _records(spark, sf)
+    consensus, every = matching.consensus_mask(a, b, records), matching.consensus_mask(a, b, records, scoring.TIERS)
+    masks = evaluation.variants(consensus, every, records, a)
+    truth = _manual(spark, sf)
+    present = truth.select("fov", F.explode(F.array(*map(F.lit, evaluation.VARIANTS))).alias("variant")).distinct().where("NOT (variant = 'cellpose_only' AND fov % 3 = 1)")
+    return evaluation.variant_precision(masks, present.withColumn("same_shape", F.expr("NOT (variant = 'all_tiers' AND fov % 4 = 2)")), truth, (0.6, 0.75))
+
+
+@_query(f"{_VARIANT_AP} SELECT variant, fov, threshold, ap FROM ap")
+def variant_precision(spark, sf):
+    return _variant_scores(spark, sf)
+
+
+@_query(f"{_VARIANT_AP} SELECT variant, threshold, round(avg(ap) FILTER (WHERE ap >= 0), 4) AS mean_ap, count(*) FILTER (WHERE ap >= 0) AS n_fovs FROM ap GROUP BY variant, threshold")
+def variant_means(spark, sf):
+    return evaluation.variant_means(_variant_scores(spark, sf))
+
+
+_IMAGES = "images AS (SELECT 'F' || (vec_id // 2) fov, CASE vec_id%5 WHEN 0 THEN 'mean' WHEN 1 THEN 'vcorr' WHEN 2 THEN 'vcorr' ELSE 'other' END kind, embedding data FROM embeddings)"
+
+
+def _images(spark, sf) -> DataFrame:
+    return fx.table(spark, sf, "embeddings").selectExpr("concat('F', vec_id div 2) AS fov", "CASE vec_id%5 WHEN 0 THEN 'mean' WHEN 1 THEN 'vcorr' WHEN 2 THEN 'vcorr' ELSE 'other' END AS kind", "8 AS h", "8 AS w", "embedding AS data")
+
+
+@_query(f"WITH {_IMAGES} SELECT fov, fov || '_mc_vcorr' AS name, list_min(data)::DOUBLE AS v_min, list_max(data)::DOUBLE AS v_max FROM images WHERE kind='vcorr'")
+def correlation_ranges(spark, sf):
+    return evaluation.correlation_files(_images(spark, sf)).select("fov", "name", F.col("v_min").cast("double").alias("v_min"), F.col("v_max").cast("double").alias("v_max"))
+
+
+@_query(f"WITH {_IMAGES} SELECT fov, kind, fov || '_' || kind AS name, list_sum(data[1:1])::DOUBLE AS first_v FROM images WHERE kind IN ('mean','vcorr')")
+def projection_names(spark, sf):
+    files, _ = evaluation.projection_files(_images(spark, sf))
+    return files.select("fov", "kind", "name", F.col("data")[0].cast("double").alias("first_v"))
+
+
+@_query(f"WITH {_IMAGES} SELECT count(DISTINCT fov) AS n_fovs FROM images WHERE kind IN ('mean','vcorr')")
+def projection_count(spark, sf):
+    return evaluation.projection_files(_images(spark, sf))[1]
+
+
+@_query(f"""{PART}, a AS (SELECT CAST(fov AS VARCHAR) fov, y, x, label FROM f1_mask WHERE pass='anatomy'), b AS (SELECT fov f, CAST(fov AS VARCHAR) fov, y, x, label FROM f1_mask WHERE pass='activity')
+ SELECT fov, y, x, label FROM a WHERE fov NOT IN (SELECT fov FROM b WHERE f%2=0) UNION ALL SELECT fov, y, x, CASE WHEN f%4=0 THEN label+100 ELSE label END FROM b WHERE f%2=0""")
+def corrected_masks(spark, sf):
+    a, b = _masks(spark, sf, "f1")
+    first = b.where("fov % 2 = 0").selectExpr("concat(fov, '_mean_seg') AS name", "1 AS landed", "y", "x", "label")
+    again = b.where("fov % 4 = 0").selectExpr("concat(fov, '_seg') AS name", "2 AS landed", "y", "x", "label + 100 AS label")
+    empty = b.selectExpr("concat(fov, '_seg') AS name", "3 AS landed", "y", "x", "0 AS label")
+    return evaluation.correct_masks(a.selectExpr("CAST(fov AS STRING) AS fov", "y", "x", "label"), first.unionByName(again).unionByName(empty))
+
+
+_TRACES = "tr AS (SELECT CAST(n_regionkey AS INT) fov, CAST(n_nationkey AS INT) label, CAST(t AS INT) t, CAST(abs((t + n_nationkey*5) % (20 + n_nationkey%7) - 10) AS DOUBLE) f, CAST(t%3 AS DOUBLE) fneu FROM nation CROSS JOIN (SELECT unnest(generate_series(0, 119)) t))"
+_LAGS = ", ".join(f"lead(v, {k}) OVER (PARTITION BY fov, label ORDER BY t) v{k}" for k in range(1, 11))
+_TAU = f"""{_TRACES}, c AS (SELECT fov, label, t, v - avg(v) OVER (PARTITION BY fov, label) v FROM (SELECT fov, label, t, f - 0.7::DOUBLE*fneu v FROM tr)), w AS (SELECT fov, label, v, {_LAGS} FROM c),
+ s AS (SELECT fov, label, k, r FROM (SELECT fov, label, unnest([{', '.join(str(k) for k in range(1, 11))}]) k, unnest([{', '.join(f'sum(v*v{k})/sum(v*v)' for k in range(1, 11))}]) r FROM w GROUP BY fov, label)),
+ lead AS (SELECT * FROM s WHERE k < coalesce((SELECT min(k) FROM s z WHERE z.fov=s.fov AND z.label=s.label AND z.r <= 0), 99)),
+ tau AS (SELECT fov, label, CASE WHEN sum(k*ln(r)) < 0 THEN round(-sum(k*k)/(sum(k*ln(r))*10.0::DOUBLE), 6) END tau FROM lead GROUP BY fov, label)"""
+
+
+@_query(f"WITH {_TAU} SELECT n.fov, n.label, tau FROM (SELECT DISTINCT fov, label FROM tr) n LEFT JOIN tau USING (fov, label)")
+def decay_times(spark, sf):
+    nation = fx.table(spark, sf, "nation").selectExpr("CAST(n_regionkey AS INT) AS fov", "CAST(n_nationkey AS INT) AS label", "explode(sequence(0, 119)) AS t")
+    traces = nation.selectExpr("fov", "label", "t", "CAST(abs((t + label*5) % (20 + label%7) - 10) AS DOUBLE) AS f", "CAST(t%3 AS DOUBLE) AS fneu")
+    return evaluation.decay_times(traces, 10.0).withColumn("tau", F.round("tau", 6))
+
+
+@_query(f"""{PART}, c AS (SELECT fov, label, prob p FROM f1_cell WHERE pass='activity')
+ SELECT fov, label, round(CASE WHEN p<0.5::DOUBLE THEN 0.843+(1.0-0.843)*2*p ELSE 1.0+(0.102-1.0)*(2*p-1) END, 6) AS r, round(CASE WHEN p<0.5::DOUBLE THEN 0.188+(1.0-0.188)*2*p ELSE 1.0+(0.596-1.0)*(2*p-1) END, 6) AS g,
+  round(CASE WHEN p<0.5::DOUBLE THEN 0.153+(0.749-0.153)*2*p ELSE 0.749+(0.314-0.749)*(2*p-1) END, 6) AS b FROM c""")
+def probability_colours(spark, sf):
+    rgba = probability_colour(F.col("label"), F.col("prob"))
+    return _cells(spark, sf, "activity", "f1").select("fov", "label", rgba.alias("c")).select("fov", "label", *[F.round(F.col("c")[k], 6).alias(n) for k, n in enumerate("rgb")])
+
+
+@_query(f"{_TO_RECORDS} SELECT fov, roi_id, CASE tier WHEN 'GOLD' THEN 0.843::DOUBLE WHEN 'SILVER' THEN 0.749::DOUBLE ELSE 0.388::DOUBLE END AS green FROM records")
+def outline_colours(spark, sf):
+    return _records(spark, sf).select("fov", "roi_id", tier_colour(F.col("tier"))[1].alias("green"))
+
+
+# ---- listings, styles, status --------------------------------------------------
+
+
+@_query("""WITH m AS (SELECT p_partkey fov FROM part), i AS (SELECT p_partkey fov, unnest(CASE WHEN p_partkey%3=0 THEN ['mean'] WHEN p_partkey%3=1 THEN ['mean','max'] ELSE [] END) proj FROM part)
+ SELECT m.fov, p.proj, i.proj IS NOT NULL AS present FROM m CROSS JOIN (SELECT unnest(['mean','max']) proj) p LEFT JOIN i ON i.fov=m.fov AND i.proj=p.proj""")
+def image_mask_pairs(spark, sf):
+    part = fx.table(spark, sf, "part")
+    images = part.selectExpr("p_partkey AS fov", "explode(CASE WHEN p_partkey%3=0 THEN array('mean') WHEN p_partkey%3=1 THEN array('mean','max') ELSE array() END) AS proj")
+    return planning.image_mask_pairs(part.selectExpr("p_partkey AS fov"), images)
+
+
+@_query("SELECT CASE WHEN p_size%9=0 THEN 'failed' WHEN p_size%4=0 THEN 'skipped' ELSE 'done' END AS status, count(*) AS n FROM part GROUP BY 1")
+def batch_status(spark, sf):
+    return planning.batch_status(fx.table(spark, sf, "part").selectExpr("CASE WHEN p_size%9=0 THEN 'failed' WHEN p_size%4=0 THEN 'skipped' ELSE 'done' END AS status"))
+
+
+@_query("SELECT n_nationkey AS k, CASE n_nationkey%4 WHEN 0 THEN '#FFD700' WHEN 1 THEN '#C0C0C0' WHEN 2 THEN '#CD7F32' END AS colour, CASE n_nationkey%4 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.6::DOUBLE WHEN 2 THEN 0.5::DOUBLE END AS opacity, CASE WHEN n_nationkey%4 < 3 THEN n_nationkey%4 < 2 END AS visible FROM nation")
+def tier_styles(spark, sf):
+    tiers = fx.table(spark, sf, "nation").selectExpr("n_nationkey AS k", "element_at(array('gold', 'Silver', 'BRONZE', 'lead'), CAST(n_nationkey % 4 + 1 AS INT)) AS tier")
+    return tiers.select("k", tier_style(F.col("tier")).alias("s")).select("k", "s.colour", "s.opacity", "s.visible")
+
+
+@_query(f"""WITH {_PAIRED}, named AS (SELECT CASE WHEN dir%2=0 THEN '/in/' ELSE '/other/' END || dir d, tif, zip FROM paired), each AS (SELECT d, unnest([tif, zip]) n FROM named)
+ SELECT d || '/' || n AS source, '/to/' || n AS target FROM each WHERE starts_with(d, '/in')""")
+def move_plan(spark, sf):
+    pairs = planning.pair_files(_files(spark, sf)).withColumn("dir", F.expr("concat(CASE WHEN dir%2=0 THEN '/in/' ELSE '/other/' END, dir)"))
+    return planning.move_plan(pairs, "/in", "/to")
+
+
+_PATHS = "'/data/' || CASE WHEN p_partkey%11=0 THEN '.x' ELSE 'animal' || p_partkey%5 END || '/session' || p_partkey%7 || CASE p_partkey%4 WHEN 1 THEN '/PRE Files' WHEN 2 THEN '/POST' ELSE '' END || CASE p_partkey%3 WHEN 0 THEN '/a' || p_partkey || '_mc.tif' WHEN 1 THEN '/b' || p_partkey || '_RoiSet.zip' ELSE '/c' || p_partkey || '.tif' END"
+
+
+@_query(f"SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CASE WHEN ends_with(path, '_mc.tif') THEN 'tif' ELSE 'zip' END AS kind, regexp_extract(path, '[^/]*$') AS name FROM (SELECT {_PATHS} path, p_partkey k FROM part) WHERE k%3<>2 AND k%4<>2 AND k%11<>0")
+def session_files(spark, sf):
+    return planning.session_files(fx.table(spark, sf, "part").selectExpr(f"{_PATHS} AS path"), "/data")

@@ -1,5 +1,5 @@
 """Scalar expressions over names, numbers and rasters."""
 
-from pixelweave.functions.scalar import align_offset, rescaled, sigmoid, stem, tier_rank, tier_style
+from pixelweave.functions.scalar import align_offset, half_up, probability_colour, rescaled, sigmoid, stem, tier_colour, tier_rank, tier_style
 
-__all__ = ["align_offset", "rescaled", "sigmoid", "stem", "tier_rank", "tier_style"]
+__all__ = ["align_offset", "half_up", "probability_colour", "rescaled", "sigmoid", "stem", "tier_colour", "tier_rank", "tier_style"]

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelweave.deploy import ship
+from pixelweave.functions.scalar import TIERS
 from pixelweave.operators.assignment import assign_field
 from pixelweave.operators.rasters import areas
-from pixelweave.scratch import materialize
+from pixelweave.scratch import discard, materialize, written
 
 THRESHOLD = 0.3
 #: A pair above 1 / (1 + 2 t), t = (sqrt(17) - 1) / 8, is in every optimum, as the
@@ -22,13 +23,18 @@ CERTAIN = 1.0 / (1.0 + (17.0**0.5 - 1.0) / 4.0)
 
 
 def iou_edges(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All pairs of regions with a common pixel; pairs without one never materialise."""
-    pa = a.select("fov", "y", "x", F.col("label").alias("la"))
-    pb = b.select("fov", "y", "x", F.col("label").alias("lb"))
-    inter = pa.join(pb, ["fov", "y", "x"]).groupBy("fov", "la", "lb").agg(F.count(F.lit(1)).alias("inter"))
-    na = pa.groupBy("fov", "la").agg(F.count(F.lit(1)).alias("na"))
-    nb = pb.groupBy("fov", "lb").agg(F.count(F.lit(1)).alias("nb"))
-    out = inter.join(na, ["fov", "la"]).join(nb, ["fov", "lb"])
+    """All pairs of regions with a common pixel; pairs without one never materialise.
+
+    Either side has one label at most on a pixel, so both go to their pixel in one
+    aggregate; regions' areas are sums over the counts of label pairs that it leaves.
+    """
+    none = F.lit(None).cast("int")
+    pa = a.select("fov", "y", "x", F.col("label").alias("la"), none.alias("lb"))
+    pb = b.select("fov", "y", "x", none.alias("la"), F.col("label").alias("lb"))
+    met = pa.unionByName(pb).groupBy("fov", "y", "x").agg(F.max("la").alias("la"), F.max("lb").alias("lb"))
+    counts = met.groupBy("fov", "la", "lb").agg(F.count(F.lit(1)).alias("inter"))
+    total = lambda side: F.sum("inter").over(Window.partitionBy("fov", side))
+    out = counts.withColumns({"na": total("la"), "nb": total("lb")}).where("la IS NOT NULL AND lb IS NOT NULL")
     iou = F.col("inter").cast("double") / (F.col("na") + F.col("nb") - F.col("inter"))
     return out.select("fov", "la", "lb", "inter", "na", "nb", iou.alias("iou"))
 
@@ -43,18 +49,40 @@ def residual_edges(edges: DataFrame) -> DataFrame:
     return edges.join(sure.select("fov", "la"), ["fov", "la"], "left_anti").join(sure.select("fov", "lb"), ["fov", "lb"], "left_anti").select(*edges.columns)
 
 
+def assigned(edges: DataFrame, most: int = 20_000) -> DataFrame:
+    """Optimal pairs of weighted edges ``(fov, la, lb, iou)``, a scratch table.
+
+    A task solves a field of view, one component after another.  A field with more than
+    ``most`` edges is dealt over several tasks, whole components to each.
+    """
+    ship(edges.sparkSession)
+    crowded = edges.groupBy("fov").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("fov", F.ceil(F.col("n") / most).cast("int").alias("tasks"))
+    if not crowded.limit(1).count():
+        return edges.groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), edges.schema)
+    least = lambda df, side: df.join(df.groupBy("fov", side).agg(F.min("part").alias("low")), ["fov", side]).drop("part").withColumnRenamed("low", "part")
+    part = materialize(edges.join(crowded, "fov").withColumn("part", F.col("la")), "assign-part")
+    while True:
+        lower = materialize(least(least(part, "lb"), "la").select(*part.columns), "assign-part")
+        moved = lower.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first() != part.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()
+        discard(part)
+        part = lower
+        if not moved:
+            break
+    dealt = part.withColumn("task", F.pmod(F.xxhash64("part"), F.col("tasks")))
+    split = dealt.select(*edges.columns, "task").groupBy("fov", "task").applyInPandas(lambda pdf: assign_field(pdf.drop(columns="task")), edges.schema)
+    return edges.join(crowded.select("fov"), "fov", "left_anti").groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), edges.schema).unionByName(split)
+
+
 def optimal_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of the assignment with the largest total overlap, then the threshold.
 
-    Certain pairs are fixed by a filter; the rest is solved per field of view, split
-    into its components.  The threshold must be positive: a pair without overlap is
+    Certain pairs are fixed by a filter; the rest is solved by components.  The threshold must be positive: a pair without overlap is
     never considered.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    ship(edges.sparkSession)
-    rest = residual_edges(edges).select("fov", "la", "lb", "iou")
-    solved = rest.groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), rest.schema)
+    edges = written(edges, "edges")
+    solved = assigned(materialize(residual_edges(edges).select("fov", "la", "lb", "iou"), "residual"))
     return certain_pairs(edges).select("fov", "la", "lb", "iou").unionByName(solved).where(F.col("iou") >= threshold)
 
 
@@ -65,7 +93,7 @@ def tier_records(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, iscel
     their overlap 0 and their probability -1.  Edges, pairs and records are written once
     each, as all that follows reads them several times.
     """
-    pairs = materialize(optimal_pairs(materialize(iou_edges(a, b), "edges"), threshold), "pairs")
+    pairs = materialize(optimal_pairs(iou_edges(a, b), threshold), "pairs")
     of_a = areas(a).withColumnRenamed("label", "la")
     of_b = areas(b).withColumnRenamed("label", "lb")
     gold = pairs.join(of_a, ["fov", "la"]).select("fov", F.lit("GOLD").alias("tier"), F.lit(1).alias("rank"), "iou", "la", "lb", "centroid_y", "centroid_x", "area_px")
@@ -96,6 +124,16 @@ def consensus_mask(a: DataFrame, b: DataFrame, records: DataFrame, tiers: tuple[
     return painted.groupBy("fov", "y", "x").agg(F.max("fresh").cast("int").alias("label"))
 
 
+def gold_labels(records: DataFrame) -> DataFrame:
+    """Consensus labels ``(fov, label)`` of GOLD regions with an anatomy partner."""
+    return records.where((F.col("tier") == "GOLD") & (F.col("cellpose_label") > 0)).select("fov", F.col("roi_id").alias("label"))
+
+
+def uncovered_gold(consensus: DataFrame, records: DataFrame, manual: DataFrame, overlap: float = 0.1) -> DataFrame:
+    """GOLD regions with pixels that no manual region covers: ``(fov, label)``."""
+    return uncovered(consensus.join(gold_labels(records), ["fov", "label"], "left_semi"), manual, overlap)
+
+
 def uncovered(consensus: DataFrame, manual: DataFrame, overlap: float = 0.1) -> DataFrame:
     """Labels of consensus regions whose best overlap with any manual one is too small."""
     best = iou_edges(consensus, manual).groupBy("fov", F.col("la").alias("label")).agg(F.max("iou").alias("best"))
@@ -125,6 +163,15 @@ def merge_totals(manual: DataFrame, merged: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_fovs"), F.count_if(F.col("added") > 0).alias("n_changed"), F.coalesce(F.sum("added"), F.lit(0)).alias("n_added"))
 
 
+def match_masks(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, tiers: tuple[str, ...] = ("GOLD", "SILVER"), iscell: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Consensus mask of the wanted tiers, that of all tiers, and the records.
+
+    Frames of different size are matched on the pixels that they share.
+    """
+    records = tier_records(a, b, threshold, iscell)
+    return consensus_mask(a, b, records, tuple(t.upper() for t in tiers)), consensus_mask(a, b, records, TIERS), records
+
+
 def tier_pixels(mask: DataFrame, records: DataFrame) -> DataFrame:
     """The pixels of a mask over all tiers with the tier of their region."""
     return mask.join(records.select("fov", F.col("roi_id").alias("label"), "tier"), ["fov", "label"]).select("fov", "y", "x", "label", "tier")
@@ -138,18 +185,17 @@ def precision(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, .
     """
     edges = iou_edges(predicted, truth)
     sides = predicted.groupBy("fov").agg(F.countDistinct("label").alias("np")).join(truth.groupBy("fov").agg(F.countDistinct("label").alias("nt")), "fov", "full")
-    out = None
-    for t in thresholds:
-        over = edges.where(F.col("iou") >= t)
-        if t <= 0.5:
-            ship(edges.sparkSession)
-            weighted = over.select("fov", "la", "lb", (1.0 + F.col("iou") * 1e-6).alias("iou"))
-            over = weighted.groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), weighted.schema)
-        hits = over.groupBy("fov").agg(F.count(F.lit(1)).alias("tp"))
-        rows = sides.join(hits, "fov", "left").select("fov", F.lit(float(t)).alias("threshold"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "np", "nt")])
-        rows = rows.withColumn("ap", F.round(F.col("tp") / F.greatest(F.col("np") + F.col("nt") - F.col("tp"), F.lit(1)), 4))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    upper, lower = ([t for t in thresholds if (t > 0.5) == over] for over in (True, False))
+    if lower:
+        edges = materialize(edges, "precision-edges")
+    hits = edges.groupBy("fov").agg(*[F.count_if(F.col("iou") >= t).alias(f"tp{k}") for k, t in enumerate(upper)]) if upper else edges.select("fov").distinct()
+    for k, t in enumerate(lower, len(upper)):
+        weighted = edges.where(F.col("iou") >= t).select("fov", "la", "lb", (1.0 + F.col("iou") * 1e-6).alias("iou"))
+        hits = hits.join(assigned(materialize(weighted, "precision-over")).groupBy("fov").agg(F.count(F.lit(1)).alias(f"tp{k}")), "fov", "left")
+    counts = F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.coalesce(f"tp{k}", F.lit(0)).cast("long").alias("tp")) for k, t in enumerate(upper + lower)]))
+    rows = sides.join(hits, "fov", "left").select("fov", F.coalesce("np", F.lit(0)).alias("np"), F.coalesce("nt", F.lit(0)).alias("nt"), counts)
+    ap = F.round(F.col("tp") / F.greatest(F.col("np") + F.col("nt") - F.col("tp"), F.lit(1)), 4)
+    return rows.select("fov", "threshold", "tp", "np", "nt", ap.alias("ap"))
 
 
 def mean_precision(per_field: DataFrame) -> DataFrame:

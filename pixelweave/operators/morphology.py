@@ -10,40 +10,60 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pixelweave.deploy import ship
+from pixelweave.functions.scalar import TIERS
 from pixelweave.operators.rasters import areas
 
 
-def _diamond(radius: int, centre: bool = True):
-    cells = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if abs(dy) + abs(dx) <= radius and (centre or dy or dx)]
-    return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in cells]), len(cells)
-
-
-def _spread(pixels: DataFrame, radius: int, height: int, width: int, centre: bool, *keep: str) -> DataFrame:
-    cells, _ = _diamond(radius, centre)
-    out = pixels.select("fov", *keep, "y", "x", F.inline(cells)).select("fov", *keep, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+def _spread(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """The four neighbours of every pixel inside the frame."""
+    cells = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (0, -1), (0, 1), (1, 0))])
+    out = pixels.select("fov", "label", "y", "x", F.inline(cells)).select("fov", "label", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
     return out.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
 
 
 def contour(mask: DataFrame, height: int, width: int) -> DataFrame:
     """The ring of pixels just outside each region; it may lie on other regions."""
-    ring = _spread(mask, 1, height, width, False, "label").distinct()
-    return ring.join(mask, ["fov", "label", "y", "x"], "left_anti")
+    ring = _spread(mask, height, width).withColumn("own", F.lit(0))
+    both = ring.unionByName(mask.select("fov", "label", "y", "x", F.lit(1).alias("own")))
+    return both.groupBy("fov", "label", "y", "x").agg(F.max("own").alias("own")).where("own = 0").drop("own")
+
+
+def runs(mask: DataFrame, *keys: str) -> DataFrame:
+    """Stretches ``(fov, *keys, y, x0, x1)`` of neighbouring labelled pixels in a row."""
+    row = ["fov", *keys, "y"]
+    pixels = mask.select(*row, "x").distinct() if keys else mask.select("fov", "y", "x")
+    place = F.col("x") - F.row_number().over(Window.partitionBy(*row).orderBy("x"))
+    return pixels.withColumn("k", place).groupBy(*row, "k").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("k")
+
+
+def _beside(stretches: DataFrame, radius: int, height: int, grow: bool) -> DataFrame:
+    """Stretches seen from the rows within ``radius``, longer or shorter at both ends by
+    what the diamond leaves there."""
+    by = F.array(*[F.struct(F.lit(d).alias("dy"), F.lit(radius - abs(d)).alias("by")) for d in range(-radius, radius + 1)])
+    moved = stretches.select("fov", "y", "x0", "x1", F.inline(by)).where((F.col("y") + F.col("dy")).between(0, height - 1))
+    by = F.col("by") if grow else -F.col("by")
+    return moved.select("fov", (F.col("y") + F.col("dy")).alias("y"), (F.col("x0") - by).alias("x0"), (F.col("x1") + by).alias("x1"))
 
 
 def dilate(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    """Pixels within the diamond of any region."""
-    return _spread(mask, radius, height, width, True).distinct()
+    """Pixels within the diamond of any region, by stretches of rows united."""
+    near = _beside(runs(mask), radius, height, True)
+    near = near.select("fov", "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.lit(width - 1)).alias("x1"))
+    upto = F.max("x1").over(Window.partitionBy("fov", "y").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = near.withColumn("from", F.greatest("x0", F.coalesce(upto + 1, F.lit(0)))).where(F.col("from") <= F.col("x1"))
+    return fresh.select("fov", "y", F.explode(F.sequence("from", "x1")).alias("x"))
 
 
 def erode(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     """Labelled pixels whose whole diamond is labelled, whatever by."""
-    _, n = _diamond(radius)
-    whole = _spread(mask.select("fov", "y", "x"), radius, height, width, True).groupBy("fov", "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n)
-    return mask.join(whole.select("fov", "y", "x"), ["fov", "y", "x"], "left_semi").select("fov", "y", "x", "label")
+    near = _beside(runs(mask), radius, height, False).where(F.col("x0") <= F.col("x1"))
+    inside = near.select("fov", "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("fov", "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2 * radius + 1)
+    return mask.join(inside.select("fov", "y", "x"), ["fov", "y", "x"], "left_semi").select("fov", "y", "x", "label")
 
 
 def markers(mask: DataFrame, height: int, width: int, erosion: int = 2, dilation: int = 5) -> DataFrame:
@@ -60,34 +80,47 @@ def markers(mask: DataFrame, height: int, width: int, erosion: int = 2, dilation
     return every.groupBy("fov", "y", "x").agg(F.max(F.struct("rank", "label"))["label"].alias("label"))
 
 
-def _convolve(raster: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int) -> DataFrame:
-    """Weighted neighbourhood sums; a coordinate outside takes the nearest inside.
+def _readers(c: str, n: int, reach: int):
+    """Outputs ``o`` that read coordinate ``c`` at offset ``d``: coordinates outside take
+    the nearest inside, so the first and last one are read from beyond the edge too."""
+    kind = "array<struct<o:int,d:int>>"
+    pairs = lambda found: F.array(*[F.struct(o.alias("o"), F.lit(d).alias("d")) for o, d in found]).cast(kind)
+    inner = F.filter(pairs([(F.col(c) - d, d) for d in range(-reach, reach + 1)]), lambda s: s["o"].between(0, n - 1))
+    first = pairs([(F.lit(o), d) for d in range(-reach, 0) for o in range(min(-d, n))])
+    last = pairs([(F.lit(o), d) for d in range(1, reach + 1) for o in range(max(n - d, 0), n)])
+    none = F.array().cast(kind)
+    return F.concat(inner, F.when(F.col(c) == 0, first).otherwise(none), F.when(F.col(c) == n - 1, last).otherwise(none))
 
-    Each output pixel reads its clamped neighbours, so each source pixel is sent to the
-    outputs that read it: the inverse of clamping is at most a few offsets.
-    """
-    cells = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in kernel])
-    wanted = raster.select("fov", "y", "x", F.inline(cells))
-    clamp = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c))
-    wanted = wanted.select("fov", F.col("y").alias("oy"), F.col("x").alias("ox"), clamp(F.col("y") + F.col("dy"), height).alias("y"), clamp(F.col("x") + F.col("dx"), width).alias("x"), "w")
-    return wanted.join(raster, ["fov", "y", "x"]).groupBy("fov", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+def _weights(w) -> Column:
+    return F.array(*[F.lit(float(v)) for v in w])
+
+
+def _filtered(raster: DataFrame, reach: int, height: int, width: int, **kernels: tuple) -> DataFrame:
+    """Separable filters of a dense raster, each a column: every pixel is scattered to
+    the outputs that read it, and one aggregate sums them all."""
+    far = raster.select("fov", "x", "v", F.inline(_readers("y", height, reach))).select("fov", F.col("o").alias("oy"), F.col("d").alias("dy"), "x", "v")
+    far = far.select("fov", F.col("oy").alias("y"), "dy", "v", F.inline(_readers("x", width, reach))).withColumnsRenamed({"o": "x", "d": "dx"})
+    at = lambda w, d: F.get(_weights(w), F.col(d) + reach)
+    return far.groupBy("fov", "y", "x").agg(*[F.sum(at(down, "dy") * at(across, "dx") * F.col("v")).alias(name) for name, (down, across) in kernels.items()])
 
 
 def gaussian(raster: DataFrame, height: int, width: int, sigma: float = 1.0, reach: int = 4) -> DataFrame:
     """Separable Gaussian of a dense raster, weights cut at ``reach`` and scaled to one."""
     w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     w /= w.sum()
-    down = _convolve(raster, [(k - reach, 0, float(v)) for k, v in enumerate(w)], height, width)
-    return _convolve(down, [(0, k - reach, float(v)) for k, v in enumerate(w)], height, width)
+    down = raster.select("fov", "x", "v", F.inline(_readers("y", height, reach))).groupBy("fov", F.col("o").alias("y"), "x")
+    down = down.agg(F.sum(F.get(_weights(w), F.col("d") + reach) * F.col("v")).alias("v"))
+    across = down.select("fov", "y", "v", F.inline(_readers("x", width, reach))).groupBy("fov", "y", F.col("o").alias("x"))
+    return across.agg(F.sum(F.get(_weights(w), F.col("d") + reach) * F.col("v")).alias("v"))
 
 
 def sobel(raster: DataFrame, height: int, width: int) -> DataFrame:
     """Gradient magnitude of a dense raster: 3 x 3 kernels with weights 1/4, 1/2, 1/4,
     root of the mean square of both directions."""
-    smooth, edge = ((-1, 0.25), (0, 0.5), (1, 0.25)), ((-1, -0.5), (1, 0.5))
-    gy = _convolve(raster, [(a, b, wa * wb) for a, wa in edge for b, wb in smooth], height, width).withColumnRenamed("v", "gy")
-    gx = _convolve(raster, [(b, a, wa * wb) for a, wa in edge for b, wb in smooth], height, width).withColumnRenamed("v", "gx")
-    return gy.join(gx, ["fov", "y", "x"]).select("fov", "y", "x", F.sqrt((F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")) / 2.0).alias("v"))
+    smooth, edge = (0.25, 0.5, 0.25), (-0.5, 0.0, 0.5)
+    both = _filtered(raster, 1, height, width, gy=(edge, smooth), gx=(smooth, edge))
+    return both.select("fov", "y", "x", F.sqrt((F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")) / 2.0).alias("v"))
 
 
 def flood(height_map: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -129,11 +162,19 @@ def watershed(relief: DataFrame, seeds: DataFrame, height: int, width: int) -> D
     return joined.groupBy("fov").applyInPandas(run, f"fov {dict(joined.dtypes)['fov']}, y int, x int, label int")
 
 
-def refined_outlines(mean: DataFrame, mask: DataFrame, records: DataFrame, height: int, width: int, tiers: tuple[str, ...] = ()) -> DataFrame:
-    """Contours of watershed-refined regions of the requested tiers; none: no rows."""
-    if not tiers:
-        return mask.select("fov", "label", "y", "x").limit(0)
-    relief = sobel(gaussian(mean, height, width), height, width)
-    refined = watershed(relief, markers(mask, height, width), height, width)
-    wanted = records.where(F.upper("tier").isin(*tiers)).select("fov", F.col("roi_id").alias("label"))
-    return contour(refined.join(wanted, ["fov", "label"], "left_semi"), height, width)
+def refined_regions(mean: DataFrame, mask: DataFrame, records: DataFrame, height: int, width: int, tiers: tuple[str, ...] | None = None) -> DataFrame:
+    """Regions of the wanted tiers (None: all) with their borders moved to edges of the
+    mean image: ``(fov, y, x, label)``; fields without such regions have no rows.
+
+    The relief is the gradient of the smoothed image, the seeds are ``markers``.
+    """
+    wanted = records.where(F.upper("tier").isin(*[t.upper() for t in (TIERS if tiers is None else tiers)])).select("fov", F.col("roi_id").alias("label"))
+    own = wanted.select("fov").distinct()
+    mask, mean = (df.join(own, "fov", "left_semi") for df in (mask, mean))
+    refined = watershed(sobel(gaussian(mean, height, width), height, width), markers(mask, height, width), height, width)
+    return refined.join(wanted, ["fov", "label"], "left_semi").select("fov", "y", "x", "label")
+
+
+def refined_outlines(mean: DataFrame, mask: DataFrame, records: DataFrame, height: int, width: int, tiers: tuple[str, ...] | None = None) -> DataFrame:
+    """Contours of the refined regions."""
+    return contour(refined_regions(mean, mask, records, height, width, tiers), height, width)

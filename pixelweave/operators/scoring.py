@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.functions.scalar import TIERS
+from pixelweave.functions.scalar import TIERS, half_up
 from pixelweave.operators.matching import consensus_mask, tier_records
 
 
@@ -27,13 +27,18 @@ def scored_rois(a: DataFrame, b: DataFrame, raster: DataFrame, iscell_a: DataFra
     records = tier_records(a, b, threshold)
     mask = consensus_mask(a, b, records, TIERS)
     means = mean_probability(mask, raster)
+    return scored_records(records, means, iscell_a, iscell_b)
+
+
+def scored_records(records: DataFrame, means: DataFrame, iscell_a: DataFrame, iscell_b: DataFrame) -> DataFrame:
+    """Records with their mean probability and the classifier's flag and probabilities."""
     of_b = iscell_b.select("fov", F.col("label").alias("s2p_label"), F.col("flag").alias("activity_iscell"), F.col("prob").alias("activity_s2p_prob"))
     of_a = iscell_a.select("fov", F.col("label").alias("cellpose_label"), F.col("prob").alias("anatomy_s2p_prob"))
     out = records.join(means, ["fov", "roi_id"], "left").join(of_b, ["fov", "s2p_label"], "left").join(of_a, ["fov", "cellpose_label"], "left")
     return out.select(
         "fov", "roi_id", "tier", "iou_score", F.coalesce("activity_iscell", F.lit(-1)).alias("activity_iscell"),
-        F.coalesce(F.round("activity_s2p_prob", 4), F.lit(-1.0)).alias("activity_s2p_prob"), F.coalesce(F.round("anatomy_s2p_prob", 4), F.lit(-1.0)).alias("anatomy_s2p_prob"),
-        F.round(F.coalesce("mean_prob", F.lit(0.0)), 5).alias("cellpose_mean_prob"),
+        F.coalesce("activity_s2p_prob", F.lit(-1.0)).alias("activity_s2p_prob"), F.coalesce("anatomy_s2p_prob", F.lit(-1.0)).alias("anatomy_s2p_prob"),
+        half_up(F.coalesce("mean_prob", F.lit(0.0)), 5).alias("cellpose_mean_prob"),
     )
 
 

@@ -15,16 +15,29 @@ _run = uuid.uuid4().hex[:12]
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` wins; a temporary folder is set only where it is unset,
-    which is right for local mode alone.
+    ``spark.checkpoint.dir`` wins.  Where it is unset, local mode gets a temporary folder;
+    a cluster, whose machines do not share one, is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tables-{_run}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` itself if it is a scratch table, else written as one."""
+    return df if getattr(df, "scratch_path", None) else materialize(df, tag)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process; results that read them must be written."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -1,11 +1,24 @@
-"""Archives and polygon files; run on the driver before a job, or per file in a task."""
+"""Archives and polygon files.
+
+Archives are unpacked on the driver, before a job, into a folder that it shares with the
+executors; region zips are a Spark source.
+"""
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import tarfile
 import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelweave.deploy import ship
+from pixelweave.operators.rasters import fill_polygons
 
 SUFFIXES = (".tar.gz", ".tar.bz2", ".tgz", ".tar", ".zip")
 
@@ -52,15 +65,44 @@ def polygon(raw: bytes) -> list[tuple[float, float]]:
     kind = raw[6]
     top, left, bottom, right, n = struct.unpack_from(">hhhhH", raw, 8)
     if kind == 1:
-        return [(top, left), (top, right), (bottom, right), (bottom, left)]
+        return [(float(y), float(x)) for y, x in ((top, left), (top, right), (bottom, right), (bottom, left))]
     xs = struct.unpack_from(f">{n}h", raw, 64)
     ys = struct.unpack_from(f">{n}h", raw, 64 + 2 * n)
-    return [(top + y, left + x) for y, x in zip(ys, xs)]
+    return [(float(top + y), float(left + x)) for y, x in zip(ys, xs)]
 
 
-def polygons(path: str) -> list[tuple[int, int, float, float]]:
-    """``(roi, seq, y, x)`` of a zip of region files; numbers start at one and count
-    regions with too few vertices."""
+def polygons(path) -> list[tuple[int, int, float, float]]:
+    """``(roi, seq, y, x)`` of a zip of region files (a path or an open file); numbers start
+    at one and count regions with too few vertices."""
     with zipfile.ZipFile(path) as z:
         names = [n for n in z.namelist() if n.endswith(".roi")]
         return [(k, s, y, x) for k, n in enumerate(names, 1) for s, (y, x) in enumerate(polygon(z.read(n)))]
+
+
+def read_regions(spark: SparkSession, root: str) -> DataFrame:
+    """Vertices ``(fov, roi, seq, y, x, error)`` of every region zip below ``root``; the
+    field is the file's name, a damaged file gives one row with its error."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                fov = os.path.splitext(os.path.basename(path))[0]
+                try:
+                    rows = [(fov, *row, None) for row in polygons(io.BytesIO(raw))]
+                except (ValueError, IndexError, struct.error, zipfile.BadZipFile) as e:
+                    rows = [(fov, None, None, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=["fov", "roi", "seq", "y", "x", "error"])
+
+    return files.mapInPandas(run, "fov string, roi int, seq int, y double, x double, error string")
+
+
+def region_masks(regions: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Label rasters of the fields that have a frame ``(fov, h, w)``, and the fields
+    without one."""
+    sizes = frames.select("fov", "h", "w")
+    height, width = sizes.agg(F.max("h"), F.max("w")).first()
+    own = regions.where("error IS NULL").join(sizes.select("fov"), "fov", "left_semi")
+    pixels = fill_polygons(own, height or 0, width or 0).join(sizes, "fov").where("y < h AND x < w").select("fov", "y", "x", "label")
+    return pixels, regions.select("fov").distinct().join(sizes, "fov", "left_anti")

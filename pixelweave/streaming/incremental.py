@@ -10,16 +10,20 @@ from pixelweave.operators.planning import resume_pending
 from pixelweave.sources.tables import write_by_field
 
 
-def process_landed(spark: SparkSession, landing: str, schema: str, output: str, checkpoint: str, operator: Callable[[DataFrame], DataFrame], skip_done: bool = True) -> None:
+def process_landed(spark: SparkSession, landing: str, schema: str, output: str, checkpoint: str, operator: Callable[[DataFrame], DataFrame], skip_done: bool = True, whole_fields: bool = False) -> None:
     """Apply ``operator`` to rows that landed since the checkpoint and write by field.
 
     The checkpoint remembers files, so each is read once; a batch replaces only its own
     fields, so a batch that is tried again has the same effect.  Fields that have output
-    already are skipped unless told otherwise.
+    already are skipped unless told otherwise: a field's rows then must land together.
+    With ``whole_fields`` a field that gets more rows later is worked out again from all
+    its rows in the landing folder, so no row is lost whenever it lands.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        if skip_done:
+        if whole_fields:
+            df = spark.read.schema(schema).parquet(landing).join(df.select("fov").distinct(), "fov", "left_semi")
+        elif skip_done:
             try:
                 done = spark.read.parquet(output)
             except Exception as e:

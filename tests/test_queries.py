@@ -8,7 +8,6 @@ import pytest
 from pixelweave import catalogue
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"probability_raster", "shown_of_total", "dense_scores", "preview", "high_confidence", "tier_layer_pixels"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def plain(rows, columns):
     return sorted([tuple(value(r[i]) for i in order) for r in rows], key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.queries()))
 def test_query(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     rows = plain([tuple(r) for r in df.collect()], df.columns)
