@@ -1,6 +1,8 @@
 """Near-duplicate vectors through product quantisation.
 
-Equal vectors are one entry with a weight.  Coarse centroids and codebooks for the
+Vectors are scaled by their largest component, so neither tiny nor huge ones lose their
+length; equal ones (told by two 64-bit hashes) are one entry with a weight and a number of
+its own.  Vectors of each length are compared among themselves.  Coarse centroids and codebooks for the
 subspaces of the residuals are fitted on a bounded sample; every entry is then put into
 the list of its nearest centroid with its residual's codes and the exact length of what
 the codes miss.  Each entry also asks the lists of its ``probes`` nearest centroids.  In
@@ -13,8 +15,8 @@ A pair met in the lists of both its sides is counted in the smaller list only, s
 add up without any pair being written; of links each block sends back a spanning forest.
 Large lists are split into blocks of bounded size on both sides.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null
-or non-finite components link with nothing; repeated rows link with each other; a null
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing, nor do vectors of different lengths; repeated rows link with each other; a null
 id takes part but never names a component; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -38,6 +40,7 @@ SAMPLE_PER_LIST = 40
 LEAST_SAMPLE = 10_000
 SUBSPACES = 16
 CODEWORDS = 64
+#: Lists that an entry asks at least; with many lists half the root of their number.
 PROBES = 12
 #: Entries and queries in a block of a list.
 BLOCK = 2048
@@ -202,29 +205,49 @@ def _few(a: np.ndarray, b: np.ndarray):
     return zip(nodes[moved].tolist(), nodes[label[moved]].tolist())
 
 
-def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``."""
+def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int | None = None) -> DataFrame:
+    """One row per vector: ``vec_id, n_links, component_id, kept``.
+
+    ``probes`` are the lists that an entry asks; None lets them follow the number of lists.
+    """
     spark = vectors.sparkSession
     ship(spark)
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    norm = F.aggregate(v, F.lit(0.0), lambda s, c: s + c * c)
-    rows = rows.withColumn("sound", F.coalesce(v.isNotNull() & finite & (norm > 0) & (norm < float("inf")), F.lit(False)))
-    rows = materialize(rows, "vectors")
-    modal = rows.where("sound").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if modal is None:
-        return alone(rows)
-    dim = modal["dim"]
-    sound = rows.where(F.col("sound") & (F.size("v") == dim))
-    unsound = rows.where(~(F.col("sound") & (F.size("v") == dim)))
-    keyed = sound.select("vec_id", "v", F.xxhash64("v").alias("key"), F.xxhash64(F.reverse("v")).alias("key2"))
-    entries = keyed.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id"), F.first("v").alias("v"))
-    entries = materialize(entries.withColumn("rep", F.col("key").bitwiseXOR(F.shiftleft("key2", 1))), "vector-entries")
-    n = entries.count()
+    rows = rows.withColumn("most", F.when(v.isNotNull() & finite, F.array_max(F.transform(v, F.abs))))
+    rows = rows.withColumn("sound", F.coalesce(F.col("most") > 0, F.lit(False)))
+    scaled = F.when(F.col("sound"), F.transform(v, lambda c: c / F.col("most")))
+    rows = materialize(rows.select("vec_id", "sound", scaled.alias("v")), "vectors")
+    keyed = rows.where("sound").select("vec_id", F.size("v").alias("dim"), F.xxhash64("v").alias("key"), F.xxhash64(F.lit(1), "v").alias("key2"), "v")
+    entries = keyed.groupBy("dim", "key", "key2").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id"), F.first("v").alias("v"))
+    entries = materialize(entries.withColumn("rep", F.monotonically_increasing_id()), "vector-entries")
+    counts = parts = None
+    for dim, n in sorted(tuple(r) for r in entries.groupBy("dim").count().where("count > 1").collect()):
+        found = _links(entries.where(F.col("dim") == dim), dim, n, cosine, probes)
+        counts = found if counts is None else counts.unionByName(found)
+    if counts is not None:
+        edges = counts.where("edge").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+        parts = connected_components(edges, "vector").withColumnsRenamed({"node": "rep", "component": "root"})
+        links = counts.where("NOT edge").groupBy("rep").agg(F.sum("links").alias("links"))
+        rooted = entries.drop("v").join(parts, "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(links, "rep", "left")
+    else:
+        rooted = entries.drop("v").select("*", F.col("rep").alias("root"), F.lit(0).cast("long").alias("links"))
+    rooted = materialize(rooted, "vector-rooted")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = rooted.join(least, "root").select("dim", "key", "key2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    out = keyed.drop("v").join(named, ["dim", "key", "key2"]).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
+
+def _links(entries: DataFrame, dim: int, n: int, cosine: float, probes: int | None) -> DataFrame:
+    """``(rep, links, other, edge)``: links of the entries of one length, counted, and a
+    spanning forest of them."""
+    spark = entries.sparkSession
     lists = max(1, min(MAX_LISTS, int(n**0.5)))
-    sample = entries.orderBy(F.xxhash64("rep"), "rep").limit(max(LEAST_SAMPLE, SAMPLE_PER_LIST * lists)).select("v").toArrow().column("v").combine_chunks()
+    probes = probes or max(PROBES, int(0.5 * lists**0.5))
+    sample = entries.orderBy(F.xxhash64("key", "key2"), "rep").limit(max(LEAST_SAMPLE, SAMPLE_PER_LIST * lists)).select("v").toArrow().column("v").combine_chunks()
     fitted = Quantiser(_unit(_matrix(sample, dim)).astype(np.float32), lists)
     model = spark.sparkContext.broadcast(fitted)
     schema = "rep long, weight long, vector binary, probes array<int>, code binary, missed double"
@@ -241,12 +264,6 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     both = as_entry.unionByName(as_query)
     found = materialize(both.groupBy("list", "x", "q").applyInPandas(_compare(model, radius, cosine), "rep long, links long, other long, edge boolean"), "vector-links")
-    counts = found.where("NOT edge").groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("edge").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector").withColumnsRenamed({"node": "rep", "component": "root"})
-    rooted = entries.select("key", "key2", "rep", "weight", "least_id").join(parts, "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(counts, "rep", "left")
-    rooted = materialize(rooted, "vector-rooted")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("key", "key2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    out = keyed.select("vec_id", "key", "key2").join(named, ["key", "key2"]).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    discard(indexed, found)
-    return out.unionByName(alone(unsound))
+    model.destroy()
+    discard(indexed)
+    return found

@@ -335,7 +335,8 @@ def test_vectors_of_any_length_and_size(spark):
 def test_split_buckets_lose_no_link(monkeypatch):
     monkeypatch.setattr(simhash, "FINER", 1)
     rng = np.random.default_rng(6)
-    fp = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64) * np.uint64(0x1000200040001) & np.uint64(0x0F0F0F0F0F0F0F0F))
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fp = np.unique(np.array([base[k % 30] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)) for k in range(900)]))
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
     want = roots(len(fp), np.argwhere(np.triu(near, 1)).tolist())
     label = simhash.spanning_links(fp)
