@@ -34,6 +34,8 @@ MAX_BITS = 4
 BYTES = 8
 #: Buckets above this size are linked by pivots before pairs are compared.
 SMALL_BUCKET = 64
+#: Comparisons beyond which a bucket is split by further bytes.
+FINER = 1 << 26
 #: Pairs compared at once by one worker.
 PAIR_BLOCK = 2_000_000
 
@@ -124,8 +126,12 @@ class _Forest:
         self.label = label
 
 
-def spanning_links(fp: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """For the members of one bucket: index of the least member linked to each."""
+def spanning_links(fp: np.ndarray, max_bits: int = MAX_BITS, finer: bool = True) -> np.ndarray:
+    """For the members of one bucket: index of the least member linked to each.
+
+    A large bucket is split by every four of the bytes, so work follows the members that
+    agree in four bytes, not the square of the bucket.
+    """
     n = len(fp)
     forest = _Forest(n)
     every = np.arange(n)
@@ -135,6 +141,20 @@ def spanning_links(fp: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
             forest.add(hit, np.full(len(hit), pivot))
     main = np.bincount(forest.label).argmax()
     rest = every[forest.label != main] if n > SMALL_BUCKET else every
+    if finer and len(rest) * n > FINER:
+        # any two linked members agree in four bytes at least: compare within these
+        for places in combinations(range(BYTES), 4):
+            key = np.zeros(n, np.uint64)
+            for p in places:
+                key = key << np.uint64(8) | (fp >> np.uint64(8 * p)) & np.uint64(255)
+            order = np.argsort(key, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+            several = np.flatnonzero(np.diff(edges) > 1)
+            for a, b in zip(edges[several].tolist(), edges[several + 1].tolist()):
+                own = order[a:b]
+                if (forest.label[own] != forest.label[own[0]]).any():
+                    forest.add(own, own[spanning_links(fp[own], max_bits, False)])
+        return forest.label
     step = max(1, PAIR_BLOCK // max(1, n))
     for lo in range(0, len(rest), step):
         rows = rest[lo : lo + step]
