@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.llm.common import materialize
 from pixelweave.llm.text import whole
 
 #: Alternatives of a rule followed as exact strings before they become a query.
@@ -241,10 +242,15 @@ def re_tail(pattern: str) -> int:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs``), ``text`` (never null) and ``spans``, an array of
-    ``(start, rank, end, kind)`` in text order."""
-    may = candidates(docs, rules, id_col, text_col).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("_own"), whole(text_col).alias("text"))
-    joined = rows.join(may, F.col("_own").eqNullSafe(F.col("_id")), "left")
+    ``(start, rank, end, kind)`` in text order.
+
+    Rows meet their postings by a hash of id and text, so ids that are null or repeat do
+    not gather in one task; if two such hashes are equal, candidates are more, not fewer.
+    The candidates are written first: the optimizer broadcasts them if they are few.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), whole(text_col)).alias("_own"), whole(text_col).alias("text"))
+    may = materialize(candidates(rows, rules, "_own", "text").withColumnRenamed("doc_id", "_id"), "secret-candidates")
+    joined = rows.join(may, F.col("_own") == F.col("_id"), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for k, r in enumerate(rules):
