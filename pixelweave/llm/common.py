@@ -56,14 +56,15 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     return labels.join(least, "root").select("node", "component")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], salt_by: str, limit: int = 20_000, salts: int = 16) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], salt_by: str, limit: int = 20_000, salts: int = 16, size: int | None = None) -> DataFrame:
     """Left join of many rows to one row per group, whatever the size of a group.
 
-    ``groups`` must be a scratch table.  It is counted first: up to ``limit`` rows it is
+    ``groups`` must be a scratch table.  It is counted first unless ``size`` tells how many
+    rows it has: up to ``limit`` rows it is
     broadcast, beyond that every group row is copied ``salts`` times and the rows of a
     hot group are dealt over the copies.  Keys compare null-safe.
     """
-    if groups.count() <= limit:
+    if (groups.count() if size is None else size) <= limit:
         right = F.broadcast(groups.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in groups.columns if c not in keys]))
         salted = []
     else:
