@@ -6,6 +6,8 @@ but the last return the columns of ``documents``.
 
 Decisions on documents are carried by a key of the row, not by its id alone, so rows
 without an id or with one that other texts bear too are judged each by what they hold.
+They are written as small tables of keys first, so that the optimizer knows their size: it
+broadcasts them while they are small and shuffles texts only when they are not.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base limits or are far outliers go."""
     rows = keyed(docs, "text", "lang", "source")
-    rejected = quality_verdicts(rows, id_col="_key").where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    rejected = materialize(quality_verdicts(rows, id_col="_key").where("NOT kept").select(F.col("doc_id").alias("_key")).distinct(), "quality-rejected")
     return rows.join(rejected, "_key", "left_anti").select(*docs.columns)
 
 
@@ -37,10 +39,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of every group of near copies one row with the smallest id stays."""
     rows = keyed(docs, "doc_id", "text")
     groups = simhash_groups(rows, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    named = groups.join(rows.select("_key", "doc_id").distinct(), "_key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first")
-    kept = materialize(named.groupBy("component_id").agg(first).select("first._key"), "near-kept")
-    rest = rows.join(kept, "_key", "left_semi")
+    named = materialize(groups.join(rows.select("_key", "doc_id").distinct(), "_key"), "near-named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key"))["_key"].alias("first")
+    gone = materialize(named.join(named.groupBy("component_id").agg(first), "component_id").where("_key <> first").select("_key"), "near-gone")
+    rest = rows.join(gone, "_key", "left_anti")
     repeated = materialize(rows.groupBy("_key").count().where("count > 1").select("_key"), "near-repeated")
     if not repeated.limit(1).count():
         return rest.select(*docs.columns)
