@@ -1,6 +1,10 @@
 """Footprints to label rasters, aggregates over pixels and frames, polygon fill.
 
 A label raster is ``(fov, y, x, label)`` with background rows absent.
+
+Sizes of exploded or well packed pixels are estimated far too low, so joins name their
+kind wherever the planner could take pixels for a small table and broadcast them: pixels
+meet pixels by merging, regions are hashed by partition, fields (a row a frame) broadcast.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ def probability(raster: DataFrame) -> DataFrame:
     """Logits to probabilities, all pixels of a field of view or none: those of a field
     with any value outside [0, 1] go through the logistic function."""
     ends = raster.groupBy("fov").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    joined = raster.join(ends, "fov")
+    joined = raster.join(F.broadcast(ends), "fov")
     return joined.select("fov", "y", "x", F.when((F.col("low") < 0) | (F.col("high") > 1), sigmoid(F.col("v"))).otherwise(F.col("v")).alias("v"))
 
 

@@ -11,7 +11,7 @@ from pixelweave.operators.matching import consensus_mask, tier_records
 
 def mean_probability(mask: DataFrame, raster: DataFrame) -> DataFrame:
     """Mean over the pixels a region still holds in the mask."""
-    return mask.join(raster, ["fov", "y", "x"]).groupBy("fov", F.col("label").alias("roi_id")).agg(F.avg("v").alias("mean_prob"))
+    return mask.join(raster.hint("merge"), ["fov", "y", "x"]).groupBy("fov", F.col("label").alias("roi_id")).agg(F.avg("v").alias("mean_prob"))
 
 
 def probability_raster(mask: DataFrame, means: DataFrame) -> DataFrame:
