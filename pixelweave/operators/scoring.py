@@ -44,12 +44,12 @@ def scored_records(records: DataFrame, means: DataFrame, iscell_a: DataFrame, is
 
 def score_footprints(pixels: DataFrame, raster: DataFrame) -> DataFrame:
     """Mean over every footprint pixel, before any painting over."""
-    return pixels.join(raster, ["fov", "y", "x"]).groupBy("fov", F.col("label").alias("roi_id")).agg(F.round(F.avg("v"), 5).alias("cellpose_mean_prob"))
+    return pixels.join(raster.hint("merge"), ["fov", "y", "x"]).groupBy("fov", F.col("label").alias("roi_id")).agg(F.round(F.avg("v"), 5).alias("cellpose_mean_prob"))
 
 
 def footprint_raster(pixels: DataFrame, scores: DataFrame) -> DataFrame:
     """Per pixel the score of the last region painted there."""
-    joined = pixels.withColumnRenamed("label", "roi_id").join(scores, ["fov", "roi_id"])
+    joined = pixels.withColumnRenamed("label", "roi_id").join(scores.hint("shuffle_hash"), ["fov", "roi_id"])
     return joined.groupBy("fov", "y", "x").agg(F.max_by("cellpose_mean_prob", "roi_id").alias("v"), F.max("roi_id").alias("roi_id"))
 
 

@@ -25,6 +25,7 @@ def broadcasts(df):
     "name",
     [
         "dense_scores",
+        "footprint_raster",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
