@@ -63,7 +63,7 @@ def erode(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     """Labelled pixels whose whole diamond is labelled, whatever by."""
     near = _beside(runs(mask), radius, height, False).where(F.col("x0") <= F.col("x1"))
     inside = near.select("fov", "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("fov", "y", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2 * radius + 1)
-    return mask.join(inside.select("fov", "y", "x"), ["fov", "y", "x"], "left_semi").select("fov", "y", "x", "label")
+    return mask.join(inside.select("fov", "y", "x").hint("merge"), ["fov", "y", "x"], "left_semi").select("fov", "y", "x", "label")
 
 
 def markers(mask: DataFrame, height: int, width: int, erosion: int = 2, dilation: int = 5) -> DataFrame:
@@ -75,7 +75,7 @@ def markers(mask: DataFrame, height: int, width: int, erosion: int = 2, dilation
     points = lost.select("fov", F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x"), "label")
     frame = mask.groupBy("fov").agg((F.max("label") + 1).alias("label"))
     frame = frame.select("fov", "label", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("fov", "label", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    far = frame.join(dilate(mask, dilation, height, width), ["fov", "y", "x"], "left_anti").select("fov", "y", "x", "label")
+    far = frame.join(dilate(mask, dilation, height, width).hint("merge"), ["fov", "y", "x"], "left_anti").select("fov", "y", "x", "label")
     every = core.withColumn("rank", F.lit(1)).unionByName(points.withColumn("rank", F.lit(2))).unionByName(far.withColumn("rank", F.lit(0)))
     return every.groupBy("fov", "y", "x").agg(F.max(F.struct("rank", "label"))["label"].alias("label"))
 

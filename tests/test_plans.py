@@ -26,6 +26,7 @@ def broadcasts(df):
     [
         "dense_scores",
         "footprint_raster",
+        "markers",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
