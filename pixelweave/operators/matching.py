@@ -146,7 +146,7 @@ def merge_masks(manual: DataFrame, extra: DataFrame) -> DataFrame:
     The extra regions come from one raster and so are disjoint; a region is left out
     exactly if one of its pixels is labelled already.
     """
-    touching = extra.join(manual.select("fov", "y", "x"), ["fov", "y", "x"], "left_semi").select("fov", "label").distinct()
+    touching = extra.join(manual.select("fov", "y", "x").hint("merge"), ["fov", "y", "x"], "left_semi").select("fov", "label").distinct()
     fresh = extra.join(touching, ["fov", "label"], "left_anti")
     top = manual.groupBy("fov").agg(F.max("label").alias("top"))
     numbers = fresh.select("fov", "label").distinct().withColumn("k", F.row_number().over(Window.partitionBy("fov").orderBy("label")))

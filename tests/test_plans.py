@@ -27,6 +27,7 @@ def broadcasts(df):
         "dense_scores",
         "footprint_raster",
         "markers",
+        "merge_masks",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
