@@ -28,6 +28,7 @@ def broadcasts(df):
         "footprint_raster",
         "markers",
         "merge_masks",
+        "merge_totals",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
