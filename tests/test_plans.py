@@ -29,6 +29,7 @@ def broadcasts(df):
         "markers",
         "merge_masks",
         "merge_totals",
+        "preview",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
