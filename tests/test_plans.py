@@ -30,6 +30,7 @@ def broadcasts(df):
         "merge_masks",
         "merge_totals",
         "preview",
+        "scored_rois",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
