@@ -31,6 +31,7 @@ def broadcasts(df):
         "merge_totals",
         "preview",
         "scored_rois",
+        "shown_of_total",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
