@@ -32,6 +32,7 @@ def broadcasts(df):
         "preview",
         "scored_rois",
         "shown_of_total",
+        "viewer_filter",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
