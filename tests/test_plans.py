@@ -33,6 +33,7 @@ def broadcasts(df):
         "scored_rois",
         "shown_of_total",
         "viewer_filter",
+        "high_confidence",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
