@@ -158,7 +158,7 @@ def watershed(relief: DataFrame, seeds: DataFrame, height: int, width: int) -> D
         return pd.DataFrame({"fov": pdf["fov"].iloc[0], "y": ys, "x": xs, "label": out[ys, xs]})
 
     ship(relief.sparkSession)
-    joined = relief.join(seeds, ["fov", "y", "x"], "left").select("fov", "y", "x", "v", F.coalesce("label", F.lit(0)).alias("label"))
+    joined = relief.join(seeds.hint("merge"), ["fov", "y", "x"], "left").select("fov", "y", "x", "v", F.coalesce("label", F.lit(0)).alias("label"))
     return joined.groupBy("fov").applyInPandas(run, f"fov {dict(joined.dtypes)['fov']}, y int, x int, label int")
 
 

@@ -34,6 +34,7 @@ def broadcasts(df):
         "shown_of_total",
         "viewer_filter",
         "high_confidence",
+        "watershed",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
