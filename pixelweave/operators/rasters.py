@@ -78,7 +78,7 @@ def two_channels(mean: DataFrame, vcorr: DataFrame, require_both: bool = False)
     second = vcorr.select("fov", "y", "x", F.col("v").alias("c1"))
     if require_both:
         mean = mean.join(second.select("fov").distinct(), "fov", "left_semi")
-    return mean.select("fov", "y", "x", F.col("v").alias("c0")).join(second, ["fov", "y", "x"], "left").withColumn("c1", F.coalesce("c1", F.lit(0.0)))
+    return mean.select("fov", "y", "x", F.col("v").alias("c0")).join(second.hint("merge"), ["fov", "y", "x"], "left").withColumn("c1", F.coalesce("c1", F.lit(0.0)))
 
 
 def frame_values(frames: DataFrame, width: Column) -> DataFrame:

@@ -35,6 +35,7 @@ def broadcasts(df):
         "viewer_filter",
         "high_confidence",
         "watershed",
+        "two_channel_stack",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
