@@ -36,6 +36,7 @@ def broadcasts(df):
         "high_confidence",
         "watershed",
         "two_channel_stack",
+        "two_channel_training",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
