@@ -37,6 +37,7 @@ def broadcasts(df):
         "watershed",
         "two_channel_stack",
         "two_channel_training",
+        "score_raw_footprint",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
