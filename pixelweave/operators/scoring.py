@@ -16,7 +16,7 @@ def mean_probability(mask: DataFrame, raster: DataFrame) -> DataFrame:
 
 def probability_raster(mask: DataFrame, means: DataFrame) -> DataFrame:
     """Every surviving pixel of a region with the region's mean."""
-    return mask.withColumnRenamed("label", "roi_id").join(means, ["fov", "roi_id"]).select("fov", "y", "x", "roi_id", "mean_prob")
+    return mask.withColumnRenamed("label", "roi_id").join(means.hint("shuffle_hash"), ["fov", "roi_id"]).select("fov", "y", "x", "roi_id", "mean_prob")
 
 
 def scored_rois(a: DataFrame, b: DataFrame, raster: DataFrame, iscell_a: DataFrame, iscell_b: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -38,6 +38,7 @@ def broadcasts(df):
         "two_channel_stack",
         "two_channel_training",
         "score_raw_footprint",
+        "probability_raster",
     ],
 )
 def test_pixels_are_not_broadcast(spark, monkeypatch, name):
