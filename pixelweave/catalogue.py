@@ -243,8 +243,8 @@ def optimal_gold_pairs(spark, sf):
     return matching.optimal_pairs(matching.iou_edges(*_masks(spark, sf))).withColumn("iou", F.round("iou", 4))
 
 
-def _records(spark, sf) -> DataFrame:
-    return matching.tier_records(*_masks(spark, sf), iscell=_cells(spark, sf, "activity"))
+def _records(spark, sf, masks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return matching.tier_records(*(masks or _masks(spark, sf)), iscell=_cells(spark, sf, "activity"))
 
 
 @_query(f"""{_TO_RECORDS} SELECT r.fov, roi_id, tier, round(iou, 4) AS iou_score, la AS cellpose_label, lb AS s2p_label, cy AS centroid_y, cx AS centroid_x, n AS area_px,
@@ -257,19 +257,19 @@ def tier_records(spark, sf):
  SELECT am.fov, y, x, max(fresh) AS label FROM am JOIN chosen c ON c.fov=am.fov AND c.la=am.label GROUP BY am.fov, y, x""")
 def consensus_mask_default(spark, sf):
     a, b = _masks(spark, sf)
-    return matching.consensus_mask(a, b, _records(spark, sf))
+    return matching.consensus_mask(a, b, _records(spark, sf, (a, b)))
 
 
 @_query(f"{_TO_RECORDS}, {_UNION} SELECT fov, y, x, label FROM painted")
 def union_mask(spark, sf):
     a, b = _masks(spark, sf)
-    return matching.consensus_mask(a, b, _records(spark, sf), scoring.TIERS)
+    return matching.consensus_mask(a, b, _records(spark, sf, (a, b)), scoring.TIERS)
 
 
 @_query(f"{_TO_RECORDS}, {_UNION} SELECT p.fov, y, x, label, tier FROM painted p JOIN records r ON r.fov=p.fov AND r.roi_id=p.label")
 def tier_layer_pixels(spark, sf):
     a, b = _masks(spark, sf)
-    records = _records(spark, sf)
+    records = _records(spark, sf, (a, b))
     return matching.tier_pixels(matching.consensus_mask(a, b, records, scoring.TIERS), records)
 
 
@@ -287,7 +287,7 @@ def scored_rois(spark, sf):
 @_query(f"{_TO_RECORDS}, {_UNION}, {_SCORED} SELECT p.fov, y, x, label AS roi_id, {HALF_UP.format('m')} AS mean_prob FROM painted p JOIN means m ON m.fov=p.fov AND m.roi_id=p.label")
 def probability_raster(spark, sf):
     a, b = _masks(spark, sf)
-    mask = matching.consensus_mask(a, b, _records(spark, sf), scoring.TIERS)
+    mask = matching.consensus_mask(a, b, _records(spark, sf, (a, b)), scoring.TIERS)
     means = scoring.mean_probability(mask, rasters.probability(_logit_grid(spark, sf)))
     return scoring.probability_raster(mask, means).withColumn("mean_prob", half_up(F.col("mean_prob"), 5))
 
@@ -372,7 +372,7 @@ _GOLD = f"""{_TO_RECORDS}, {_MANUAL}, chosen AS (SELECT *, CAST(row_number() OVE
 @_query(f"{_GOLD} SELECT oa.fov, oa.label FROM oa LEFT JOIN best ON best.fov=oa.fov AND best.l=oa.label WHERE coalesce(m, 0) < 0.1::DOUBLE")
 def uncovered_gold(spark, sf):
     a, b = _masks(spark, sf)
-    records = _records(spark, sf)
+    records = _records(spark, sf, (a, b))
     return matching.uncovered_gold(matching.consensus_mask(a, b, records), records, _manual(spark, sf))
 
 
@@ -514,7 +514,7 @@ def watershed(spark, sf):
 @_query()
 def refined_outlines(spark, sf):
     a, b = _masks(spark, sf)
-    records = _records(spark, sf)
+    records = _records(spark, sf, (a, b))
     mask = matching.consensus_mask(a, b, records, scoring.TIERS)
     return morphology.refined_outlines(_logit_grid(spark, sf), mask, records, fx.FRAME, fx.FRAME, ("GOLD", "SILVER"))
 
@@ -630,7 +630,7 @@ _VARIANTS = f"""{_TO_RECORDS}, {_UNION}, {_MANUAL}, chosen AS (SELECT *, CAST(ro
 @_query(f"{_VARIANTS} SELECT fov, y, x, label FROM gold")
 def gold_only_mask(spark, sf):
     a, b = _masks(spark, sf)
-    records = _records(spark, sf)
+    records = _records(spark, sf, (a, b))
     return evaluation.gold_only(matching.consensus_mask(a, b, records), records)
 
 
@@ -648,7 +648,7 @@ _VARIANT_AP = f"""{_VARIANTS}, vm AS (SELECT 'consensus' variant, * FROM cons UN
 
 def _variant_scores(spark, sf) -> DataFrame:
     a, b = _masks(spark, sf)
-    records = _records(spark, sf)
+    records = _records(spark, sf, (a, b))
     consensus, every = matching.consensus_mask(a, b, records), matching.consensus_mask(a, b, records, scoring.TIERS)
     masks = evaluation.variants(consensus, every, records, a)
     truth = _manual(spark, sf)

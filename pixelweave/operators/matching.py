@@ -118,8 +118,9 @@ def consensus_mask(a: DataFrame, b: DataFrame, records: DataFrame, tiers: tuple[
     """Paint the regions of the tiers, numbered anew in record order; later wins."""
     chosen = records.where(F.col("tier").isin(*tiers))
     chosen = chosen.withColumn("fresh", F.row_number().over(Window.partitionBy("fov").orderBy("roi_id")))
-    from_a = a.join(chosen.where("tier <> 'BRONZE'").select("fov", F.col("cellpose_label").alias("label"), "fresh"), ["fov", "label"])
-    from_b = b.join(chosen.where("tier = 'BRONZE'").select("fov", F.col("s2p_label").alias("label"), "fresh"), ["fov", "label"])
+    of_a = chosen.where("tier <> 'BRONZE'").select("fov", F.col("cellpose_label").alias("label"), "fresh")
+    of_b = chosen.where("tier = 'BRONZE'").select("fov", F.col("s2p_label").alias("label"), "fresh")
+    from_a, from_b = (pixels.join(own.hint("shuffle_hash"), ["fov", "label"]) for pixels, own in ((a, of_a), (b, of_b)))
     painted = from_a.select("fov", "y", "x", "fresh").unionByName(from_b.select("fov", "y", "x", "fresh"))
     return painted.groupBy("fov", "y", "x").agg(F.max("fresh").cast("int").alias("label"))
 

@@ -52,3 +52,40 @@ def test_pixels_are_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "materialize", watched)
     plans.append(catalogue.queries()[name](spark, SF))
     assert not [columns for df in plans for columns in broadcasts(df) if {"y", "x"} <= columns]
+
+
+def of_pixels(node):
+    """Whether a plan has a row per pixel, read as written or made, though it may bear no coordinates."""
+    name, text = node.nodeName(), node.simpleString(200)
+    if {"y", "x"} <= {node.output().apply(k).name() for k in range(node.output().size())}:
+        return True
+    if "Aggregate" in name:
+        return "y#" in text.split("functions=")[0]
+    if name.startswith("Scan parquet"):
+        return "-masks" in node.relation().location().toString()
+    sides = [node.children().apply(k) for k in range(node.children().size())]
+    return any(map(of_pixels, sides[:1] if "LeftSemi" in text or "LeftAnti" in text else sides))
+
+
+def unnamed(df):
+    """Joins that meet pixels with regions by a broadcast of whichever side is estimated smaller."""
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.initialPlan())
+            continue
+        sides = [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "BroadcastHashJoin" and node.leftKeys().size() > 1 and any(map(of_pixels, sides)):
+            yield node.simpleString(200)
+        nodes += sides
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "gold_only_mask",
+    ],
+)
+def test_pixels_meet_regions_by_partition(spark, name):
+    assert not list(unnamed(catalogue.queries()[name](spark, SF)))
