@@ -85,6 +85,7 @@ def unnamed(df):
     "name",
     [
         "gold_only_mask",
+        "consensus_mask_default",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
