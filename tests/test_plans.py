@@ -86,6 +86,7 @@ def unnamed(df):
     [
         "gold_only_mask",
         "consensus_mask_default",
+        "union_mask",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
