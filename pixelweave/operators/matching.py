@@ -175,7 +175,7 @@ def match_masks(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, tiers:
 
 def tier_pixels(mask: DataFrame, records: DataFrame) -> DataFrame:
     """The pixels of a mask over all tiers with the tier of their region."""
-    return mask.join(records.select("fov", F.col("roi_id").alias("label"), "tier"), ["fov", "label"]).select("fov", "y", "x", "label", "tier")
+    return mask.join(records.select("fov", F.col("roi_id").alias("label"), "tier").hint("shuffle_hash"), ["fov", "label"]).select("fov", "y", "x", "label", "tier")
 
 
 def precision(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = (0.6, 0.75, 0.9)) -> DataFrame:

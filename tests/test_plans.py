@@ -87,6 +87,7 @@ def unnamed(df):
         "gold_only_mask",
         "consensus_mask_default",
         "union_mask",
+        "tier_layer_pixels",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
