@@ -132,7 +132,7 @@ def gold_labels(records: DataFrame) -> DataFrame:
 
 def uncovered_gold(consensus: DataFrame, records: DataFrame, manual: DataFrame, overlap: float = 0.1) -> DataFrame:
     """GOLD regions with pixels that no manual region covers: ``(fov, label)``."""
-    return uncovered(consensus.join(gold_labels(records), ["fov", "label"], "left_semi"), manual, overlap)
+    return uncovered(consensus.join(gold_labels(records).hint("shuffle_hash"), ["fov", "label"], "left_semi"), manual, overlap)
 
 
 def uncovered(consensus: DataFrame, manual: DataFrame, overlap: float = 0.1) -> DataFrame:

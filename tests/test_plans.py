@@ -88,6 +88,7 @@ def unnamed(df):
         "consensus_mask_default",
         "union_mask",
         "tier_layer_pixels",
+        "uncovered_gold",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
