@@ -357,7 +357,7 @@ _MERGED = f"""{_UNCOVERED}, extra AS (SELECT act.* FROM act JOIN unc USING (fov,
 
 def _merged(spark, sf) -> tuple[DataFrame, DataFrame]:
     manual, act = _manual(spark, sf), _masks(spark, sf)[1]
-    extra = act.join(matching.uncovered(act, manual), ["fov", "label"], "left_semi").select("fov", "y", "x", "label")
+    extra = act.join(matching.uncovered(act, manual).hint("shuffle_hash"), ["fov", "label"], "left_semi").select("fov", "y", "x", "label")
     return manual, matching.merge_masks(manual, extra)
 
 

@@ -148,11 +148,11 @@ def merge_masks(manual: DataFrame, extra: DataFrame) -> DataFrame:
     exactly if one of its pixels is labelled already.
     """
     touching = extra.join(manual.select("fov", "y", "x").hint("merge"), ["fov", "y", "x"], "left_semi").select("fov", "label").distinct()
-    fresh = extra.join(touching, ["fov", "label"], "left_anti")
+    fresh = extra.join(touching.hint("shuffle_hash"), ["fov", "label"], "left_anti")
     top = manual.groupBy("fov").agg(F.max("label").alias("top"))
     numbers = fresh.select("fov", "label").distinct().withColumn("k", F.row_number().over(Window.partitionBy("fov").orderBy("label")))
     numbers = numbers.join(top, "fov", "left").select("fov", "label", (F.coalesce("top", F.lit(0)) + F.col("k")).cast("int").alias("next"))
-    added = fresh.join(numbers, ["fov", "label"]).select("fov", "y", "x", F.col("next").alias("label"))
+    added = fresh.join(numbers.hint("shuffle_hash"), ["fov", "label"]).select("fov", "y", "x", F.col("next").alias("label"))
     return manual.select("fov", "y", "x", F.col("label").cast("int").alias("label")).unionByName(added)
 
 

@@ -89,6 +89,7 @@ def unnamed(df):
         "union_mask",
         "tier_layer_pixels",
         "uncovered_gold",
+        "merge_totals",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
