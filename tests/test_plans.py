@@ -90,6 +90,7 @@ def unnamed(df):
         "tier_layer_pixels",
         "uncovered_gold",
         "merge_totals",
+        "preview",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
