@@ -54,3 +54,21 @@ def test_one_id_on_different_texts(spark):
     assert sorted((str(r.doc_id), r.text) for r in good.collect()) == sorted((str(i), t) for i, t, *_ in rows if t != "short")
     left = corpus_pipeline.near_duplicate_stage(spark, good, SF).collect()
     assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("None", texts[0]), ("1", texts[1]), ("1", texts[2])])
+
+
+def test_quality_shuffles_no_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        good = corpus_pipeline.quality_stage(spark, docs, SF)
+        nodes = [good._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.initialPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.children().apply(k) for k in range(node.children().size())]
+            own = {node.output().apply(k).name() for k in range(node.output().size())}
+            assert not (node.nodeName() == "Exchange" and own & {"text", "_row"})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    kept = {r.doc_id for r in quality.quality_verdicts(docs).where("kept").collect()}
+    assert sorted(map(tuple, good.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id in kept)
