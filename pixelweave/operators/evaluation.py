@@ -38,8 +38,8 @@ def variant_precision(masks: DataFrame, present: DataFrame, truth: DataFrame, th
     fields = truth.select("fov").distinct()
     wanted = present.join(fields, "fov", "left_semi")
     own = wanted.where("same_shape").select("variant", "fov")
-    predicted = masks.join(own, ["variant", "fov"], "left_semi").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label")
-    actual = truth.join(own, "fov").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label")
+    predicted = masks.join(F.broadcast(own), ["variant", "fov"], "left_semi").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label")
+    actual = truth.join(F.broadcast(own), "fov").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label")
     scores = precision(predicted, actual, thresholds).select(F.col("fov").alias("k"), "threshold", "ap")
     every = own.withColumn("k", key(F.col("variant"), F.col("fov"))).join(scores, "k").select("variant", "fov", "threshold", "ap")
     names = F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant")

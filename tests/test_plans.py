@@ -91,6 +91,7 @@ def unnamed(df):
         "uncovered_gold",
         "merge_totals",
         "preview",
+        "variant_precision",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
