@@ -92,6 +92,7 @@ def unnamed(df):
         "merge_totals",
         "preview",
         "variant_precision",
+        "variant_means",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
