@@ -93,6 +93,7 @@ def unnamed(df):
         "preview",
         "variant_precision",
         "variant_means",
+        "scored_rois",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
