@@ -94,6 +94,7 @@ def unnamed(df):
         "variant_precision",
         "variant_means",
         "scored_rois",
+        "shown_of_total",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
