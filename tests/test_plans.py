@@ -95,6 +95,7 @@ def unnamed(df):
         "variant_means",
         "scored_rois",
         "shown_of_total",
+        "viewer_filter",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
