@@ -96,6 +96,7 @@ def unnamed(df):
         "scored_rois",
         "shown_of_total",
         "viewer_filter",
+        "high_confidence",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
