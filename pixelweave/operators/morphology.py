@@ -169,10 +169,10 @@ def refined_regions(mean: DataFrame, mask: DataFrame, records: DataFrame, height
     The relief is the gradient of the smoothed image, the seeds are ``markers``.
     """
     wanted = records.where(F.upper("tier").isin(*[t.upper() for t in (TIERS if tiers is None else tiers)])).select("fov", F.col("roi_id").alias("label"))
-    own = wanted.select("fov").distinct()
+    own = F.broadcast(wanted.select("fov").distinct())
     mask, mean = (df.join(own, "fov", "left_semi") for df in (mask, mean))
     refined = watershed(sobel(gaussian(mean, height, width), height, width), markers(mask, height, width), height, width)
-    return refined.join(wanted, ["fov", "label"], "left_semi").select("fov", "y", "x", "label")
+    return refined.join(wanted.hint("shuffle_hash"), ["fov", "label"], "left_semi").select("fov", "y", "x", "label")
 
 
 def refined_outlines(mean: DataFrame, mask: DataFrame, records: DataFrame, height: int, width: int, tiers: tuple[str, ...] | None = None) -> DataFrame:

@@ -97,6 +97,7 @@ def unnamed(df):
         "shown_of_total",
         "viewer_filter",
         "high_confidence",
+        "refined_outlines",
     ],
 )
 def test_pixels_meet_regions_by_partition(spark, name):
