@@ -649,9 +649,9 @@ _VARIANT_AP = f"""{_VARIANTS}, vm AS (SELECT 'consensus' variant, * FROM cons UN
 def _variant_scores(spark, sf) -> DataFrame:
     a, b = _masks(spark, sf)
     records = _records(spark, sf, (a, b))
-    consensus, every = matching.consensus_mask(a, b, records), matching.consensus_mask(a, b, records, scoring.TIERS)
+    consensus, every = materialize(matching.consensus_mask(a, b, records), "consensus"), matching.consensus_mask(a, b, records, scoring.TIERS)
     masks = evaluation.variants(consensus, every, records, a)
-    truth = _manual(spark, sf)
+    truth = materialize(_manual(spark, sf).repartition("fov"), "truth")
     present = truth.select("fov", F.explode(F.array(*map(F.lit, evaluation.VARIANTS))).alias("variant")).distinct().where("NOT (variant = 'cellpose_only' AND fov % 3 = 1)")
     return evaluation.variant_precision(masks, present.withColumn("same_shape", F.expr("NOT (variant = 'all_tiers' AND fov % 4 = 2)")), truth, (0.6, 0.75))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelweave.operators.matching import precision
+from pixelweave.scratch import materialize, written
 
 VARIANTS = ("cellpose_only", "gold_only", "consensus", "all_tiers")
 
@@ -32,13 +33,15 @@ def variant_precision(masks: DataFrame, present: DataFrame, truth: DataFrame, th
     """``(variant, fov, threshold, ap)`` for every field with truth.
 
     ``present`` is ``(variant, fov, same_shape)``: a variant that a field lacks gets -1, one
-    of another shape no row.
+    of another shape no row.  Truth, fields and masks are written once each: what follows
+    reads them several times, and would repeat their plans as often.
     """
     key = lambda v, f: F.concat_ws("\x1f", v, f.cast("string"))
-    fields = truth.select("fov").distinct()
-    wanted = present.join(fields, "fov", "left_semi")
+    truth = written(truth, "truth")
+    fields = materialize(truth.select("fov").distinct(), "fields")
+    wanted = materialize(present.join(fields, "fov", "left_semi"), "present")
     own = wanted.where("same_shape").select("variant", "fov")
-    predicted = masks.join(F.broadcast(own), ["variant", "fov"], "left_semi").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label")
+    predicted = materialize(masks.join(F.broadcast(own), ["variant", "fov"], "left_semi").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label"), "variant-masks")
     actual = truth.join(F.broadcast(own), "fov").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label")
     scores = precision(predicted, actual, thresholds).select(F.col("fov").alias("k"), "threshold", "ap")
     every = own.withColumn("k", key(F.col("variant"), F.col("fov"))).join(scores, "k").select("variant", "fov", "threshold", "ap")

@@ -102,3 +102,8 @@ def unnamed(df):
 )
 def test_pixels_meet_regions_by_partition(spark, name):
     assert not list(unnamed(catalogue.queries()[name](spark, SF)))
+
+
+def test_variants_read_written_tables(spark):
+    plan = catalogue.queries()["variant_means"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "part.parquet" not in plan and plan.count("Scan parquet") <= 24
