@@ -63,10 +63,11 @@ BLOCK = 1 << 17
 #: Text worked on at once, and bytes after which a text's scale and offset follow.
 BATCH_BYTES = 800_000
 STEP_BYTES = 512
-#: Distinct pairs that a task holds before it writes them, pairs in a row and in a step of learning.
-HELD_PAIRS, ROW_PAIRS, STEP_PAIRS = 1 << 20, 1 << 16, 1 << 10
+#: Bytes whose pairs a task holds before it counts them, distinct pairs before it writes them,
+#: pairs in a row and in a step of learning.
+HELD_BYTES, HELD_PAIRS, ROW_PAIRS, STEP_PAIRS = 1 << 22, 1 << 20, 1 << 16, 1 << 10
 #: Slot counts that a task holds before it sends them, and decisions scored at once.
-HELD_SLOTS, SCORED = 1 << 21, 1 << 16
+HELD_SLOTS, SCORED = 1 << 21, 1 << 15
 #: Slots of the table by which equal keys are found, as a power of two.
 TABLE_BITS = 18
 LEVELS, FILLED = 32, 8
@@ -136,31 +137,45 @@ def _up_to(order: int) -> np.uint64:
     return np.uint64((1 << 8 * (order + 1)) - 1)
 
 
+def _at(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``table[places]`` for places inside the table, without numpy's check of each."""
+    return table.take(places, mode="clip")
+
+
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of every distinct key, and for each key which of these is its own.
+    """The first place of every distinct key, in order, and for each key which of these
+    is its own.
 
-    Keys are written into a table by hash; those that find an equal key in their slot
-    belong to it, the others try again with another hash.
+    Keys are written into a table by hash, the first one last; those that find an equal
+    key in their slot belong to it, the others try again with another hash.
     """
     bits = min(TABLE_BITS, max(8, len(keys).bit_length()))
     table = np.empty(1 << bits, np.int32)
     shift = np.uint64(64 - bits)
-    h = (keys * np.uint64(_MIX)) >> shift
-    table[h] = np.arange(len(keys), dtype=np.int32)
-    owner, turn = table[h], 0
-    left = np.flatnonzero(keys[owner] != keys)
+    every = np.arange(len(keys), dtype=np.int32)
+    h = ((keys * np.uint64(_MIX)) >> shift).view(np.int64)
+    table[h[::-1]] = every[::-1]
+    owner, turn = _at(table, h), 0
+    left = np.flatnonzero(_at(keys, owner) != keys)
     while len(left):
-        own, turn = keys[left], turn + 2
-        h = (own * np.uint64(_MIX + turn)) >> shift
-        table[h] = left
-        found = table[h]
-        same = keys[found] == own
+        own, turn = _at(keys, left), turn + 2
+        h = ((own * np.uint64(_MIX + turn)) >> shift).view(np.int64)
+        table[h[::-1]] = left[::-1]
+        found = _at(table, h)
+        same = _at(keys, found) == own
         owner[left[same]] = found[same]
         left = left[~same]
-    first = np.flatnonzero(owner == np.arange(len(keys), dtype=np.int32))
+    first = np.flatnonzero(owner == every)
     number = np.empty(len(keys), np.int32)
-    number[first] = np.arange(len(first), dtype=np.int32)
-    return first, number[owner]
+    number[first] = every[: len(first)]
+    return first, _at(number, owner)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs; sorts ``keys`` themselves."""
+    keys.sort()
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+    return keys[starts], np.diff(starts, append=len(keys))
 
 
 @dataclass
@@ -168,12 +183,14 @@ class Decisions:
     """All decisions of some texts.
 
     ``slots`` (by predictor), ``bits`` and ``nodes`` (places in the code) are those of the
-    distinct pairs, whose first ones ``start`` tells.  The texts' bytes are in order or, by
+    distinct pairs in the order in which they are met; ``start`` tells the first decision of
+    each.  The texts' bytes are in order or, by
     steps, first the first step of every text, then the second of every text that has one,
     and so on; ``number`` is the pair of each and ``stops`` the decisions up to its end.
-    ``runs`` are the decisions at which a text's part of a step starts, ``who`` its text,
+    ``runs`` are the decisions at which a text's part of a step starts, ``begins`` the bytes
+    (both with the end), ``who`` its text,
     and ``steps`` the runs at which a step starts, with the end.  ``which`` says of each
-    decision after the first step which of the pairs' it is.
+    decision of some bytes which of the pairs' it is.
     """
 
     slots: list[np.ndarray]
@@ -183,17 +200,15 @@ class Decisions:
     number: np.ndarray
     stops: np.ndarray
     runs: np.ndarray | None = None
+    begins: np.ndarray | None = None
     who: np.ndarray | None = None
     steps: np.ndarray | None = None
 
-    @property
-    def which(self) -> np.ndarray:
-        done = int(self.runs[self.steps[1]]) if self.steps is not None and len(self.steps) > 2 else 0
-        at = int(np.searchsorted(self.stops, done, side="right")) if done else 0
-        stops = self.stops[at:] - done
-        n = np.diff(stops, prepend=np.int32(0))
-        out = np.repeat(self.start[self.number[at:]] - (stops - n), n)
-        out += np.arange(len(out), dtype=np.int32)
+    def which(self, lo: int, hi: int) -> np.ndarray:
+        ends = np.zeros(hi - lo + 1, np.int32)
+        ends[0 if lo else 1 :] = self.stops[max(0, lo - 1) : hi]
+        out = np.repeat(_at(self.start, self.number[lo:hi]) - ends[:-1], np.diff(ends))
+        out += np.arange(ends[0], ends[-1], dtype=np.int32)
         return out
 
 
@@ -209,11 +224,11 @@ class Coder:
     def paths_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The pair, node and bit of each decision of pairs, and each pair's first one."""
         symbols = (keys & np.uint64(255)).astype(np.uint8)
-        n = self.length[symbols]
+        n = _at(self.length, symbols)
         stops = np.cumsum(n, dtype=np.int32)
-        inner = np.repeat(self.at[symbols] - (stops - n), n)
+        inner = np.repeat(_at(self.at, symbols) - (stops - n), n)
         inner += np.arange(len(inner), dtype=np.int32)
-        return np.repeat(np.arange(len(keys), dtype=np.int32), n), self.nodes[inner], self.path_bits[inner], stops - n
+        return np.repeat(np.arange(len(keys), dtype=np.int32), n), _at(self.nodes, inner), _at(self.path_bits, inner), stops - n
 
     def slots_of(self, keys: np.ndarray, k: int, pair: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Slots of predictor ``k``: those of a context lie side by side."""
@@ -221,7 +236,7 @@ class Coder:
         h *= np.uint64(_MIX)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        slots = (h >> np.uint64(32)).astype(np.uint32)[pair]
+        slots = _at((h >> np.uint64(32)).astype(np.uint32), pair)
         slots += nodes
         slots &= np.uint32((1 << self.slot_bits[k]) - 1)
         return slots
@@ -229,21 +244,25 @@ class Coder:
     def decisions(self, texts: list[bytes], steps: bool = False) -> Decisions:
         keys, sizes = windows(texts)
         if steps:
-            inside = (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // STEP_BYTES
-            order = np.argsort(inside.astype(np.uint16) if not len(keys) or inside.max() < 1 << 16 else inside, kind="stable")
-            keys = keys[order]
+            # the texts' parts of a step each, by step
+            parts = -(-sizes // STEP_BYTES)
+            who = np.repeat(np.arange(len(texts)), parts)
+            step = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
+            order = np.argsort(step, kind="stable")
+            who, step = who[order], step[order]
+            size = np.minimum(sizes[who] - step * STEP_BYTES, STEP_BYTES)
+            begins = np.cumsum(size) - size
+            keys = _at(keys, np.repeat((np.cumsum(sizes) - sizes)[who] + step * STEP_BYTES - begins, size) + np.arange(len(keys)))
         first, number = grouped(keys)
-        pairs = keys[first]
+        pairs = _at(keys, first)
         pair, nodes, bits, start = self.paths_of(pairs)
         slots = [self.slots_of(pairs, k, pair, nodes) for k in range(len(ORDERS))]
-        stops = np.cumsum(self.length[(keys & np.uint64(255)).astype(np.uint8)], dtype=np.int32)
+        stops = np.cumsum(_at(self.length, (keys & np.uint64(255)).astype(np.uint8)), dtype=np.int32)
         out = Decisions(slots, bits, nodes, start, number, stops)
         if steps and len(stops):
-            n = np.diff(stops, prepend=np.int32(0))
-            text, step = np.repeat(np.arange(len(texts)), sizes)[order], inside[order]
-            begins = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (step[1:] != step[:-1])]))
-            out.runs, out.who = (stops - n)[begins], text[begins]
-            out.steps = np.concatenate([np.flatnonzero(np.concatenate([[True], step[begins][1:] != step[begins][:-1]])), [len(begins)]])
+            out.begins, out.who = np.append(begins, len(keys)), who
+            out.runs = np.append(np.int32(0), stops[out.begins[1:] - 1])
+            out.steps = np.concatenate([np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])), [len(begins)]])
         return out
 
 
@@ -269,7 +288,6 @@ def states(counts: np.ndarray) -> np.ndarray:
 
 _LEVEL = (np.arange(256) % LEVELS * (2 * REACH) / (LEVELS - 1) - REACH).astype(np.float32)
 _LEVEL[:LEVELS] = 0.0
-_FILLED = (np.arange(256) // LEVELS).astype(np.uint8)
 
 
 class Mixer:
@@ -282,17 +300,17 @@ class Mixer:
 
     def found(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """States of slots by predictor, and the gate that they set."""
-        out = [t[s] for t, s in zip(self.tables, slots)]
-        return out, _FILLED[out[-1]] * np.uint8(FILLED) + _FILLED[out[GATE]]
+        out = [_at(t, s) for t, s in zip(self.tables, slots)]
+        return out, (out[-1] // np.uint8(LEVELS)) * np.uint8(FILLED) + out[GATE] // np.uint8(LEVELS)
 
     def learn(self, slots: list[np.ndarray], bits: np.ndarray, times: np.ndarray) -> np.ndarray:
         """One online step over decisions that occur so many times each: their sums before
         it.  The gradient is averaged by gate."""
         found, gate = self.found(slots)
-        x = [_LEVEL[f] for f in found]
+        x = [_at(_LEVEL, f) for f in found]
         s = np.zeros(len(gate), np.float32)
         for k in range(len(ORDERS)):
-            s += self.weights[:, k][gate] * x[k]
+            s += _at(self.weights[:, k], gate) * x[k]
         miss = (bits - _squash(s)) * times
         n = np.maximum(np.bincount(gate, weights=times, minlength=len(self.weights)), 32)
         for k in range(len(ORDERS)):
@@ -309,7 +327,7 @@ class Mixer:
         gate = gate.astype(np.uint16) << np.uint16(8)
         out = np.zeros(len(gate), np.float32)
         for k, f in enumerate(found):
-            out += (self.weights[:, k, None] * _LEVEL[None, :]).ravel()[gate | f]
+            out += _at((self.weights[:, k, None] * _LEVEL[None, :]).ravel(), gate | f)
         return out
 
     def log10(self, d: Decisions, texts: int) -> np.ndarray:
@@ -331,22 +349,22 @@ class Mixer:
             offset[who] += np.clip(OWN_RATE * miss / n, -0.05, 0.05)
             scale[who] += np.clip(OWN_RATE * slope / n, -0.05, 0.05)
 
-        ends = np.concatenate([d.runs, [int(d.stops[-1])]])
+        ends = d.runs.astype(np.int64)
         # in the first step every text has the same scale and offset: by pair, not by decision
         first = slice(0, int(d.steps[1]))
-        logs, miss = _outcomes(level, both.view(np.int32)[1::2].copy(), right_of)
-        of_pair = [np.add.reduceat(x, d.start, dtype=np.float64) for x in (logs, miss, miss * level)]
-        begins = np.searchsorted(d.stops, d.runs[first], side="right")
-        upto = int(np.searchsorted(d.stops, ends[first.stop]) + 1)
-        follow(d.who[first], np.diff(ends[: first.stop + 1]), *(np.add.reduceat(x[d.number[:upto]], begins) for x in of_pair))
+        upto = int(d.begins[first.stop])
+        met = int(d.number[:upto].max()) + 1  # pairs are numbered as they are met
+        own = slice(0, int(d.start[met]) if met < len(d.start) else len(level))
+        logs, miss = _outcomes(level[own], both.view(np.int32)[1::2][own].copy(), right_of)
+        of_pair = [np.add.reduceat(x, d.start[:met], dtype=np.float64) for x in (logs, miss, miss * level[own])]
+        follow(d.who[first], np.diff(ends[: first.stop + 1]), *(np.add.reduceat(_at(x, d.number[:upto]), d.begins[first]) for x in of_pair))
         rest = d.steps[1:]
         if len(rest) < 2:
             return out
-        which = d.which
         for ra, rb in _parts(rest, ends):
             a, b = ends[ra], ends[rb]
-            start, size, who = d.runs[ra:rb] - a, np.diff(ends[ra : rb + 1]), d.who[ra:rb]
-            own = both[which[a - ends[rest[0]] : b - ends[rest[0]]]]
+            start, size, who = ends[ra:rb] - a, np.diff(ends[ra : rb + 1]), d.who[ra:rb]
+            own = _at(both, d.which(d.begins[ra], d.begins[rb]))
             v, row = own.view(np.float32)[0::2].copy(), own.view(np.int32)[1::2].copy()
             adapted = np.repeat(scale[who], size)
             adapted *= v
@@ -371,7 +389,7 @@ def _outcomes(s: np.ndarray, row: np.ndarray, right_of: np.ndarray | None) -> tu
     if right_of is not None:
         place = _place(s)
         place += row
-        right += right_of[place]
+        right += _at(right_of, place)
         right *= np.float32(0.5)
     np.log(right, out=right)
     signed ^= flip
@@ -421,12 +439,19 @@ def _pairs(buckets: int):
 
     def run(rows):
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        fresh: list[np.ndarray] = []
         seen = 0
 
+        def counted_in():
+            if fresh:
+                held.append(counted(np.concatenate(fresh)))
+                fresh.clear()
+                held[:] = [_in_order(held)]
+
         def written():
-            keys, times = _summed(held)
-            bucket = (_hash(keys & _up_to(max(ORDERS))) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((keys, bucket))
+            keys, times = held[0]
+            bucket = (_hash(keys & _up_to(max(ORDERS))) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+            order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for at in range(buckets):
                 own = order[cuts[at] : cuts[at + 1]]
@@ -435,16 +460,16 @@ def _pairs(buckets: int):
         for ids, texts in _batches(rows, lambda i: fold_of(i) != HELD_OUT):
             keys, sizes = windows(texts)
             keys |= np.repeat(np.array([fold_of(i) for i in ids], np.uint64) << np.uint64(FOLD_AT), sizes)
-            first, number = grouped(keys)
-            held.append((keys[first], np.bincount(number, minlength=len(first))))
+            fresh.append(keys)
             seen += len(keys)
-            if sum(len(k) for k, _ in held[1:]) > max(HELD_PAIRS // 4, len(held[0][0])):
-                held[:] = [_summed(held)]
-            if sum(len(k) for k, _ in held) > HELD_PAIRS or seen > 1 << 30:
-                yield from written()
-                held.clear()
-                seen = 0
+            if sum(map(len, fresh)) > HELD_BYTES:
+                counted_in()
+                if len(held[0][0]) > HELD_PAIRS or seen > 1 << 30:
+                    yield from written()
+                    held.clear()
+                    seen = 0
         if seen:
+            counted_in()
             yield from written()
 
     return run
@@ -472,22 +497,27 @@ def _merged_pairs(rows):
             held.append((keys | np.uint64(fold << FOLD_AT), times))
             last, size = bucket, size + len(keys)
             if size > 2 * HELD_PAIRS and size > 2 * len(held[0][0]):
-                held = [_summed(held)]
+                held = [_in_order(held)]
                 size = len(held[0][0])
     if held:
         yield from _pair_rows(last, *_in_order(held))
 
 
 def _in_order(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, times = _summed(held)
+    """Pairs in order, each once with all its times."""
+    if len(held) == 1:
+        return held[0]
+    keys, times = (np.concatenate([h[c] for h in held]) for c in (0, 1))
     order = np.argsort(keys)
-    return keys[order], times[order]
+    keys, times = _at(keys, order), _at(times, order)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+    return keys[starts], np.add.reduceat(times, starts) if len(starts) else times
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, times = (np.concatenate([h[c] for h in held]) for c in (0, 1))
     first, number = grouped(keys)
-    return keys[first], np.bincount(number, weights=times, minlength=len(first)).astype(np.int64)
+    return _at(keys, first), np.bincount(number, weights=times, minlength=len(first)).astype(np.int64)
 
 
 def _packed_pairs(keys: np.ndarray, times: np.ndarray) -> bytes:
@@ -581,7 +611,7 @@ def _count(paths, slot_bits):
                     keys, times = _summed([(keys & _up_to(ORDERS[k]), times)])
                     pair, nodes, bits, _ = coder.paths_of(keys)
                     held = tables.setdefault((fold, k), [])
-                    held.append(tally(coder.slots_of(keys, k, pair, nodes), bits, times[pair]))
+                    held.append(tally(coder.slots_of(keys, k, pair, nodes), bits, _at(times, pair)))
                     if sum(map(len, held[1:])) > max(1 << 18, len(held[0])):
                         held[:] = [_added(held)]
                 if sum(len(t) for held in tables.values() for t in held) > HELD_SLOTS:
@@ -655,7 +685,7 @@ def _learn(paths, slot_bits, tables, weights):
                 for lo in range(0, len(keys), STEP_PAIRS):
                     own = order[lo : lo + STEP_PAIRS]
                     pair, nodes, bits, _ = coder.paths_of(keys[own])
-                    n = times[own][pair].astype(np.float32)
+                    n = _at(times[own].astype(np.float32), pair)
                     sums = mixer.learn([coder.slots_of(keys[own], k, pair, nodes) for k in range(len(ORDERS))], bits, n)
                     where = mixer.bucket(nodes, sums)
                     refine[0] += np.bincount(where, weights=n, minlength=refine.shape[1])

@@ -302,6 +302,60 @@ def test_log10_of_a_step_model_sums_bits():
     assert got[0] == 0 and got[1] == pytest.approx(-24 * math.log10(2), rel=1e-3) and got[2] < 0
 
 
+def test_first_step_works_out_only_the_pairs_it_meets(monkeypatch):
+    rng = np.random.default_rng(5)
+    coder = lm_score.Coder(lm_score.code_paths(rng.integers(0, 1000, 256)))
+    tables = [rng.integers(0, 256, 1 << lm_score.SLOT_BITS).astype(np.uint8) for _ in lm_score.ORDERS]
+    mixer = lm_score.Mixer(tables, rng.random((64, 3), np.float32) / 2, rng.uniform(0.1, 0.9, 255 * lm_score.REFINE_BUCKETS).astype(np.float32))
+    texts = [b"", b"ab" * 256 + bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), b"short", b"ab" * 700]
+    met, outcomes = [], lm_score._outcomes
+    monkeypatch.setattr(lm_score, "_outcomes", lambda s, *a: met.append(len(s)) or outcomes(s, *a))
+    got = mixer.log10(coder.decisions(texts, steps=True), len(texts))
+    keys, _ = lm_score.windows([t[: lm_score.STEP_BYTES] for t in texts])
+    assert met[0] == coder.length[(np.unique(keys) & np.uint64(255)).astype(int)].sum()
+    for text, score in zip(texts, got):  # byte by byte, every decision by itself
+        scale, offset, total = np.float32(1), np.float32(0), 0.0
+        keys, _ = lm_score.windows([text])
+        for lo in range(0, len(keys), lm_score.STEP_BYTES):
+            own = keys[lo : lo + lm_score.STEP_BYTES]
+            pair, nodes, bits, _ = coder.paths_of(own)
+            level = mixer.mixed([coder.slots_of(own, k, pair, nodes) for k in range(3)])
+            s = level * scale + offset
+            one = 1 / (1 + np.exp(-np.clip(s, -12, 12)))
+            right = np.where(bits, one + mixer.refine[mixer.bucket(nodes, s)], 2 - one - mixer.refine[mixer.bucket(nodes, s)]) / 2
+            miss = bits - one
+            total += np.log10(right.astype(float)).sum()
+            offset += np.float32(np.clip(lm_score.OWN_RATE * miss.sum() / len(bits) ** 0.5, -0.05, 0.05))
+            scale += np.float32(np.clip(lm_score.OWN_RATE * (miss * level).sum() / len(bits) ** 0.5, -0.05, 0.05))
+        assert score == pytest.approx(total, rel=1e-5)
+
+
+def test_pairs_are_counted_by_sorting(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(lm_score, "HELD_BYTES", 1000)
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", 300)
+    monkeypatch.setattr(lm_score, "HELD_PAIRS", 2500)
+    texts = [bytes(rng.integers(97, 102, int(n), dtype=np.uint8)).decode() for n in rng.integers(0, 200, 80)] + [None, ""]
+    ids = list(range(len(texts)))
+    rows = sorted((r for b in lm_score._pairs(7)(iter([pa.record_batch([pa.array(ids), pa.array(texts)], ["doc_id", "text"])])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    merged = lm_score._merged_pairs(iter([pa.record_batch([pa.array([r[c] for r in rows]) for c in ("bucket", "fold", "pairs")], ["bucket", "fold", "pairs"])]))
+    got, want = Counter(), Counter()
+    for r in (r for b in merged for r in b.to_pylist()):
+        keys, times = lm_score._unpacked_pairs(r["pairs"])
+        assert (np.diff(keys.astype(np.int64)) > 0).all()
+        for k, n in zip(keys.tolist(), times.tolist()):
+            assert (r["fold"], k) not in got  # each pair once
+            got[r["fold"], k] = n
+    for i, t in zip(ids, texts):
+        keys, _ = lm_score.windows([(t or "").encode()])
+        want.update((lm_score.fold_of(i), k) for k in keys.tolist() if lm_score.fold_of(i) != lm_score.HELD_OUT)
+    assert got == want
+    first, number = lm_score.grouped(keys := rng.integers(0, 400, 5000).astype(np.uint64))
+    assert first.tolist() == sorted(np.unique(keys, return_index=True)[1]) and (keys[first][number] == keys).all()
+
+
 def test_sample_decides_each_row_by_its_own_cell(spark):
     text = "some plain words of a text"
     rows = [(i, text, lang, "s", len(text), "x", 0) for i in range(20) for lang in ("en", "de")] + [(None, text, "de", "s", len(text), "x", 0)] * 3
