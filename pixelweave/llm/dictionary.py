@@ -89,13 +89,32 @@ class _Block:
         self.counts.append(np.fromiter(found.values(), np.int32, len(found))[order])
 
     def row(self, chunk: int) -> pa.RecordBatch:
-        sizes = np.concatenate(self.sizes)
         numbers, counts = np.concatenate(self.numbers), np.concatenate(self.counts)
+        return self._row(chunk, pa.array(list(self.number), pa.string()), numbers, counts)
+
+    def _row(self, chunk: int, tokens: pa.Array, numbers: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         self.numbers = self.counts = []
+        sizes = np.concatenate(self.sizes)
         use = np.repeat([self.trains is None or self.trains(i) for i in self.ids], sizes)
-        trained = np.bincount(numbers[use], weights=counts[use], minlength=len(self.number)).astype(np.int64)
-        row = [chunk], [list(self.number)], [trained], [self.ids], [self.stats], [_pack(sizes, numbers, counts)]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
+        trained = np.bincount(numbers[use], weights=counts[use], minlength=len(tokens)).astype(np.int64)
+        row = [chunk], pa.ListArray.from_arrays([0, len(tokens)], tokens), [trained], [self.ids], [self.stats], [_pack(sizes, numbers, counts)]
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
+
+
+class _WordBlock(_Block):
+    """A block whose parts number their own tokens; they are made one when it is written."""
+
+    def __init__(self, trains: Callable[[int | None], bool] | None):
+        super().__init__(trains)
+        self.tokens: list[pa.Array] = []
+
+    def row(self, chunk: int) -> pa.RecordBatch:
+        coded = pc.dictionary_encode(pa.concat_arrays(self.tokens))
+        number, at = coded.indices.to_numpy(), np.cumsum([0, *map(len, self.tokens)])
+        numbers, counts = np.concatenate([number[own + lo] for own, lo in zip(self.numbers, at)]), np.concatenate(self.counts)
+        doc = np.repeat(np.arange(len(self.ids)), np.concatenate(self.sizes))
+        order = np.argsort(doc * max(1, len(coded.dictionary)) + numbers)
+        return self._row(chunk, coded.dictionary.cast(pa.string()), numbers[order], counts[order])
 
 
 def encode(docs: DataFrame, split: Callable[[str], tuple[Iterable[str], list[int]]], trains: Callable[[int | None], bool] | None, chunk_bytes: int, tag: str) -> DataFrame:
@@ -128,15 +147,19 @@ def encode_words(docs: DataFrame, stats: Callable[[bytes], list[int]], trains: C
     The same rows as ``encode`` with such a split, made by whole-array operations.
     """
 
-    def add(block: _Block, ids: pa.Array, texts: pa.Array) -> None:
+    def add(block: _WordBlock, ids: pa.Array, texts: pa.Array) -> None:
         texts = texts.cast(pa.large_string()).fill_null("")
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = pc.dictionary_encode(words.flatten())
-        number = np.fromiter((block.number[w] if w else -1 for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        tokens, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-        code = number[coded.indices.to_numpy()]
-        doc, code = doc[code >= 0], code[code >= 0]
-        size = max(1, len(block.number))
+        empty = tokens.index("").as_py()  # beside white space at an end
+        if empty >= 0:
+            tokens = tokens.filter(pc.not_equal(tokens, ""))
+            doc, code = doc[code != empty], code[code != empty]
+            code -= code > empty
+        size = max(1, len(tokens))
+        block.tokens.append(tokens)
         keys, counts = np.unique(doc * size + code, return_counts=True)
         block.numbers.append((keys % size).astype(np.int32))
         block.counts.append(counts.astype(np.int32))
@@ -148,14 +171,14 @@ def encode_words(docs: DataFrame, stats: Callable[[bytes], list[int]], trains: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        block, held = _Block(trains), 0
+        block, held = _WordBlock(trains), 0
         for batch in batches:
             for part in parts_by_bytes(batch, 1, PART_BYTES):
                 add(block, part.column(0), part.column(1))
                 held += part.column(1).nbytes
                 if held >= chunk_bytes:
                     yield block.row(chunk)
-                    chunk, block, held = chunk + 1, _Block(trains), 0
+                    chunk, block, held = chunk + 1, _WordBlock(trains), 0
         if block.ids:
             yield block.row(chunk)
 

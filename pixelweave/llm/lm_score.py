@@ -69,7 +69,7 @@ HELD_BYTES, HELD_PAIRS, ROW_PAIRS, STEP_PAIRS = 1 << 22, 1 << 20, 1 << 16, 1 <<
 #: Slot counts that a task holds before it sends them, and decisions scored at once.
 HELD_SLOTS, SCORED = 1 << 21, 1 << 15
 #: Slots of the table by which equal keys are found, as a power of two.
-TABLE_BITS = 18
+TABLE_BITS = 20
 LEVELS, FILLED = 32, 8
 REACH = 8.0
 RATE, OWN_RATE = 0.02, 0.002

@@ -356,6 +356,33 @@ def test_pairs_are_counted_by_sorting(monkeypatch):
     assert first.tolist() == sorted(np.unique(keys, return_index=True)[1]) and (keys[first][number] == keys).all()
 
 
+def test_words_are_numbered_by_whole_arrays(monkeypatch, doc_rows):
+    import re
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from pixelweave.llm import dictionary
+
+    rows = [(i, t) for i, t, *_ in doc_rows] + [(None, "  a B a\t"), (3, "b\x0b"), (4, "")]
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    monkeypatch.setattr(dictionary, "materialize", lambda run, tag: [r for b in run(iter([batch])) for r in b.to_pylist()])
+    monkeypatch.setattr(dictionary, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    monkeypatch.setattr(dictionary, "PART_BYTES", 50_000)
+    docs = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    plain = lambda t: (re.findall("[^\x20\x09-\x0D]+", lower(t)), [len(t)])
+    want = dictionary.encode(docs, plain, lambda i: i != 3, 1 << 40, "test")
+    monkeypatch.setattr(dictionary, "_Numbers", lambda: None)  # a look-up in Python for every word of a part
+    stats = lambda raw: [len(raw.decode("utf-8", "surrogatepass"))]
+    got = dictionary.encode_words(docs, stats, lambda i: i != 3, 1 << 40, "test")
+    assert len(got) == len(want) == 1
+    unpacked = [[x.tolist() for x in dictionary._unpack(r.pop("entries"))] for r in (got[0], want[0])]
+    assert got == want and unpacked[0] == unpacked[1]
+    few = dictionary.encode_words(docs, stats, lambda i: i != 3, 200_000, "test")
+    assert len(few) > 2 and sum((r["doc_id"] for r in few), []) == [i for i, _ in rows]
+
+
 def test_sample_decides_each_row_by_its_own_cell(spark):
     text = "some plain words of a text"
     rows = [(i, text, lang, "s", len(text), "x", 0) for i in range(20) for lang in ("en", "de")] + [(None, text, "de", "s", len(text), "x", 0)] * 3
