@@ -124,21 +124,71 @@ def sobel(raster: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def flood(height_map: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Priority flood from seeds: lowest value first, then order of arrival."""
-    out = seeds.copy()
-    heap, order = [], 0
-    for y, x in zip(*np.nonzero(seeds)):
-        heap.append((height_map[y, x], order, y, x))
-        order += 1
-    heapq.heapify(heap)
+    """Priority flood from seeds: lowest value first, then order of arrival.
+
+    Works on flat lists with a rim that counts as labelled; seeds without an unlabelled
+    neighbour have nothing to give and stay out of the queue.
+    """
     h, w = seeds.shape
+    wide = w + 2
+    rim = np.pad(seeds.astype(np.int64), 1, constant_values=-1)
+    open_ = rim == 0
+    beside = np.zeros_like(open_)
+    beside[1:-1, 1:-1] = open_[:-2, 1:-1] | open_[2:, 1:-1] | open_[1:-1, :-2] | open_[1:-1, 2:]
+    first = np.flatnonzero((rim > 0) & beside)
+    relief, out = np.pad(height_map, 1).ravel().tolist(), rim.ravel().tolist()
+    heap = [(relief[at], order, at) for order, at in enumerate(first.tolist())]
+    order = len(heap)
+    heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for ny, nx in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            if 0 <= ny < h and 0 <= nx < w and not out[ny, nx]:
-                out[ny, nx] = out[y, x]
-                heapq.heappush(heap, (height_map[ny, nx], order, ny, nx))
+        _, _, at = pop(heap)
+        label = out[at]
+        for near in (at - wide, at - 1, at + 1, at + wide):
+            if not out[near]:
+                out[near] = label
+                push(heap, (relief[near], order, near))
                 order += 1
+    return np.array(out, np.int64).reshape(h + 2, wide)[1:-1, 1:-1]
+
+
+def gradient_of(image: np.ndarray, sigma: float = 1.0, reach: int = 4) -> np.ndarray:
+    """``sobel`` of ``gaussian`` of one whole frame."""
+    h, w = image.shape
+    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    wide = np.pad(image, ((reach, reach), (0, 0)), mode="edge")
+    wide = np.pad(sum(t * wide[k : k + h] for k, t in enumerate(taps)), ((0, 0), (reach, reach)), mode="edge")
+    wide = np.pad(sum(t * wide[:, k : k + w] for k, t in enumerate(taps)), 1, mode="edge")
+    smooth = lambda a, b, c: 0.25 * a + 0.5 * b + 0.25 * c
+    down, across = 0.5 * (wide[2:] - wide[:-2]), 0.5 * (wide[:, 2:] - wide[:, :-2])
+    gy, gx = smooth(down[:, :-2], down[:, 1:-1], down[:, 2:]), smooth(across[:-2], across[1:-1], across[2:])
+    return np.sqrt((gy * gy + gx * gx) / 2.0)
+
+
+def _cross(on: np.ndarray, outside: bool, grow: bool) -> np.ndarray:
+    """One step of the four neighbours: any of them (``grow``) or all."""
+    p = np.pad(on, 1, constant_values=outside)
+    near = (p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:])
+    return (np.logical_or if grow else np.logical_and).reduce(near)
+
+
+def marked(mask: np.ndarray, erosion: int = 2, dilation: int = 5) -> np.ndarray:
+    """``markers`` of one whole frame; zero where there is none."""
+    on = mask > 0
+    core = near = on
+    for _ in range(erosion):
+        core = _cross(core, False, False)
+    for _ in range(dilation):
+        near = _cross(near, False, True)
+    out = np.where(core, mask, np.where(near, 0, mask.max() + 1))
+    lost = np.setdiff1d(mask[on], mask[core])
+    if len(lost):
+        ys, xs = np.nonzero(np.isin(mask, lost))
+        at = np.searchsorted(lost, mask[ys, xs])
+        n = np.bincount(at)
+        for label, y, x in zip(lost, np.bincount(at, ys) // n, np.bincount(at, xs) // n):  # in rising order: the largest stays
+            out[int(y), int(x)] = label
     return out
 
 
@@ -166,12 +216,25 @@ def refined_regions(mean: DataFrame, mask: DataFrame, records: DataFrame, height
     """Regions of the wanted tiers (None: all) with their borders moved to edges of the
     mean image: ``(fov, y, x, label)``; fields without such regions have no rows.
 
-    The relief is the gradient of the smoothed image, the seeds are ``markers``.
+    The relief is the gradient of the smoothed image, the seeds are ``markers``.  A flood
+    is sequential, so one task holds a whole frame anyway and filters and marks it too.
     """
+
+    def run(image: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
+        grid, own = np.zeros((height, width)), np.zeros((height, width), np.int64)
+        grid[image["y"], image["x"]] = image["v"]
+        own[regions["y"], regions["x"]] = regions["label"]
+        top = own.max()
+        out = flood(gradient_of(grid), marked(own)) if top and len(image) else own * 0
+        ys, xs = np.nonzero((out > 0) & (out <= top))
+        return pd.DataFrame({"fov": image["fov"].iloc[0] if len(image) else None, "y": ys, "x": xs, "label": out[ys, xs]})
+
     wanted = records.where(F.upper("tier").isin(*[t.upper() for t in (TIERS if tiers is None else tiers)])).select("fov", F.col("roi_id").alias("label"))
     own = F.broadcast(wanted.select("fov").distinct())
     mask, mean = (df.join(own, "fov", "left_semi") for df in (mask, mean))
-    refined = watershed(sobel(gaussian(mean, height, width), height, width), markers(mask, height, width), height, width)
+    ship(mean.sparkSession)
+    pixels = mean.select("fov", "y", "x", "v").groupBy("fov").cogroup(mask.select("fov", "y", "x", "label").groupBy("fov"))
+    refined = pixels.applyInPandas(run, f"fov {dict(mean.dtypes)['fov']}, y int, x int, label int")
     return refined.join(wanted.hint("shuffle_hash"), ["fov", "label"], "left_semi").select("fov", "y", "x", "label")
 
 

@@ -148,3 +148,35 @@ def test_prefix_match_of_all_parts(spark):
     masks = spark.createDataFrame([("a",), ("a",), ("",), (None,), ("é1",), ("zz",), ("ab.tif",)], "stem string")
     stacks = spark.createDataFrame([("ab.tif",), ("aa.tif",), ("é12",), (None,), ("ab.tif",)], "path string")
     assert sorted(map(tuple, planning.prefix_match(masks, stacks).collect()), key=str) == sorted([("", "aa.tif"), ("a", "aa.tif"), ("ab.tif", "ab.tif"), ("zz", None), ("é1", "é12"), (None, None)], key=str)
+
+
+def test_refined_frames_equal_the_relational_steps(spark):
+    rng = np.random.default_rng(5)
+    h, w = 24, 30
+    lines = np.zeros((2, h, w), int)
+    for f in range(2):
+        for label in range(1, 9):
+            y, x, a, b = rng.integers(0, h - 3), rng.integers(0, w - 3), rng.integers(1, 9), rng.integers(1, 9)
+            lines[f, y : y + a, x : x + b] = label
+    mask = spark.createDataFrame([(int(f), int(y), int(x), int(lines[f, y, x])) for f, y, x in zip(*np.nonzero(lines))], PIXEL)
+    mean = spark.createDataFrame([(f, y, x, float(v)) for f in range(3) for (y, x), v in np.ndenumerate(rng.random((h, w)))], "fov int, y int, x int, v double")
+    records = mask.selectExpr("fov", "label AS roi_id", "'GOLD' AS tier").distinct()
+    relief = {(r.fov, r.y, r.x): r.v for r in morphology.sobel(morphology.gaussian(mean, h, w), h, w).collect()}
+    grid = np.zeros((3, h, w))
+    for r in mean.collect():
+        grid[r.fov, r.y, r.x] = r.v
+    assert all(np.allclose([[relief[f, y, x] for x in range(w)] for y in range(h)], morphology.gradient_of(grid[f]), atol=1e-12) for f in range(3))
+    seeds = {(r.fov, r.y, r.x): r.label for r in morphology.markers(mask, h, w).collect()}
+    assert seeds == {(f, y, x): v for f in range(2) for (y, x), v in np.ndenumerate(morphology.marked(lines[f])) if v}
+    want = morphology.watershed(morphology.sobel(morphology.gaussian(mean, h, w), h, w), morphology.markers(mask, h, w), h, w)
+    refined = morphology.refined_regions(mean, mask, records, h, w)
+    assert sorted(map(tuple, refined.collect())) == sorted(map(tuple, want.select("fov", "y", "x", "label").collect()))
+    plan = refined._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapCoGroupsInPandas" in plan
+
+
+def test_flood_without_far_background_keeps_the_largest_region(spark):
+    mask = raster(spark, "1111", "1111", "2222", "2222")
+    mean = spark.createDataFrame([(0, y, x, float(y * 4 + x)) for y in range(4) for x in range(4)], "fov int, y int, x int, v double")
+    records = spark.createDataFrame([(0, 1, "GOLD"), (0, 2, "GOLD")], "fov int, roi_id int, tier string")
+    assert {r.label for r in morphology.refined_regions(mean, mask, records, 4, 4).collect()} == {1, 2}
