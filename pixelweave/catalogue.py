@@ -44,7 +44,8 @@ def _side(spark, sf, view: str, side: str, *columns: str) -> DataFrame:
 
 def _masks(spark, sf, kind: str = "h") -> tuple[DataFrame, DataFrame]:
     """Both masks; written once, as every operator after them reads them more than once."""
-    both = materialize(fx.part_view(spark, sf, f"{kind}_mask", "pass", "fov", "y", "x", "label"), f"{kind}-masks")
+    made = rasters.rasterize(fx.strip_pixels(spark, sf), ("pass", "fov")) if kind == "h" else fx.part_view(spark, sf, f"{kind}_mask", "pass", "fov", "y", "x", "label")
+    both = materialize(made, f"{kind}-masks")
     return tuple(both.where(F.col("pass") == side).drop("pass") for side in ("anatomy", "activity"))
 
 
@@ -58,7 +59,7 @@ def _logits(pixels: DataFrame) -> DataFrame:
 
 
 def _logit_grid(spark, sf) -> DataFrame:
-    return fx.frame_grid(fx.part_view(spark, sf, "base", "fov").distinct()).withColumn("v", F.expr(fx.logit()))
+    return fx.frame_grid(fx.part_view(spark, sf, "base", "fov").distinct().repartition(fx.field_tasks(spark, sf), "fov")).withColumn("v", F.expr(fx.logit()))
 
 
 # ---- rasters -----------------------------------------------------------------
@@ -647,13 +648,14 @@ _VARIANT_AP = f"""{_VARIANTS}, vm AS (SELECT 'consensus' variant, * FROM cons UN
 
 
 def _variant_scores(spark, sf) -> DataFrame:
-    a, b = _masks(spark, sf)
-    records = _records(spark, sf, (a, b))
-    consensus, every = materialize(matching.consensus_mask(a, b, records), "consensus"), matching.consensus_mask(a, b, records, scoring.TIERS)
-    masks = evaluation.variants(consensus, every, records, a)
-    truth = materialize(_manual(spark, sf).repartition("fov"), "truth")
-    present = truth.select("fov", F.explode(F.array(*map(F.lit, evaluation.VARIANTS))).alias("variant")).distinct().where("NOT (variant = 'cellpose_only' AND fov % 3 = 1)")
-    return evaluation.variant_precision(masks, present.withColumn("same_shape", F.expr("NOT (variant = 'all_tiers' AND fov % 4 = 2)")), truth, (0.6, 0.75))
+    """Both masks and the truth meet in one overlay; no variant's pixels are made."""
+    sides = {"la": "pass = 'anatomy'", "lb": "pass = 'activity'", "lt": "pass = 'anatomy' AND k % 3 <> 0"}
+    pixels = fx.strip_pixels(spark, sf).select("fov", "y", "x", *[F.when(F.expr(own), F.col("label")).alias(side) for side, own in sides.items()])
+    counts = materialize(matching.overlay(pixels, *sides), "overlay")
+    rows = materialize(evaluation.variant_counts(counts, matching.counted_records(counts)), "variant-counts")
+    fields = rows.where("lb IS NOT NULL").select("fov").distinct()
+    present = fields.select("fov", F.explode(F.array(*map(F.lit, evaluation.VARIANTS))).alias("variant")).where("NOT (variant = 'cellpose_only' AND fov % 3 = 1)")
+    return evaluation.counted_variants(rows, present.withColumn("same_shape", F.expr("NOT (variant = 'all_tiers' AND fov % 4 = 2)")), (0.6, 0.75))
 
 
 @_query(f"{_VARIANT_AP} SELECT variant, fov, threshold, ap FROM ap")

@@ -113,12 +113,18 @@ def assign_field(edges: pd.DataFrame) -> pd.DataFrame:
         return edges
     edges = edges.sort_values(["la", "lb"], kind="stable")
     part = components(edges["la"].to_numpy(), edges["lb"].to_numpy())
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+    every_a, every_b, iou = (edges[c].to_numpy() for c in ("la", "lb", "iou"))
     keep = []
-    for _, own in edges.groupby(part, sort=False):
-        la, i = np.unique(own["la"], return_inverse=True)
-        lb, j = np.unique(own["lb"], return_inverse=True)
+    for own in np.split(order, starts[1:]):
+        if len(own) == 1:
+            keep += [k for k in own if iou[k] > 0]
+            continue
+        la, i = np.unique(every_a[own], return_inverse=True)
+        lb, j = np.unique(every_b[own], return_inverse=True)
         weight = np.zeros((len(la), len(lb)))
-        weight[i, j] = own["iou"]
-        at = {(x, y): k for x, y, k in zip(i, j, own.index)}
+        weight[i, j] = iou[own]
+        at = dict(zip(zip(i.tolist(), j.tolist()), own))
         keep += [at[p] for p in canonical(weight)]
-    return edges.loc[keep]
+    return edges.iloc[keep]

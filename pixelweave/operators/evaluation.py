@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.operators.matching import precision
+from pixelweave.operators.matching import counted_precision, overlay
 from pixelweave.scratch import materialize, written
 
 VARIANTS = ("cellpose_only", "gold_only", "consensus", "all_tiers")
@@ -33,17 +33,46 @@ def variant_precision(masks: DataFrame, present: DataFrame, truth: DataFrame, th
     """``(variant, fov, threshold, ap)`` for every field with truth.
 
     ``present`` is ``(variant, fov, same_shape)``: a variant that a field lacks gets -1, one
-    of another shape no row.  Truth, fields and masks are written once each: what follows
-    reads them several times, and would repeat their plans as often.
+    of another shape no row.
     """
+    names = F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant")
+    none = F.lit(None).cast("int")
+    key = lambda: F.struct("variant", "fov").alias("fov")
+    both = masks.select(key(), "y", "x", F.col("label").alias("la"), none.alias("lb")).unionByName(truth.select("fov", "y", "x", "label", names).select(key(), "y", "x", none.alias("la"), F.col("label").alias("lb")))
+    return counted_variants(overlay(both, "la", "lb").select("fov.variant", "fov.fov", "la", "lb", "inter"), present, thresholds)
+
+
+def variant_counts(counts: DataFrame, records: DataFrame) -> DataFrame:
+    """Counts ``(variant, fov, la, lb, inter)`` of every variant's labels with the truth's.
+
+    ``counts`` is the overlay of detector ``la``, second pass ``lb`` and truth ``lt`` that
+    the records were made from: a variant gives new numbers to labels, so its pixels need
+    not be made.  The larger number wins where both passes have a region, as in painting.
+    """
+    by_id = Window.partitionBy("fov").orderBy("roi_id")
+    numbered = records.withColumn("whole", F.row_number().over(by_id))
+    first = records.where("tier IN ('GOLD', 'SILVER')").select("fov", "roi_id", F.row_number().over(by_id).alias("consensus"))
+    gold = records.where("tier = 'GOLD'").select("fov", F.col("roi_id").alias("consensus"), F.row_number().over(by_id).alias("gold"))
+    of_a = numbered.where("tier <> 'BRONZE'").join(first, ["fov", "roi_id"], "left").join(gold, ["fov", "consensus"], "left")
+    of_a = of_a.select("fov", F.col("cellpose_label").alias("la"), "consensus", "gold", F.col("whole").alias("of_a"))
+    of_b = numbered.where("tier = 'BRONZE'").select("fov", F.col("s2p_label").alias("lb"), F.col("whole").alias("of_b"))
+    met = counts.join(of_a.hint("shuffle_hash"), ["fov", "la"], "left").join(of_b.hint("shuffle_hash"), ["fov", "lb"], "left")
+    labels = {"cellpose_only": F.col("la"), "gold_only": F.col("gold"), "consensus": F.col("consensus"), "all_tiers": F.greatest("of_a", "of_b")}
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("variant"), label.cast("int").alias("la")) for name, label in labels.items()]))
+    rows = met.select("fov", F.col("lt").alias("lb"), "inter", each).where("la IS NOT NULL OR lb IS NOT NULL")
+    return rows.groupBy("variant", "fov", "la", "lb").agg(F.sum("inter").alias("inter"))
+
+
+def counted_variants(counts: DataFrame, present: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.75)) -> DataFrame:
+    """``variant_precision`` from the counts of ``variant_counts``, written once, as what
+    follows reads them several times."""
     key = lambda v, f: F.concat_ws("\x1f", v, f.cast("string"))
-    truth = written(truth, "truth")
-    fields = materialize(truth.select("fov").distinct(), "fields")
+    counts = written(counts, "variant-counts")
+    fields = materialize(counts.where("lb IS NOT NULL").select("fov").distinct(), "fields")
     wanted = materialize(present.join(fields, "fov", "left_semi"), "present")
     own = wanted.where("same_shape").select("variant", "fov")
-    predicted = materialize(masks.join(F.broadcast(own), ["variant", "fov"], "left_semi").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label"), "variant-masks")
-    actual = truth.join(F.broadcast(own), "fov").select(key(F.col("variant"), F.col("fov")).alias("fov"), "y", "x", "label")
-    scores = precision(predicted, actual, thresholds).select(F.col("fov").alias("k"), "threshold", "ap")
+    compared = counts.join(F.broadcast(own), ["variant", "fov"], "left_semi").select(key(F.col("variant"), F.col("fov")).alias("fov"), "la", "lb", "inter")
+    scores = counted_precision(compared, thresholds).select(F.col("fov").alias("k"), "threshold", "ap")
     every = own.withColumn("k", key(F.col("variant"), F.col("fov"))).join(scores, "k").select("variant", "fov", "threshold", "ap")
     names = F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant")
     missing = fields.select("fov", names).join(wanted, ["variant", "fov"], "left_anti")

@@ -31,8 +31,22 @@ def iou_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     none = F.lit(None).cast("int")
     pa = a.select("fov", "y", "x", F.col("label").alias("la"), none.alias("lb"))
     pb = b.select("fov", "y", "x", none.alias("la"), F.col("label").alias("lb"))
-    met = pa.unionByName(pb).groupBy("fov", "y", "x").agg(F.max("la").alias("la"), F.max("lb").alias("lb"))
-    counts = met.groupBy("fov", "la", "lb").agg(F.count(F.lit(1)).alias("inter"))
+    return counted_edges(overlay(pa.unionByName(pb), "la", "lb"))
+
+
+def overlay(pixels: DataFrame, *sides: str) -> DataFrame:
+    """Pixels of every combination of labels: ``(fov, *sides, inter, sum_y, sum_x)``.
+
+    ``pixels`` is ``(fov, y, x, *sides)`` with any number of rows a pixel, of which the
+    largest label of each side wins; null is background.
+    """
+    met = pixels.groupBy("fov", "y", "x").agg(*[F.max(side).alias(side) for side in sides])
+    return met.groupBy("fov", *sides).agg(F.count(F.lit(1)).alias("inter"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
+
+
+def counted_edges(counts: DataFrame) -> DataFrame:
+    """``iou_edges`` from the counts ``(fov, la, lb, inter)`` of an overlay."""
+    counts = counts.select("fov", "la", "lb", "inter")
     total = lambda side: F.sum("inter").over(Window.partitionBy("fov", side))
     out = counts.withColumns({"na": total("la"), "nb": total("lb")}).where("la IS NOT NULL AND lb IS NOT NULL")
     iou = F.col("inter").cast("double") / (F.col("na") + F.col("nb") - F.col("inter"))
@@ -55,10 +69,13 @@ def assigned(edges: DataFrame, most: int = 20_000) -> DataFrame:
     A task solves a field of view, one component after another.  A field with more than
     ``most`` edges is dealt over several tasks, whole components to each.
     """
-    ship(edges.sparkSession)
+    spark = edges.sparkSession
+    ship(spark)
+    # a number of our own, as few edges would else go to one task, however long they take
+    dealt = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fov")
     crowded = edges.groupBy("fov").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("fov", F.ceil(F.col("n") / most).cast("int").alias("tasks"))
     if not crowded.limit(1).count():
-        return edges.groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), edges.schema)
+        return dealt.groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), edges.schema)
     least = lambda df, side: df.join(df.groupBy("fov", side).agg(F.min("part").alias("low")), ["fov", side]).drop("part").withColumnRenamed("low", "part")
     part = materialize(edges.join(crowded, "fov").withColumn("part", F.col("la")), "assign-part")
     while True:
@@ -68,9 +85,8 @@ def assigned(edges: DataFrame, most: int = 20_000) -> DataFrame:
         part = lower
         if not moved:
             break
-    dealt = part.withColumn("task", F.pmod(F.xxhash64("part"), F.col("tasks")))
-    split = dealt.select(*edges.columns, "task").groupBy("fov", "task").applyInPandas(lambda pdf: assign_field(pdf.drop(columns="task")), edges.schema)
-    return edges.join(crowded.select("fov"), "fov", "left_anti").groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), edges.schema).unionByName(split)
+    split = part.withColumn("task", F.pmod(F.xxhash64("part"), F.col("tasks"))).select(*edges.columns, "task").groupBy("fov", "task").applyInPandas(lambda pdf: assign_field(pdf.drop(columns="task")), edges.schema)
+    return dealt.join(crowded.select("fov"), "fov", "left_anti").groupBy("fov").applyInPandas(lambda pdf: assign_field(pdf), edges.schema).unionByName(split)
 
 
 def optimal_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -93,9 +109,19 @@ def tier_records(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, iscel
     their overlap 0 and their probability -1.  Edges, pairs and records are written once
     each, as all that follows reads them several times.
     """
-    pairs = materialize(optimal_pairs(iou_edges(a, b), threshold), "pairs")
-    of_a = areas(a).withColumnRenamed("label", "la")
-    of_b = areas(b).withColumnRenamed("label", "lb")
+    return _records(iou_edges(a, b), areas(a).withColumnRenamed("label", "la"), areas(b).withColumnRenamed("label", "lb"), threshold, iscell)
+
+
+def counted_records(counts: DataFrame, threshold: float = THRESHOLD, iscell: DataFrame | None = None) -> DataFrame:
+    """``tier_records`` from an overlay of ``la`` and ``lb``, other sides aside."""
+    middle = lambda c: F.floor(F.sum(c) / F.sum("inter")).cast("int")
+    own = lambda side: counts.where(F.col(side).isNotNull()).groupBy("fov", side)
+    of_a, of_b = (own(side).agg(F.sum("inter").alias("area_px"), middle("sum_y").alias("centroid_y"), middle("sum_x").alias("centroid_x")) for side in ("la", "lb"))
+    return _records(counted_edges(counts.groupBy("fov", "la", "lb").agg(F.sum("inter").alias("inter"))), of_a, of_b, threshold, iscell)
+
+
+def _records(edges: DataFrame, of_a: DataFrame, of_b: DataFrame, threshold: float, iscell: DataFrame | None) -> DataFrame:
+    pairs = materialize(optimal_pairs(edges, threshold), "pairs")
     gold = pairs.join(of_a, ["fov", "la"]).select("fov", F.lit("GOLD").alias("tier"), F.lit(1).alias("rank"), "iou", "la", "lb", "centroid_y", "centroid_x", "area_px")
     silver = of_a.join(pairs, ["fov", "la"], "left_anti").select("fov", F.lit("SILVER").alias("tier"), F.lit(2).alias("rank"), F.lit(0.0).alias("iou"), "la", F.lit(-1).alias("lb"), "centroid_y", "centroid_x", "area_px")
     bronze = of_b.join(pairs, ["fov", "lb"], "left_anti").select("fov", F.lit("BRONZE").alias("tier"), F.lit(3).alias("rank"), F.lit(0.0).alias("iou"), F.lit(-1).alias("la"), "lb", "centroid_y", "centroid_x", "area_px")
@@ -184,8 +210,17 @@ def precision(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, .
     Above one half a region has at most one partner, so matches are a filter.  At or
     below, pairs over the threshold are assigned to have the most matches.
     """
-    edges = iou_edges(predicted, truth)
     sides = predicted.groupBy("fov").agg(F.countDistinct("label").alias("np")).join(truth.groupBy("fov").agg(F.countDistinct("label").alias("nt")), "fov", "full")
+    return _precision(iou_edges(predicted, truth), sides, thresholds)
+
+
+def counted_precision(counts: DataFrame, thresholds: tuple[float, ...] = (0.6, 0.75, 0.9)) -> DataFrame:
+    """``precision`` from the counts ``(fov, la, lb, inter)`` of prediction and truth."""
+    sides = counts.groupBy("fov").agg(F.countDistinct("la").alias("np"), F.countDistinct("lb").alias("nt"))
+    return _precision(counted_edges(counts), sides, thresholds)
+
+
+def _precision(edges: DataFrame, sides: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     upper, lower = ([t for t in thresholds if (t > 0.5) == over] for over in (True, False))
     if lower:
         edges = materialize(edges, "precision-edges")

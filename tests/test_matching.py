@@ -180,3 +180,20 @@ def test_flood_without_far_background_keeps_the_largest_region(spark):
     mean = spark.createDataFrame([(0, y, x, float(y * 4 + x)) for y in range(4) for x in range(4)], "fov int, y int, x int, v double")
     records = spark.createDataFrame([(0, 1, "GOLD"), (0, 2, "GOLD")], "fov int, roi_id int, tier string")
     assert {r.label for r in morphology.refined_regions(mean, mask, records, 4, 4).collect()} == {1, 2}
+
+
+def test_counted_records_equal_those_of_masks(spark):
+    from pixelweave.operators import evaluation
+
+    a, b = raster(spark, *ANATOMY), raster(spark, *ACTIVITY)
+    truth = raster(spark, "111.2.", "11..22", "....33", "......")
+    none = "CAST(NULL AS INT)"
+    sides = [df.selectExpr("fov", "y", "x", *[f"{'label' if k == own else none} AS {k}" for k in ("la", "lb", "lt")]) for own, df in (("la", a), ("lb", b), ("lt", truth))]
+    counts = matching.overlay(sides[0].unionByName(sides[1]).unionByName(sides[2]), "la", "lb", "lt")
+    records = matching.tier_records(a, b)
+    assert sorted(map(tuple, matching.counted_records(counts).collect())) == sorted(map(tuple, records.select(*matching.counted_records(counts).columns).collect()))
+    masks = evaluation.variants(matching.consensus_mask(a, b, records), matching.consensus_mask(a, b, records, scoring.TIERS), records, a)
+    present = masks.selectExpr("variant", "fov", "true AS same_shape").distinct()
+    want = evaluation.variant_precision(masks, present, truth)
+    got = evaluation.counted_variants(evaluation.variant_counts(counts, records), present)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 8

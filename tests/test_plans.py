@@ -1,9 +1,11 @@
 """No plan broadcasts pixels, however few bytes they are estimated at."""
 
+import re
+
 import pytest
 
 from pixelweave import catalogue
-from pixelweave.operators import matching
+from pixelweave.operators import evaluation, matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +109,19 @@ def test_pixels_meet_regions_by_partition(spark, name):
 def test_variants_read_written_tables(spark):
     plan = catalogue.queries()["variant_means"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "part.parquet" not in plan and plan.count("Scan parquet") <= 24
+
+
+@pytest.mark.parametrize("name", ["variant_means"])
+def test_variants_make_their_pixels_once_and_where_they_are(spark, monkeypatch, name):
+    """Masks and truth meet in one overlay, pixels are not dealt out; all else reads counts."""
+    plans = {}
+
+    def watched(df, tag, write=matching.materialize):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    for module in (catalogue, matching, evaluation):
+        monkeypatch.setattr(module, "materialize", watched)
+    catalogue.queries()[name](spark, SF)
+    assert [tag for tag, plan in plans.items() if re.search(r"\by#", plan)] == ["overlay"]
+    assert not re.search(r"Exchange.*\b[yx]#", plans["overlay"])
