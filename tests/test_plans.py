@@ -111,7 +111,7 @@ def test_variants_read_written_tables(spark):
     assert "part.parquet" not in plan and plan.count("Scan parquet") <= 24
 
 
-@pytest.mark.parametrize("name", ["variant_means"])
+@pytest.mark.parametrize("name", ["variant_means", "variant_precision"])
 def test_variants_make_their_pixels_once_and_where_they_are(spark, monkeypatch, name):
     """Masks and truth meet in one overlay, pixels are not dealt out; all else reads counts."""
     plans = {}
